@@ -11,34 +11,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import bpe_codec, decontamination, jaccard_join, line_dedup, quality_rules
-from loomline.llm.common import written
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+from loomline.llm.common import whole_rows, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return _only(docs, quality_rules.quality_rules(docs).filter("kept"))
+    """Documents that the quality rules keep; each row is judged by itself."""
+    return whole_rows(quality_rules.quality_rules(docs, carry=True).filter("kept"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that a document with a smaller id holds too."""
-    kept = line_dedup.line_dedup(docs).select("doc_id", "text")
-    return docs.drop("text").join(kept, "doc_id").withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
+    kept = whole_rows(line_dedup.line_dedup(docs, carry=True), docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    return _only(docs, jaccard_join.jaccard_components(docs).filter("component_id = doc_id"))
+    """Of each group of near-duplicates the document with the smallest id.
+
+    Of equal rows with one id, one stays; rows without id stay only if no document of their group has one.
+    """
+    first = jaccard_join.jaccard_components(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("first")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, found.filter("not contaminated"))
+    """Documents that are not contaminated by the benchmark; each row is judged by itself."""
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
+    return whole_rows(found.filter("not contaminated"), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python worker holds as one chunk (or one row, if that is longer).
 CHUNK_BYTES = 4 << 20
@@ -67,6 +68,28 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: str | Column
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
 
 
+def carried(docs: DataFrame, text_col: str) -> list[Column]:
+    """All columns but the text as one struct ``rest``, for operators that hand whole rows on."""
+    return [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")]
+
+
+def with_rest(schema: str, own: DataFrame, names: tuple[str, ...] = ("text", "rest")) -> StructType:
+    """The schema with the carried columns of ``own`` behind it, if it has any."""
+    fields = [own.schema[n] for n in names] if "rest" in own.columns else []
+    return StructType(StructType.fromDDL(schema).fields + fields)
+
+
+def add_rest(out: pa.RecordBatch, batch: pa.RecordBatch, names: tuple[str, ...] = ("text", "rest")) -> pa.RecordBatch:
+    if "rest" not in batch.schema.names:
+        return out
+    return pa.RecordBatch.from_arrays([*out.columns, *(batch.column(n) for n in names)], names=[*out.schema.names, *names])
+
+
+def whole_rows(out: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` again, of rows that an operator carried."""
+    return out.select([F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+
+
 class WordHasher:
     """64-bit hashes of words, with a bounded memory of those seen."""
 

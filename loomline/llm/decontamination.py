@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, id_and_text, rebatched
+from .common import add_rest, byte_texts, carried, id_and_text, rebatched, with_rest
 
 #: Lower-cases A-Z; every other ASCII character that is no digit or letter becomes a space.
 _WORD_BYTES = bytes(c if c > 127 or 48 <= c < 58 or 97 <= c < 123 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
@@ -96,20 +96,21 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, max_block
     return [[(r.item, r.words.encode()) for r in items.filter(of == k).collect()] for k in range(n)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, max_block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, max_block_bytes: int = 16 << 20, carry: bool = False) -> DataFrame:
     """One row per input row: words, hit words, items found and whether the text is contaminated.
 
     A document word inside any occurrence of a test string is hit; ``contaminated`` when there is a
     hit and hits are at least a twentieth of the words. Null and empty texts have no words and are
     clean. Items without id or words find nothing; equal items are all named. Repeated rows are
-    judged one by one. An empty benchmark hits nothing. Other columns are not read.
+    judged one by one. An empty benchmark hits nothing. Other columns are not read; with ``carry`` the
+    text and a struct ``rest`` of them follow.
     """
     spark = docs.sparkSession
-    out = id_and_text(docs, id_col, text_col, F.lit(None).cast("binary").alias("ranges"), F.lit(None).cast("array<string>").alias("items"))
+    out = id_and_text(docs, id_col, text_col, F.lit(None).cast("binary").alias("ranges"), F.lit(None).cast("array<string>").alias("items"), *(carried(docs, text_col) if carry else ()))
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, max_block_bytes)
     for k, block in enumerate(blocks):
         tables = spark.sparkContext.broadcast((block, width))
-        out = out.mapInArrow(_scan(tables, last=k == len(blocks) - 1), RESULT if k == len(blocks) - 1 else out.schema)
+        out = out.mapInArrow(_scan(tables, last=k == len(blocks) - 1), with_rest(RESULT, out) if k == len(blocks) - 1 else out.schema)
     return out
 
 
@@ -124,7 +125,7 @@ def _scan(tables, last: bool):
                 if ranges:
                     places += [tuple(x) for x in np.frombuffer(ranges, np.int64).reshape(-1, 2).tolist()]
                 rows.append((len(words), _covered(places), sorted(found.union(items or ()))))
-            yield _result(batch, rows) if last else _carried(batch, rows)
+            yield add_rest(_result(batch, rows), batch) if last else add_rest(_carried(batch, rows), batch, ("rest",))
 
     return run
 

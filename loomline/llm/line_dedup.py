@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, id_and_text, mixed, rebatched, written
+from .common import add_rest, byte_texts, carried, id_and_text, mixed, rebatched, with_rest, written
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
@@ -188,11 +188,12 @@ class LineStore:
         self.filters = written(self._changed(changes).unionByName(same.select("shard", "filter")), "filters")
         self.counts = [live]
 
-    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
         """doc_id, n_lines, n_dropped and the kept text of each row, under the present state."""
         shared = self.counts[0].filter("refs >= 2").select("key", "first_doc")
         drops = self._postings().join(shared, "key").filter("doc_id > first_doc").groupBy("doc_id").agg(F.collect_list("key").alias("drops"))
-        return id_and_text(docs, id_col, text_col).join(drops, "doc_id", "left").mapInArrow(_without_lines(self.least), "doc_id bigint, n_lines bigint, n_dropped bigint, text string")
+        own = id_and_text(docs, id_col, text_col, *(carried(docs, text_col) if carry else ())).join(drops, "doc_id", "left")
+        return own.mapInArrow(_without_lines(self.least), with_rest("doc_id bigint, n_lines bigint, n_dropped bigint, text string", own, ("rest",)))
 
     def _shard(self):
         return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int")
@@ -251,19 +252,19 @@ def _without_lines(least: int):
                     lines = [x for x in lines if line_key(x, least) not in gone]
                 n_dropped.append(n_lines[-1] - len(lines))
                 kept.append(b"\n".join(lines))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "text"])
+            yield add_rest(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "text"]), batch, ("rest",))
 
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, carry: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept text of each row, after inserting all rows into a new store.
 
     Lines whose key has ``least`` code points or more and is in two documents or more stay only in
     the document with the smallest id. A null text is one empty line. Rows with the same id are one
     document, and each row is rewritten; rows without id hold no keys and keep all lines. An empty
-    table gives no rows. Other columns are not read.
+    table gives no rows. Other columns are not read; with ``carry`` a struct ``rest`` of them follows.
     """
     store = LineStore(docs.sparkSession, least)
     store.insert(docs, id_col, text_col)
-    return store.apply(docs, id_col, text_col)
+    return store.apply(docs, id_col, text_col, carry)

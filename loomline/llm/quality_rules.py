@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import byte_texts, id_and_text, rebatched
+from .common import add_rest, byte_texts, carried, id_and_text, rebatched, with_rest
 
 SYMBOLS = b"#*$%&|<>"
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, ratio double, n_chunks int, n_odd_chunks int"
@@ -89,22 +89,23 @@ def judge(text: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) -> tu
 
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands(), carry: bool = False) -> DataFrame:
     """One row per input row with its counts, its compression figures and ``kept``.
 
     Null and empty texts have no words and fail the base rule (fewer than 50 words). Repeated rows
     are judged one by one; a null id is passed on. An empty table gives no rows. Other columns are
-    not read.
+    not read; with ``carry`` the text and a struct ``rest`` of them follow.
     """
+    own = id_and_text(docs, id_col, text_col, *(carried(docs, text_col) if carry else ()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=bands.level)
         for batch in rebatched(batches, "text"):
             rows = [judge(t, bands, compressor) for t in byte_texts(batch, "text")]
             columns = [batch.column("doc_id"), *map(list, zip(*rows, strict=True))]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
+            yield add_rest(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES), batch)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return own.mapInArrow(run, with_rest(SCHEMA, own))
 
 
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
