@@ -45,12 +45,12 @@ def union_minutes(intervals: DataFrame, keys: Sequence[str], start: str = "s", e
 
 def asof_before(hours: DataFrame, events: DataFrame, key: str, time: str, order: str, values: Sequence[str], prefix: str = "last_") -> DataFrame:
     """For each (key, hour_us) the latest event strictly before it, ties by ``order``; no fan-out join."""
-    marks = hours.select(key, F.col("hour_us").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("tie"), *[F.lit(None).cast(events.schema[v].dataType).alias(v) for v in values])
-    seen = events.select(key, F.col(time).alias("t"), F.lit(1).alias("kind"), F.col(order).alias("tie"), *values)
-    past = Window.partitionBy(key).orderBy("t", "kind", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    latest = F.last(F.when(F.col("kind") == 1, F.struct("t", *values)), ignorenulls=True).over(past)
-    found = marks.unionByName(seen).withColumn("latest", latest).filter("kind = 0")
-    return found.select(key, F.col("t").alias("hour_us"), F.col("latest.t").alias(f"{prefix}us"), *[F.col(f"latest.{v}").alias(f"{prefix}{v}") for v in values])
+    marks = hours.select(key, F.col("hour_us").alias("_t"), F.lit(0).alias("_event"), F.lit(None).cast("string").alias("_tie"), *[F.lit(None).cast(events.schema[v].dataType).alias(v) for v in values])
+    seen = events.select(key, F.col(time).alias("_t"), F.lit(1).alias("_event"), F.col(order).alias("_tie"), *values)
+    past = Window.partitionBy(key).orderBy("_t", "_event", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.last(F.when(F.col("_event") == 1, F.struct("_t", *values)), ignorenulls=True).over(past)
+    found = marks.unionByName(seen).withColumn("_latest", latest).filter("_event = 0")
+    return found.select(key, F.col("_t").alias("hour_us"), F.col("_latest._t").alias(f"{prefix}us"), *[F.col(f"_latest.{v}").alias(f"{prefix}{v}") for v in values])
 
 
 def trailing_sets(hours: DataFrame, events: DataFrame, key: str, time: str, item: str, spans: dict[str, int]) -> DataFrame:
