@@ -2,7 +2,7 @@
 
 Writing: a payload digest groups equal payloads; the page with the largest id is a ``response``
 record, the others are ``revisit`` records that refer to it. Records are written through Spark's
-text sink as plain WARC/1.1 files. Reading splits at a header line that names the run, whose random
+text sink as gzipped WARC/1.1 files. Reading splits at a header line that names the run, whose random
 id no earlier payload can hold, and checks each payload against its Content-Length and digest.
 
 Index: each file of index entries is a run, sorted by URL key and capture time where it was made.
@@ -91,7 +91,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
     """
     run = uuid.uuid4().hex
     own = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"), (capture_ts if capture_ts is not None else F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col(f"`{id_col}`"), F.lit(0)))).alias("capture_ts"))
-    with_revisits(own, least_bytes).select(_record(run).alias("value")).write.option("lineSep", _CRLF * 2).text(path)
+    with_revisits(own, least_bytes).select(_record(run).alias("value")).write.option("lineSep", _CRLF * 2).option("compression", "gzip").text(path)
     return run
 
 
