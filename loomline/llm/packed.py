@@ -33,16 +33,18 @@ def _ids(data: bytes) -> np.ndarray:
 
 def pack(groups: np.ndarray, owners: np.ndarray, values: np.ndarray, kind: int, width: int = 8) -> pa.RecordBatch:
     """Rows for the pairs: one for each group. Of a value the ``width`` lowest bytes are kept."""
-    if len(groups) and groups.max() < 1 << 16:
+    if not len(groups):
+        return pa.RecordBatch.from_arrays([pa.array([], t) for t in _TYPES], names=_NAMES)
+    if groups.max() < 1 << 16:
         groups = groups.astype(np.uint16)  # sorted by radix
     order = np.argsort(groups, kind="stable")
     groups, owners, values = groups[order], owners[order], values[order]
-    starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1]))) if len(groups) else np.empty(0, np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
     rows = []
     for a, b in zip(starts, np.append(starts[1:], len(groups)), strict=True):
         raw = np.ascontiguousarray(values[a:b]).view(np.uint8).reshape(-1, 8)[:, :width]
         rows.append((int(groups[a]), kind, int(b - a), _owners(owners[a:b]), np.ascontiguousarray(raw).tobytes()))
-    columns = list(zip(*rows, strict=True)) or [[]] * len(_NAMES)
+    columns = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
 
