@@ -8,7 +8,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 #: Words that name a meter's component, and component words dropped from machine names.
-COMPONENT_WORDS = {"main": ("主機", "MAIN"), "uv": ("UV",), "ir": ("IR",), "motor": ("馬達", "MOTOR")}
+COMPONENT_WORDS = {"main": ("主機", " MAIN"), "uv": ("UV",), "ir": ("IR",), "motor": ("馬達", "MOTOR")}
 
 
 def clean_text(c: Column) -> Column:
@@ -47,9 +47,9 @@ def meter_label(c: Column) -> Column:
 
 def meter_component(label: Column) -> Column:
     """The component that the label names; several are a combo, a bare machine id is the total."""
-    text = F.upper(meter_label(label))
+    text = F.concat(F.lit(" "), F.upper(meter_label(label)))
     found = F.array_compact(F.array(*[F.when(F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w)), F.lit(name)) for name, words in COMPONENT_WORDS.items()]))
-    return F.when(F.size(found) > 1, "combo").when(F.size(found) == 1, found[0]).when(text.rlike(r"^\d{3,4}-\d{3,5}$"), "aggregate_total").otherwise("unknown")
+    return F.when(F.size(found) > 1, "combo").when(F.size(found) == 1, found[0]).when(text.rlike(r"\d{3,4}-\d{3,5}"), "aggregate_total").otherwise("unknown")
 
 
 def parse_confidence(component: Column, machine: Column) -> Column:
@@ -104,7 +104,7 @@ def machine_code(prefix: Column, suffix: Column) -> Column:
 
 def machine_pattern(name: Column) -> Column:
     """The machine code in a name, component words and brackets ignored; NULL without one."""
-    words = sorted({w for ws in COMPONENT_WORDS.values() for w in ws}, key=len, reverse=True)
+    words = sorted({w.strip() for ws in COMPONENT_WORDS.values() for w in ws}, key=len, reverse=True)
     text = F.regexp_replace(F.regexp_replace(F.upper(meter_label(name)), "|".join(words), " "), r"[()（）\[\]]", " ")
     prefix, suffix = (F.regexp_extract(text, r"(\d{3,4})\s*-\s*(\d{3,5})", i) for i in (1, 2))
     return F.when(prefix != "", machine_code(prefix, suffix))

@@ -566,3 +566,69 @@ def alias_resolution(spark, sf_dir):
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" n-"), F.col("c_nationkey"))).otherwise(F.concat(F.lit("at N-"), F.col("c_nationkey"), F.lit(" "))).alias("raw"))
     found = resolve(customers, "raw", nations, "erp", pattern=r"N-\d+", key="c_custkey")
     return found.select("c_custkey", F.coalesce("canonical_id", F.lit("unresolved")).alias("canonical"))
+
+
+# ---- layers, ingest, schedule and models ----
+@query("SELECT machine AS canonical_machine_id, comp AS meter_component, count(*) AS n_rows, sum(value) AS kwh FROM (SELECT machine, value, us, event_id, CASE event_type WHEN 'view' THEN 'main' WHEN 'click' THEN 'uv' WHEN 'error' THEN 'combo' ELSE 'aggregate_total' END AS comp FROM bound WHERE event_type <> 'purchase') WHERE event_id % 5 <> 0 OR us % 3600000000 = 0 GROUP BY ALL", S.DUCK, "kwh")
+def raw_to_clean_meters(spark, sf_dir):
+    """Labels are written as a meter export has them, one row in five off the hour, and read back through both layers."""
+    from ..sources.layers import clean_meters, raw_rows
+    from .bindings import _MACHINE
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type <> 'purchase'")
+    label = F.concat(F.expr(_MACHINE.format(text="string")), F.expr("case event_type when 'view' then ' 主機' when 'click' then '　ＵＶ' when 'error' then ' UV IR' else '' end"))
+    stamp = F.col("ts").cast("timestamp")
+    export = events.select(label.alias("machine"), F.date_format(F.when(F.col("event_id") % 5 != 0, F.date_trunc("hour", stamp)).otherwise(stamp), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("datetime"), F.col("value").cast("string").alias("kwh"), F.lit("").alias("cost"), "event_id")
+    clean = clean_meters(raw_rows(export, "energy"))
+    return clean.groupBy("canonical_machine_id", "meter_component").agg(F.count("*").alias("n_rows"), F.sum("kwh").alias("kwh"))
+
+
+@query("SELECT event_type, count(*) AS n_rows, sum(value) AS total FROM events GROUP BY event_type", "", "total")
+def incremental_ingest(spark, sf_dir):
+    """The events file through a checkpointed stream that takes what is there, twice: the second run finds nothing new."""
+    import uuid
+
+    from ..streaming.ingest import current_rows, ingest_available
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/loomline-checkpoints"
+    path = f"{root.rstrip('/')}/loomline/ingest-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    for _ in range(2):
+        ingest_available(spark, f"{sf_dir}/event[s].parquet", schema, f"{path}/table", f"{path}/state")
+    return current_rows(spark, f"{path}/table", ["event_id"], ["ts"]).groupBy("event_type").agg(F.count("*").alias("n_rows"), F.sum("value").alias("total"))
+
+
+_QUEUE = "SELECT family, material, task, difficulty, median(good_qty) AS qty, count(*) AS seen FROM ready WHERE eligible = 1 GROUP BY ALL ORDER BY seen DESC, family, material, task LIMIT 24"
+_PROFILES = "SELECT machine, family, sum(energy_kwh) / sum(good_qty) AS kwh_per_good, arg_max(hours_since, hour_us) AS hours_since, count(*) AS support FROM ready WHERE eligible = 1 GROUP BY ALL"
+
+
+@query(f"WITH q AS (SELECT *, greatest(25.0, round_even(qty / 25, 0) * 25) AS quantity, concat_ws('/', family, material, task) AS job FROM ({_QUEUE})), p AS ({_PROFILES}) SELECT job, q.family, quantity, machine, kwh_per_good * quantity AS energy_cost, kwh_per_good * quantity * (1 + CASE WHEN hours_since > 1000 THEN 0.25 WHEN hours_since > 500 THEN 0.10 ELSE 0 END + CASE WHEN support >= 50 THEN 0 WHEN support >= 10 THEN 0.05 ELSE 0.15 END) AS score FROM q JOIN p USING (family)", READY, "quantity energy_cost score")
+def candidate_scores(spark, sf_dir):
+    from . import schedule
+
+    rows = inputs(spark, sf_dir)
+    return schedule.candidates(schedule.job_queue(rows), schedule.machine_profiles(rows))
+
+
+@query(None)
+def greedy_schedule(spark, sf_dir):
+    from . import schedule
+
+    rows = inputs(spark, sf_dir)
+    return schedule.greedy(schedule.candidates(schedule.job_queue(rows), schedule.machine_profiles(rows)))
+
+
+@query(None)
+def efficiency_model(spark, sf_dir):
+    from . import models
+
+    rows = models.training_rows(inputs(spark, sf_dir)).persist()
+    train, held_out = models.time_split(rows)
+    return models.metrics(models.fit_regressors(train), held_out)
+
+
+@query(None)
+def weak_label_model(spark, sf_dir):
+    from . import models
+
+    return models.weak_label_model(_labelled(spark, sf_dir).persist())[1]
