@@ -25,7 +25,7 @@ from .common import byte_texts, id_and_text, rebatched
 #: Rows of positives, and of unlabelled texts, that the model is fitted on at most, about.
 SAMPLE = 12_000
 BINS = 12
-STEPS, RATE, DECAY = 400, 0.05, 1e-4
+STEPS, RATE, DECAY = 1200, 0.1, 1e-5
 NAMES = ("bytes", "words", "word_len", "distinct", "top_word", "adjacent", "odd_word", "symbols", "pipes", "bangs", "upper", "digits", "punct", "other", "space", "line_len", "dup_lines", "longest", "ratio", "short_words", "ends")
 _KEEP = {name: bytes(set(range(256)) - set(chars)) for name, chars in {
     "symbols": b"#*$%&<>", "pipes": b"|", "bangs": b"!?", "upper": bytes(range(65, 91)), "digits": b"0123456789", "punct": b".,;:'\"()-", "lower": bytes(range(97, 123)), "space": b" \t\n\x0b\x0c\r",
