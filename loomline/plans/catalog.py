@@ -632,3 +632,120 @@ def weak_label_model(spark, sf_dir):
     from . import models
 
     return models.weak_label_model(_labelled(spark, sf_dir).persist())[1]
+
+
+# ---- legacy hourly features and diagnostics ----
+@query("SELECT hash, machine, hour_us, CASE WHEN q < 0.5 THEN 0.0 ELSE q END AS good FROM (SELECT hash, machine, h AS hour_us, job_good * (least(prod_end_us, h + 3600000000) - greatest(prod_start_us, h)) / (prod_end_us - prod_start_us) AS q FROM (SELECT *, unnest(range(prod_start_us - prod_start_us % 3600000000, prod_end_us, 3600000000)) AS h FROM jobs WHERE prod_end_us > prod_start_us))", S.DUCK, "good")
+def hourly_allocation(spark, sf_dir):
+    """A job's pieces over its hours by share of overlap; under half a piece is none."""
+    from ..operators.timeops import spread_over_hours
+
+    rows = spread_over_hours(bound(spark, sf_dir)["jobs"], "prod_start_us", "prod_end_us")
+    inside = F.least(F.col("prod_end_us"), F.col("hour_us") + 3_600_000_000) - F.greatest("prod_start_us", "hour_us")
+    pieces = F.col("job_good") * inside / (F.col("prod_end_us") - F.col("prod_start_us"))
+    return rows.select("hash", "machine", "hour_us", F.when(pieces < 0.5, 0.0).otherwise(pieces).alias("good"))
+
+
+@query("SELECT machine, hour_us, CASE WHEN maintenance_in_hour = 1 THEN 'maintenance' WHEN setup_minutes > 0 THEN 'setup' WHEN production_minutes > 0 THEN 'production' ELSE 'idle' END AS use, CASE WHEN maintenance_in_hour = 1 THEN 1.0 WHEN setup_minutes > 0 THEN 0.9 WHEN production_minutes > 0 THEN 0.9 ELSE 0.8 END::double AS confidence FROM fact", S.FACT, "confidence")
+def hour_attribution(spark, sf_dir):
+    """One use for each hour: maintenance before setup before production, else idle."""
+    busy = F.when(F.col("maintenance_in_hour") == 1, "maintenance").when(F.col("setup_minutes") > 0, "setup").when(F.col("production_minutes") > 0, "production").otherwise("idle")
+    sure = F.when(F.col("maintenance_in_hour") == 1, 1.0).when((F.col("setup_minutes") > 0) | (F.col("production_minutes") > 0), 0.9).otherwise(0.8)
+    return fact(spark, sf_dir).select("machine", "hour_us", busy.alias("use"), sure.alias("confidence"))
+
+
+@query("SELECT category, count(*) AS n_rows, sum(energy_kwh) AS kwh FROM (SELECT energy_kwh, CASE WHEN isodow(t) >= 6 THEN 'weekend' WHEN hour(t) >= 22 OR hour(t) < 6 THEN 'overnight' WHEN hour(t) = 12 THEN 'lunch' WHEN hour(t) IN (7, 15) THEN 'shift_change' WHEN hour(t) BETWEEN 6 AND 17 THEN 'unexplained' ELSE 'evening' END AS category FROM (SELECT *, make_timestamp(hour_us) AS t FROM fact WHERE job_hash IS NULL)) GROUP BY category", S.FACT, "kwh")
+def idle_categories(spark, sf_dir):
+    from ..functions.scalars import idle_category
+
+    rows = fact(spark, sf_dir).filter("job_hash is null")
+    return rows.groupBy(idle_category(F.timestamp_micros("hour_us")).alias("category")).agg(F.count("*").alias("n_rows"), F.sum("energy_kwh").alias("kwh"))
+
+
+@query("WITH d AS (SELECT cast(make_timestamp(us) AS date) AS day, value FROM bound WHERE event_type = 'error') SELECT c.day, count(d.day) AS n_rows, coalesce(sum(value), 0) AS total FROM (SELECT cast(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS date) AS day FROM d) c LEFT JOIN d ON d.day = c.day GROUP BY c.day", S.DUCK, "total")
+def daily_calendar(spark, sf_dir):
+    """Every day from the first to the last, also days without a row."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'error'").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+    days = rows.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
+    return days.join(rows, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n_rows"), F.coalesce("v", F.lit(0.0)).alias("total"))
+
+
+@query("SELECT machine, count(DISTINCT hour_us) AS hours, sum(energy_kwh) AS kwh, avg(energy_kwh) AS mean_kwh, CASE WHEN count(DISTINCT hour_us) >= 100 THEN 'Active' ELSE 'Low' END AS activity, count(DISTINCT hour_us) / 720 AS utilization FROM backbone GROUP BY machine", S.BACKBONE, "kwh mean_kwh utilization")
+def machine_activity(spark, sf_dir):
+    hours = F.countDistinct("hour_us")
+    return backbone(bound(spark, sf_dir)["meters"]).groupBy("machine").agg(hours.alias("hours"), F.sum("energy_kwh").alias("kwh"), F.avg("energy_kwh").alias("mean_kwh"), F.when(hours >= 100, "Active").otherwise("Low").alias("activity"), (hours / 720).alias("utilization"))
+
+
+_DAY = 86_400_000_000
+_HALF = f"(SELECT DISTINCT machine, order_id FROM jobs WHERE prod_start_us // {_DAY} {{}} 19737)"
+
+
+@query(f"SELECT 'gained' AS change, machine, order_id FROM (SELECT * FROM {_HALF.format('>=')} EXCEPT SELECT * FROM {_HALF.format('<')}) UNION ALL SELECT 'lost', machine, order_id FROM (SELECT * FROM {_HALF.format('<')} EXCEPT SELECT * FROM {_HALF.format('>=')})", S.DUCK)
+def period_delta(spark, sf_dir):
+    """(machine, order) pairs that came or went between the halves of the month; anti joins both ways."""
+    jobs = bound(spark, sf_dir)["jobs"].withColumn("late", F.floor(F.col("prod_start_us") / _DAY) >= 19737)
+    new, old = (jobs.filter(c).select("machine", "order_id").distinct() for c in ("late", "not late"))
+    keys = ["machine", "order_id"]
+    return new.join(old, keys, "left_anti").select(F.lit("gained").alias("change"), *keys).union(old.join(new, keys, "left_anti").select(F.lit("lost"), *keys))
+
+
+@query("SELECT machine, hour_us, energy_kwh FROM backbone WHERE energy_kwh >= (SELECT quantile_cont(energy_kwh, 0.95) FROM backbone)", S.BACKBONE, "energy_kwh")
+def anomalous_rows(spark, sf_dir):
+    rows = backbone(bound(spark, sf_dir)["meters"]).select("machine", "hour_us", "energy_kwh")
+    edge = rows.agg(F.percentile("energy_kwh", F.lit(0.95)).alias("edge"))
+    return rows.join(F.broadcast(edge), F.col("energy_kwh") >= F.col("edge")).drop("edge")
+
+
+@query("SELECT machine, n_rows, cast(sum(c) OVER (ORDER BY n_rows RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS place FROM (SELECT machine, count(*) AS n_rows, 1 AS c FROM jobs GROUP BY machine)", S.DUCK)
+def order_with_ties(spark, sf_dir):
+    """Rank in which ties share the larger place."""
+    counts = bound(spark, sf_dir)["jobs"].groupBy("machine").agg(F.count("*").alias("n_rows"))
+    return counts.withColumn("place", F.count("*").over(Window.partitionBy().orderBy("n_rows").rangeBetween(Window.unboundedPreceding, 0)))
+
+
+@query("SELECT machine, energy_share, cume_dist() OVER (ORDER BY energy_share) AS percentile FROM (SELECT machine, sum(energy_kwh) / sum(sum(energy_kwh)) OVER () AS energy_share FROM backbone GROUP BY machine)", S.BACKBONE, "energy_share percentile")
+def percentile_rank(spark, sf_dir):
+    every = Window.partitionBy()
+    out = backbone(bound(spark, sf_dir)["meters"]).groupBy("machine").agg(F.sum("energy_kwh").alias("kwh"))
+    return out.withColumn("energy_share", F.col("kwh") / F.sum("kwh").over(every)).select("machine", "energy_share", F.cume_dist().over(every.orderBy("energy_share")).alias("percentile"))
+
+
+@query("SELECT coalesce(a.order_id, b.order_id) AS order_id, CASE WHEN a.order_id IS NULL THEN 'new' ELSE 'updated' END AS change FROM (SELECT order_id, max(prod_start_us) AS t FROM jobs WHERE prod_start_us // 86400000000 < 19737 GROUP BY 1) a FULL JOIN (SELECT order_id, max(prod_start_us) AS t FROM jobs GROUP BY 1) b USING (order_id) WHERE a.order_id IS NULL OR a.t <> b.t", S.DUCK)
+def snapshot_diff(spark, sf_dir):
+    """Keys that are new or newer than in an earlier snapshot."""
+    jobs = bound(spark, sf_dir)["jobs"]
+    state = lambda df, c: df.groupBy("order_id").agg(F.max("prod_start_us").alias(c))
+    both = state(jobs.filter(F.floor(F.col("prod_start_us") / _DAY) < 19737), "was").join(state(jobs, "now"), "order_id", "full_outer")
+    return both.filter("was is null or was <> now").select("order_id", F.when(F.col("was").isNull(), "new").otherwise("updated").alias("change"))
+
+
+@query(f"WITH z AS ({_SHADOW}) SELECT coalesce(shadow_reason, 'eligible') AS reason, count(*) AS n_rows, count(DISTINCT z.job_hash) AS jobs, sum(abs(coalesce(shadow_good, 0) - coalesce(f.good_qty, 0))) AS drift FROM z JOIN fq f USING (machine, hour_us) GROUP BY 1", S.QUANTITY, "drift")
+def shadow_diagnostics(spark, sf_dir):
+    rows = quantity_shadow(_quantity(spark, sf_dir))
+    drift = F.abs(F.coalesce("shadow_good", F.lit(0.0)) - F.coalesce("good_qty", F.lit(0.0)))
+    return rows.groupBy(F.coalesce("shadow_reason", F.lit("eligible")).alias("reason")).agg(F.count("*").alias("n_rows"), F.countDistinct("job_hash").alias("jobs"), F.sum(drift).alias("drift"))
+
+
+@query("SELECT rule, value FROM (UNPIVOT (SELECT sum(CASE WHEN job_hash IS NULL THEN energy_kwh END) / sum(energy_kwh) * 100 AS idle_share, stddev_samp(energy_kwh) / avg(energy_kwh) * 100 AS spread, avg(energy_kwh) FILTER (isodow(make_timestamp(hour_us)) >= 6) / avg(energy_kwh) FILTER (isodow(make_timestamp(hour_us)) < 6) * 100 AS weekend FROM fact) ON idle_share, spread, weekend INTO NAME rule VALUE value) WHERE value > CASE rule WHEN 'idle_share' THEN 15 WHEN 'spread' THEN 20 ELSE 120 END", S.FACT, "value")
+def threshold_recommendations(spark, sf_dir):
+    """Rules whose figure is over its limit: idle energy over 15 %, spread over 20 % of the mean, weekends over 120 %."""
+    weekend = F.weekday(F.timestamp_micros("hour_us")) >= 5
+    mean = lambda c: F.avg(F.when(c, F.col("energy_kwh")))
+    figures = fact(spark, sf_dir).agg((F.sum(F.when(F.col("job_hash").isNull(), F.col("energy_kwh"))) / F.sum("energy_kwh") * 100).alias("idle_share"), (F.stddev_samp("energy_kwh") / F.avg("energy_kwh") * 100).alias("spread"), (mean(weekend) / mean(~weekend) * 100).alias("weekend"))
+    limit = F.when(F.col("rule") == "idle_share", 15).when(F.col("rule") == "spread", 20).otherwise(120)
+    return figures.unpivot([], ["idle_share", "spread", "weekend"], "rule", "value").filter(F.col("value") > limit)
+
+
+@query("SELECT component, count(value) AS n_rows, avg(value) AS mean, stddev_samp(value) AS deviation, min(value) AS least, max(value) AS most FROM (SELECT component, kwh AS value FROM meters) GROUP BY component", S.DUCK, "mean deviation least most")
+def feature_statistics(spark, sf_dir):
+    value = "kwh"
+    return bound(spark, sf_dir)["meters"].groupBy("component").agg(F.count(value).alias("n_rows"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+@query(f"WITH l AS (SELECT *, energy_kwh / good_qty AS k FROM ({_LATEST})), p AS (SELECT a.machine, median(b.k) AS baseline FROM l a JOIN l b ON a.machine <> b.machine GROUP BY a.machine) SELECT machine, greatest(k - baseline, 0) * good_qty AS priority, CASE WHEN k > baseline THEN 'over' ELSE 'within' END AS verdict FROM l JOIN p USING (machine)", READY, "priority")
+def review_queue(spark, sf_dir):
+    """Machines by what they use over the median of all other machines, times their pieces."""
+    latest = R.latest_per_machine(inputs(spark, sf_dir)).withColumn("kwh_per_good", F.col("energy_kwh") / F.col("good_qty"))
+    base = R.peer_baseline(latest, least_family=1 << 30, least_difficulty=1 << 30)
+    over = F.col("kwh_per_good") - F.col("baseline")
+    return latest.join(base, "machine").select("machine", (F.greatest(over, F.lit(0.0)) * F.col("good_qty")).alias("priority"), F.when(over > 0, "over").otherwise("within").alias("verdict"))
