@@ -18,13 +18,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import Vocabulary, pieces, vocabulary
-from .common import id_and_text, rebatched, str_texts
+from .common import id_and_text, keeps, rebatched, str_texts
 
-#: Pieces whose identifiers a worker keeps.
+#: Pieces whose identifiers a worker keeps, and pre-tokens that one index takes.
 KEPT_PIECES = 500_000
+INDEX_TOKENS = 20_000
 _kept: dict[str, dict[str, bytes]] = {}
 
 
+def _free() -> None:
+    if _kept:
+        _kept.clear()
+        vocabulary.cache_clear()
+
+
+keeps("bpe_codec", _free)
+
+
 def encode_pretokens(tokens: list[str], vocab: Vocabulary) -> list[bytes]:
     """The identifiers of each pre-token as little-endian unsigned 32-bit integers."""
     find, first = vocab.merges.get, vocab.first
@@ -86,7 +96,10 @@ class Encoder:
         vocab = self.vocab
         cut = {text: vocab.pretokens(text) for text in texts}
         tokens = list({t for x in cut.values() for t in x})
-        ids = dict(zip(tokens, encode_pretokens(tokens, vocab), strict=True))
+        ids: dict[str, bytes] = {}
+        for at in range(0, len(tokens), INDEX_TOKENS):
+            lot = tokens[at : at + INDEX_TOKENS]
+            ids.update(zip(lot, encode_pretokens(lot, vocab), strict=True))
         self.kept |= {text: b"".join([ids[t] for t in x]) for text, x in cut.items()}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -127,7 +140,7 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocab_path)
-        for batch in rebatched(batches, "text"):
+        for batch in rebatched(batches, "text", keeper="bpe_codec"):
             ids = encoder(str_texts(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -142,7 +155,7 @@ def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = vocabulary(vocab_path).bytes_of
         table = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
-        for batch in rebatched(batches, "ids"):
+        for batch in rebatched(batches, "ids", keeper="bpe_codec"):
             ids = [array("I", x or b"") for x in batch.column("ids").to_pylist()]
             texts = [b"".join(map(table.__getitem__, x)).decode("utf-8", "replace") for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])

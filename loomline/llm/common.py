@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rebatched(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``limit`` bytes of ``text`` each, or one row."""
+#: What to call to free the tables that an operator keeps in a Python worker, by its name.
+_kept_by: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, free: Callable[[], None]) -> None:
+    """An operator says that its tables stay in the worker from task to task, and how to free them."""
+    _kept_by[name] = free
+
+
+def rebatched(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES, keeper: str = "") -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``limit`` bytes of ``text`` each, or one row.
+
+    Workers are used again by later stages: tables that operators other than ``keeper`` left are freed.
+    """
+    for name, free in _kept_by.items():
+        if name != keeper:
+            free()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -93,7 +108,7 @@ def whole_rows(out: DataFrame, docs: DataFrame, text_col: str = "text") -> DataF
 class WordHasher:
     """64-bit hashes of words, with a bounded memory of those seen."""
 
-    def __init__(self, seed: int = 0, limit: int = 400_000) -> None:
+    def __init__(self, seed: int = 0, limit: int = 200_000) -> None:
         self.seen: dict[bytes, int] = {}
         self.seed, self.limit = seed, limit
 

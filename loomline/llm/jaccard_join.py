@@ -31,8 +31,8 @@ from . import packed
 from .common import WordHasher, byte_texts, id_and_text, rebatched, window_hashes, written
 from .components import components
 
-CHUNK_BYTES = 6 << 20
-GROUP_SHINGLES = 1_000_000
+CHUNK_BYTES = 3 << 20
+GROUP_SHINGLES = 500_000
 BUCKET_ROWS = 4000
 #: Sets on a side of a tile.
 TILE = 2048

@@ -16,13 +16,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .byte_bpe import Vocabulary, pieces, vocabulary
-from .common import id_and_text, rebatched, str_texts
+from .common import id_and_text, keeps, rebatched, str_texts
 
 #: Pieces whose counts a worker keeps.
 KEPT_PIECES = 600_000
 _kept: dict[str, dict[str, int]] = {}
 
 
+def _free() -> None:
+    if _kept:
+        _kept.clear()
+        vocabulary.cache_clear()
+
+
+keeps("token_counts", _free)
+
+
 def merges_in(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> int:
     """How many merges the symbols undergo."""
     n = len(symbols)
@@ -99,7 +108,7 @@ def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(vocab_path)
-        for batch in rebatched(batches, "text"):
+        for batch in rebatched(batches, "text", keeper="token_counts"):
             n = [count(t) for t in str_texts(batch, "text")]
             size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
