@@ -45,7 +45,7 @@ CHUNK_BYTES = 4 << 20
 _BLOCK = 1 << 16
 _PRIOR = 0.4
 _LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
-_WORD, _TEXT = 0, 1
+_WORD, _TIMES, _SIGN, _LOGS, _KNOWN, _TOTALS = range(6)
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -262,44 +262,64 @@ def softplus(x: np.ndarray) -> np.ndarray:
     return np.log1p(np.exp(-np.abs(x))) + np.maximum(x, 0)
 
 
-def base_sums(texts: DataFrame, groups: int) -> DataFrame:
-    """For each group of words and row signature: sum of log10(c + 0.1), known words and words.
+def base_sums(texts: DataFrame, groups: int, buckets: int) -> DataFrame:
+    """For each row its signature, the sum of log10(c + 0.1) over its words, and known words.
 
-    A row without signature for each group has the training words and the distinct ones among them.
+    Word groups know the counts; they answer with packed partial sums by bucket of the row, which are
+    added up there. A row without signature has the training words and the distinct ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in rebatched(batches, "text", CHUNK_BYTES):
             owners, values, times = [], [], []
-            for sign, held, text in zip(batch.column("sign").to_pylist(), batch.column("held_out").to_pylist(), byte_texts(batch, "text"), strict=True):
+            rows = np.array(batch.column("row").to_pylist(), np.int64)
+            for row, held, text in zip(rows.tolist(), batch.column("held_out").to_pylist(), byte_texts(batch, "text"), strict=True):
                 words, n = np.unique(hasher(text.translate(_LOWER).split()), return_counts=True)
-                owners.append(np.full(len(words), sign, np.int64))
+                owners.append(np.full(len(words), row, np.int64))
                 values.append(words)
                 times.append(n.astype(np.uint64) * np.uint64(2) + np.uint64(not held))
             owner, value, time = np.concatenate(owners), np.concatenate(values), np.concatenate(times)
             group = (value % np.uint64(groups)).astype(np.int64)
             yield packed.pack(group, owner, value, _WORD)
-            yield packed.pack(group, owner, time, _TEXT, 4)
+            yield packed.pack(group, owner, time, _TIMES, 4)
+            yield packed.pack(rows % groups, rows, np.array(batch.column("sign").to_pylist(), np.int64).view(np.uint64), _SIGN)
 
-    def add(table: pa.Table) -> pa.Table:
+    def look_up(table: pa.Table) -> pa.Table:
+        rows, names = packed.unpack(table, _SIGN)
+        order = np.argsort(rows, kind="stable")
+        out = [packed.pack(rows[order] % buckets, rows[order], names[order], _SIGN)]
         owners, words = packed.unpack(table, _WORD)
-        _, times = packed.unpack(table, _TEXT, 4)
-        n, train = (times >> np.uint64(1)).astype(np.int64), (times & np.uint64(1)).astype(bool)
-        order, number = packed.classes(words)
-        c = np.bincount(number, np.where(train, n, 0)[order])
-        own = np.empty(len(words), np.float64)
-        own[order] = c[number]
-        signs, at = np.unique(owners, return_inverse=True)
-        total = int(c.sum())
-        return pa.table({
-            "sign": pa.array([*signs.tolist(), None], pa.int64()),
-            "logs": pa.array([*np.bincount(at, n * np.log10(own + 0.1), len(signs)).tolist(), 0.0], pa.float64()),
-            "known": pa.array([*np.bincount(at, np.where(own > 0, n, 0), len(signs)).astype(np.int64).tolist(), total], pa.int64()),
-            "words": pa.array([*np.bincount(at, n, len(signs)).astype(np.int64).tolist(), int((c > 0).sum())], pa.int64()),
-        })
-
-    return texts.select("sign", "held_out", "text").mapInArrow(run, packed.SCHEMA).groupBy("grp").applyInArrow(add, "sign bigint, logs double, known bigint, words bigint")
+        _, times = packed.unpack(table, _TIMES, 4)
+        if len(words):
+            n, train = (times >> np.uint64(1)).astype(np.int64), (times & np.uint64(1)).astype(bool)
+            order, number = packed.classes(words)
+            c = np.bincount(number, np.where(train, n, 0)[order])
+            own = np.empty(len(words), np.float64)
+            own[order] = c[number]
+            rows, at = np.unique(owners, return_inverse=True)
+            logs = np.bincount(at, n * np.log10(own + 0.1), len(rows))
+            known = np.bincount(at, np.where(own > 0, n, 0), len(rows)).astype(np.uint64)
+            totals = np.array([c.sum(), (c > 0).sum()]).astype(np.uint64)
+            out += [packed.pack(rows % buckets, rows, logs.view(np.uint64), _LOGS), packed.pack(rows % buckets, rows, known, _KNOWN, 4), packed.pack(np.zeros(2, np.int64), np.arange(2), totals, _TOTALS)]
+        return pa.Table.from_batches(out)
+
+    def add(table: pa.Table) -> pa.Table:
+        rows, names = packed.unpack(table, _SIGN)
+        rows, first = np.unique(rows, return_index=True)
+        owners, logs = packed.unpack(table, _LOGS)
+        _, known = packed.unpack(table, _KNOWN, 4)
+        at = np.searchsorted(rows, owners)
+        columns = [names[first].view(np.int64).tolist(), np.bincount(at, logs.view(np.float64), len(rows)).tolist(), np.bincount(at, known, len(rows)).astype(np.int64).tolist(), [0] * len(rows)]
+        kind, totals = packed.unpack(table, _TOTALS)
+        if len(kind):
+            for column, x in zip(columns, (None, 0.0, int(totals[kind == 0].sum()), int(totals[kind == 1].sum())), strict=True):
+                column.append(x)
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["sign", "logs", "known", "words"])
+
+    numbered = texts.select("sign", "held_out", "text", F.monotonically_increasing_id().alias("row"))
+    answers = numbered.mapInArrow(run, packed.SCHEMA).groupBy("grp").applyInArrow(look_up, packed.SCHEMA)
+    return answers.groupBy("grp").applyInArrow(add, "sign bigint, logs double, known bigint, words bigint")
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 10) -> DataFrame:
@@ -318,12 +338,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     code = Code(counts)
     ends = int(counts[END]) - 1
     model = spark.sparkContext.broadcast((code, *trained(texts, code)))
-    groups = max(16, math.ceil(int(counts.sum()) / 10 / 1_000_000))
-    sums = written(base_sums(texts, groups), "base")
+    groups = max(128, math.ceil(int(counts.sum()) / 10 / 1_000_000))  # few would make answers grow faster than the input
+    buckets = max(math.ceil(ends / 20_000), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sums = written(base_sums(texts, groups, buckets), "base")
     n, v = (x or 0 for x in sums.filter("sign is null").agg(F.sum("known"), F.sum("words")).first())
     train_tokens, distinct = n + ends, v + (ends > 0)
     norm = math.log10(train_tokens + 0.1 * (distinct + 1))
-    per_text = sums.filter("sign is not null").groupBy("sign").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"), F.sum("words").alias("words"))
+    per_text = sums.filter("sign is not null").groupBy("sign").agg(F.max("logs").alias("logs"), F.max("known").alias("known"))  # equal rows have equal sums
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, tables, weights = model.value
@@ -335,14 +356,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("sign"), pa.array(n, pa.int64()), pa.array(-bits * math.log10(2), pa.float64()), pa.array(bits / np.maximum(1, list(map(len, texts))), pa.float64())], names=["doc_id", "held_out", "sign", "n", "score", "bits_per_byte"])
 
     scored = texts.select("doc_id", "held_out", "sign", "text").mapInArrow(run, "doc_id bigint, held_out boolean, sign bigint, n bigint, score double, bits_per_byte double")
-    same = F.coalesce(F.col("words") / F.nullif(F.col("n"), F.lit(0)), F.lit(1))  # equal rows of equal ids were added up
     return scored.join(per_text, "sign", "left").select(
         "doc_id",
         "held_out",
         (F.col("n") + 1).alias("n_tokens"),
-        (F.coalesce(F.round(F.col("known") / same), F.lit(0)).cast("bigint") + F.lit(int(ends > 0))).alias("n_known"),
+        (F.coalesce("known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(train_tokens).cast("bigint").alias("train_tokens"),
-        (F.coalesce(F.col("logs") / same, F.lit(0.0)) + math.log10(ends + 0.1) - (F.col("n") + 1) * norm).alias("base_score"),
+        (F.coalesce("logs", F.lit(0.0)) + math.log10(ends + 0.1) - (F.col("n") + 1) * norm).alias("base_score"),
         "score",
         "bits_per_byte",
     )
