@@ -45,7 +45,7 @@ CHUNK_BYTES = 4 << 20
 _BLOCK = 1 << 16
 _PRIOR = 0.4
 _LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
-_WORD, _TIMES, _SIGN, _LOGS, _KNOWN, _TOTALS = range(6)
+_WORD, _SIGN, _SUMS, _TOTALS = range(4)
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -281,16 +281,14 @@ def base_sums(texts: DataFrame, groups: int, buckets: int) -> DataFrame:
                 times.append(n.astype(np.uint64) * np.uint64(2) + np.uint64(not held))
             owner, value, time = np.concatenate(owners), np.concatenate(values), np.concatenate(times)
             group = (value % np.uint64(groups)).astype(np.int64)
-            yield packed.pack(group, owner, value, _WORD)
-            yield packed.pack(group, owner, time, _TIMES, 4)
+            yield packed.pack(group, owner, value, _WORD, second=time)
             yield packed.pack(rows % groups, rows, np.array(batch.column("sign").to_pylist(), np.int64).view(np.uint64), _SIGN)
 
     def look_up(table: pa.Table) -> pa.Table:
         rows, names = packed.unpack(table, _SIGN)
         order = np.argsort(rows, kind="stable")
         out = [packed.pack(rows[order] % buckets, rows[order], names[order], _SIGN)]
-        owners, words = packed.unpack(table, _WORD)
-        _, times = packed.unpack(table, _TIMES, 4)
+        owners, words, times = packed.unpack_two(table, _WORD)
         if len(words):
             n, train = (times >> np.uint64(1)).astype(np.int64), (times & np.uint64(1)).astype(bool)
             order, number = packed.classes(words)
@@ -301,14 +299,13 @@ def base_sums(texts: DataFrame, groups: int, buckets: int) -> DataFrame:
             logs = np.bincount(at, n * np.log10(own + 0.1), len(rows))
             known = np.bincount(at, np.where(own > 0, n, 0), len(rows)).astype(np.uint64)
             totals = np.array([c.sum(), (c > 0).sum()]).astype(np.uint64)
-            out += [packed.pack(rows % buckets, rows, logs.view(np.uint64), _LOGS), packed.pack(rows % buckets, rows, known, _KNOWN, 4), packed.pack(np.zeros(2, np.int64), np.arange(2), totals, _TOTALS)]
+            out += [packed.pack(rows % buckets, rows, logs.view(np.uint64), _SUMS, second=known), packed.pack(np.zeros(2, np.int64), np.arange(2), totals, _TOTALS)]
         return pa.Table.from_batches(out)
 
     def add(table: pa.Table) -> pa.Table:
         rows, names = packed.unpack(table, _SIGN)
         rows, first = np.unique(rows, return_index=True)
-        owners, logs = packed.unpack(table, _LOGS)
-        _, known = packed.unpack(table, _KNOWN, 4)
+        owners, logs, known = packed.unpack_two(table, _SUMS)
         at = np.searchsorted(rows, owners)
         columns = [names[first].view(np.int64).tolist(), np.bincount(at, logs.view(np.float64), len(rows)).tolist(), np.bincount(at, known, len(rows)).astype(np.int64).tolist(), [0] * len(rows)]
         kind, totals = packed.unpack(table, _TOTALS)

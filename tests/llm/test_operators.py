@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("loomline.llm")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -240,6 +241,18 @@ def test_context_mixing_base_and_probabilities(docs):
         assert r.score < 0 and math.isfinite(r.score)
 
 
+def test_base_scores_do_not_depend_on_the_order_of_packed_rows(spark, docs, monkeypatch):
+    frame, columns = type(docs), ("doc_id", "n_known", "train_tokens", "base_score")
+    want = by_id(context_mixing.score_texts(docs).select(*columns))
+    group_by = frame.groupBy
+    # Equal groups meet in the order of spills: here the rows come sorted by a hash of what they hold.
+    monkeypatch.setattr(frame, "groupBy", lambda df, *c: group_by(df.orderBy(F.xxhash64("vals", "owners")) if c == ("grp",) else df, *c))
+    got = by_id(context_mixing.score_texts(docs).select(*columns))
+    for i, r in want.items():
+        assert (got[i].n_known, got[i].train_tokens) == (r.n_known, r.train_tokens)
+        assert got[i].base_score == pytest.approx(r.base_score)
+
+
 def test_mixed_probabilities_sum_to_one():
     import numpy as np
 
