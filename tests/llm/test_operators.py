@@ -83,6 +83,26 @@ def test_compression_bands_reject_noise_and_repetition():
     assert len(noise) > 0
 
 
+def test_compression_bands_reject_encoded_data_and_one_odd_chunk():
+    import zstandard
+
+    c, bands, rng = zstandard.ZstdCompressor(level=3), quality_rules.Bands(), random.Random(8)
+    fits = lambda t: quality_rules.compression_verdict(t, bands, c)[0]
+    for size in (1500, 3000, 5000, 10_000, 40_000):
+        assert not fits(base64.encodebytes(rng.randbytes(size))[:size])
+    for size in (6000, 12_000, 40_000):
+        digits = rng.randbytes(size).hex()
+        assert not fits("\n".join(digits[i : i + 64] for i in range(0, size, 64)).encode())
+    words = [rng.randbytes(rng.randint(1, 4)).hex().encode() for _ in range(400)]
+    long = b" ".join(rng.choice(words) for _ in range(4000))
+    prose = long[: 4 * 4096]
+    assert all(fits(long[:size]) for size in (600, 1500, 2500, 4000, 9900, 4 * 4096, 4 * 4096 + 1800))
+    assert not fits(prose[:4096] + (b"again and " * 410)[:4096] + prose[8192:])
+    assert not fits(prose[:8192] + base64.encodebytes(rng.randbytes(4096))[:4096] + prose[12_288:])
+    assert not fits(prose + b"again and " * 60)  # only the last, partial chunk
+    assert not fits(b"again and " * 60)
+
+
 def test_tokens_and_round_trip(docs):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(PATH)
