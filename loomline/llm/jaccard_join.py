@@ -254,8 +254,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     their own components). A row without id takes part; its component is null if no member has an id.
     An empty table gives no rows. Other columns are not read.
     """
-    texts = id_and_text(docs, id_col, text_col, F.monotonically_increasing_id().alias("row"))
-    n_rows, size = docs.select(F.count("*"), F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()
+    known = _row_components(id_and_text(docs, id_col, text_col, F.monotonically_increasing_id().alias("row")), width, percent)
+    least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return known.join(least, "component").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
+def first_of_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One whole row of ``docs`` for each component: the one with the smallest id, a row without id only if none has one.
+
+    Of several such rows one stays. Rows are numbered and written first, so ids may be null or repeat.
+    """
+    number = "row"
+    while number in map(str.lower, docs.columns):
+        number += "_"
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    known = _row_components(id_and_text(numbered, id_col, text_col, F.col(number).alias("row")), width, percent)
+    first = known.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(number))
+    return numbered.join(first, number, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def _row_components(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """row, doc_id, size and component (a row) of each row of (doc_id, text, row)."""
+    n_rows, size = texts.select(F.count("*"), F.sum(F.octet_length("text"))).first()
     groups = max(128, math.ceil((size or 0) / 6 / GROUP_SHINGLES))
     buckets = max(1, math.ceil(n_rows / BUCKET_ROWS))
     sets = written(_sets(_answers(_shingles(texts, width, groups), groups, buckets), percent), "sets")
@@ -266,6 +286,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     light = light_boundary({r["size"]: r["n"] for r in single.filter(F.col("size") <= 2 * MOST_LIGHT).groupBy("size").agg(F.count("*").alias("n")).collect()}, percent)
     links = copies.union(_light_links(single, light, percent)).union(_heavy_links(single, light, percent))
     of = components(links)
-    known = sets.select("row", "doc_id", "size").join(of, F.col("row") == F.col("node"), "left").withColumn("component", F.coalesce("component", "row"))
-    least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return known.join(least, "component").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    return sets.select("row", "doc_id", "size").join(of, F.col("row") == F.col("node"), "left").withColumn("component", F.coalesce("component", "row"))

@@ -33,6 +33,18 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id: r.text for r in last.collect()} == {r.doc_id: r.text for r in clean.collect()}
 
 
+def test_near_duplicates_without_id_and_with_an_id_of_two_groups(spark, tmp_path):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = lambda t: t + " tail"
+    rows = [(None, one, 0), (None, near(one), 1), (None, None, 2), (None, two, 3), (5, near(two), 4), (4, two, 5), (4, three, 6), (4, near(three), 7), (3, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long").repartition(3)
+    kept = sorted(corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect(), key=lambda r: r.row)
+    assert docs.columns == list(kept[0].asDict())
+    assert [r.row in (0, 1) for r in kept] == [True, False, False, False, False]
+    assert [r.row for r in kept[1:3]] == [2, 5] and kept[3].row in (6, 7) and kept[4].row == 8
+    assert all(tuple(r) == rows[r.row] for r in kept)
+
+
 def test_stages_of_nothing(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, n_chars long")
     spark.createDataFrame([], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
