@@ -13,6 +13,7 @@ import re
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import regex
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
@@ -47,7 +48,11 @@ def byte_letters() -> dict[int, str]:
 
 
 class Vocabulary:
-    """Tables of one file: ``merges[(left, right)] = (rank, merged id)`` and bytes of each id."""
+    """Tables of one file: ``merges[(left, right)] = (rank, merged id)`` and bytes of each id.
+
+    Of each rank ``lefts``, ``rights`` and ``merged``. No merge may stand before one that makes its parts, so a merge
+    never opens the way for a lower rank: all places of a rank can be merged at once.
+    """
 
     def __init__(self, path: str) -> None:
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
@@ -60,6 +65,17 @@ class Vocabulary:
         self.first = [ids[letters[b]] for b in range(256)]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.size = max(max(ids.values()) + 1, 1)
+        self.lefts, self.rights, self.merged = ([column(a, b) for a, b in pairs] for column in (lambda a, b: ids[a], lambda a, b: ids[b], lambda a, b: ids[a + b]))
+        made = {m: rank for rank, m in enumerate(self.merged)}
+        if len(made) < len(pairs) or any(max(made.get(a, -1), made.get(b, -1)) > rank for rank, (a, b) in enumerate(zip(self.lefts, self.rights, strict=True))):
+            raise ValueError(f"{path}: a merge stands before one that makes its parts, or two make the same token")
+        self.rank_of = {a * self.size + b: rank for rank, (a, b) in enumerate(zip(self.lefts, self.rights, strict=True))}
+        self.first_ids = np.array(self.first, np.int32)
+        codes = np.fromiter(self.rank_of, np.int64, len(pairs))
+        order = np.argsort(codes)
+        self._codes, self._ranks = np.append(codes[order], np.int64(1) << 62), np.append(order, -1).astype(np.int32)
+        self.byte_ranks = self.ranks((self.first_ids[:, None].astype(np.int64) * self.size + self.first_ids[None, :]).ravel()).reshape(256, 256)
         self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in ids.items()}
         self.special: dict[str, int] = {}
         for token in spec.get("added_tokens", []):
@@ -70,6 +86,11 @@ class Vocabulary:
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._tokens = regex.compile(_PATTERN)
 
+    def ranks(self, codes: np.ndarray) -> np.ndarray:
+        """The rank of each pair ``left * size + right``; -1 for one that is no merge."""
+        at = np.searchsorted(self._codes, codes)
+        return np.where(self._codes[at] == codes, self._ranks[at], np.int32(-1))
+
     def segments(self, text: str) -> list[tuple[str, int | None]]:
         """The text between added tokens, and those tokens with their ids, in order."""
         if not self._special or not self._special.search(text):

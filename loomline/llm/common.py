@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,6 +39,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: workers stay for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def _find_trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return None
+
+
+_trim = _find_trim()
+
 #: What to call to free the tables that an operator keeps in a Python worker, by its name.
 _kept_by: dict[str, Callable[[], None]] = {}
 
@@ -54,9 +73,15 @@ def rebatched(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_B
     for name, free in _kept_by.items():
         if name != keeper:
             free()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    try:
+        for batch in batches:
+            yield from _slices(batch, text, limit)
+    finally:
+        give_back()
+
+
+def _slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         at = 0

@@ -23,7 +23,7 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    decoded = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), path), path)
+    decoded = bpe_codec.round_trip(table(spark, sf_dir, "documents"), path)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 

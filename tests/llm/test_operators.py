@@ -113,6 +113,8 @@ def test_tokens_and_round_trip(docs):
         assert (counts[i].n_bytes, counts[i].n_tokens, counts[i].over_limit) == (len(plain(t)), len(want[i]), len(want[i]) > 50)
         assert bytes(decoded[i].ids) == b"".join(x.to_bytes(4, "little") for x in want[i])
         assert decoded[i].text == library.decode(want[i], skip_special_tokens=False)
+    both = by_id(bpe_codec.round_trip(docs, PATH))
+    assert {i: tuple(r) for i, r in both.items()} == {i: tuple(r) for i, r in decoded.items()}
 
 
 def test_tokens_of_odd_characters():
@@ -127,6 +129,27 @@ def test_tokens_of_odd_characters():
     assert encoder(many) == [b"".join(x.to_bytes(4, "little") for x in ids) for ids in want]
 
 
+def test_pair_index_of_long_and_repeated_pieces(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(PATH)
+    rng = random.Random(9)
+    letters = "etaoinshrdlu"
+    many = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    many += ["a" * n for n in (1, 2, 3, 31, 5000)] + ["=" * 70_000, "ab" * 40_000, "é" * 999, "!?" * 300] + [" ".join(many[:900])]
+    want = [b"".join(x.to_bytes(4, "little") for x in library.encode(t, add_special_tokens=False).ids) for t in many]
+    for few in (0, 24, 10**9):  # all lists as arrays, as in use, all place by place
+        monkeypatch.setattr(bpe_codec, "_FEW", few)
+        assert bpe_codec.Encoder(PATH)(many) == want
+
+
+def test_decode_bytes_that_are_no_text(spark):
+    vocab = bpe_codec.vocabulary(PATH)
+    ids = [vocab.first[b] for b in (0xFF, 0x61, 0xC3)]
+    rows = [(1, b"".join(x.to_bytes(4, "little") for x in ids)), (2, None), (3, b"")]
+    got = by_id(bpe_codec.decode(spark.createDataFrame(rows, "doc_id long, ids binary"), PATH))
+    assert (got[1].text, got[2].text, got[3].text) == ("\ufffda\ufffd", "", "")
+
+
 def test_substring_dedup(docs):
     first: dict = {}
     words = {i: plain(t).split() for i, t in DOCS}
