@@ -42,7 +42,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token identifiers and, from these, its text again."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe_codec.decode(bpe_codec.encode(docs, path), path)
+    return bpe_codec.round_trip(docs, path)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark), ("BPE encoding and decoding", tokens)]
