@@ -23,9 +23,15 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    A local session without that setting gets one in the temporary folder; on a cluster it is an error, as
+    each executor would write to its own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file:///tmp/loomline-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/loomline/{name}-{uuid.uuid4().hex}"

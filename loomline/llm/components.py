@@ -12,6 +12,11 @@ def _both(links: DataFrame) -> DataFrame:
     return links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def _fingerprint(links: DataFrame) -> tuple[int, int | None, int | None]:
+    """Number of links and two checksums of 64 bits; the links are distinct, so equal ones have the same."""
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b); the component is the smallest node in it.
 
@@ -21,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
     executor costs a round at most. Self links and repeated links do no harm.
     """
     now = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while True:
+    before = _fingerprint(now)
+    while before[0]:
         both = _both(now)
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -30,8 +36,9 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.col("b").alias("x"), "a", "m")
         new = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         new = written(new, "links")
-        if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
+        now, after = new, _fingerprint(new)
+        if after == before:
             break
-        now = new
+        before = after
     nodes = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

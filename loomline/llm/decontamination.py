@@ -5,14 +5,16 @@ string). For each length of string a shift table over blocks of two words tells
 may jump; where it may not, the block selects a bucket of test strings, and comparing words decides.
 Common text holds none of the blocks, so the search reads about one word in twelve.
 
-The strings go to the tasks in blocks of at most ``max_block_bytes`` of benchmark text; a larger
-benchmark is searched block after block in the same pass over the documents, without a shuffle.
+The strings go to the tasks in blocks of about ``max_block_bytes`` of benchmark text (a worker's tables take some 90 times
+that). A larger benchmark is searched block after block: the driver and each worker hold one block at a time, and
+what was found so far is written with the documents between two blocks. There is no shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_rest, byte_texts, carried, id_and_text, rebatched, with_rest
+from .common import add_rest, byte_texts, carried, id_and_text, keeps, rebatched, with_rest, written
 
 #: Lower-cases A-Z; every other ASCII character that is no digit or letter becomes a space.
 _WORD_BYTES = bytes(c if c > 127 or 48 <= c < 58 or 97 <= c < 123 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
@@ -37,13 +39,13 @@ def search_words(text: bytes) -> list[bytes]:
 class WordSearch:
     """Wu-Manber tables over words, one pair for each length of test string."""
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int = 13) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int = 13) -> None:
         by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
         for name, text in items:
             words = search_words(text)
             size = min(width, len(words))
             for i in range(len(words) - size + 1) if size else ():
-                by_length.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).add(name)
+                by_length.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).update(() if name is None else (name,))
         self.tables = []
         for size, strings in sorted(by_length.items()):
             block = min(2, size)
@@ -87,37 +89,51 @@ def _covered(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, max_block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of about ``max_block_bytes`` each; items without id or text are left out."""
-    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("words")).dropna()
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, max_block_bytes: int) -> Iterator[tuple[bool, list[tuple[str | None, bytes]]]]:
+    """The items in blocks of about ``max_block_bytes`` each, one at a time, and whether it is the last; items without text are left out."""
+    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("words")).filter("words is not null")
     size = items.agg(F.sum(F.octet_length("words") + 64)).first()[0] or 0
     n = max(1, math.ceil(size / max_block_bytes))
-    of = F.pmod(F.xxhash64("item"), F.lit(n))
-    return [[(r.item, r.words.encode()) for r in items.filter(of == k).collect()] for k in range(n)]
+    of = F.pmod(F.xxhash64("item", "words"), F.lit(n))
+    for k in range(n):
+        yield k == n - 1, [(r.item, r.words.encode()) for r in items.filter(of == k).collect()]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, max_block_bytes: int = 16 << 20, carry: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, max_block_bytes: int = 2 << 20, carry: bool = False) -> DataFrame:
     """One row per input row: words, hit words, items found and whether the text is contaminated.
 
     A document word inside any occurrence of a test string is hit; ``contaminated`` when there is a
     hit and hits are at least a twentieth of the words. Null and empty texts have no words and are
-    clean. Items without id or words find nothing; equal items are all named. Repeated rows are
+    clean. Items without words find nothing; the windows of an item without id hit words, but it has no name to count or list; equal items are all named. Repeated rows are
     judged one by one. An empty benchmark hits nothing. Other columns are not read; with ``carry`` the
     text and a struct ``rest`` of them follow.
     """
     spark = docs.sparkSession
     out = id_and_text(docs, id_col, text_col, F.lit(None).cast("binary").alias("ranges"), F.lit(None).cast("array<string>").alias("items"), *(carried(docs, text_col) if carry else ()))
-    blocks = benchmark_blocks(benchmark, item_col, item_text_col, max_block_bytes)
-    for k, block in enumerate(blocks):
-        tables = spark.sparkContext.broadcast((block, width))
-        out = out.mapInArrow(_scan(tables, last=k == len(blocks) - 1), with_rest(RESULT, out) if k == len(blocks) - 1 else out.schema)
-    return out
+    for last, block in benchmark_blocks(benchmark, item_col, item_text_col, max_block_bytes):
+        tables = spark.sparkContext.broadcast((uuid.uuid4().hex, block, width))
+        if last:
+            return out.mapInArrow(_scan(tables, last), with_rest(RESULT, out))
+        out = written(out.mapInArrow(_scan(tables, last), out.schema), "searched")
+        tables.destroy()
+
+
+#: The tables that this worker built last, by the block's name.
+_built: dict[str, WordSearch] = {}
+keeps("decontamination", _built.clear)
+
+
+def _search(name: str, items: list[tuple[str | None, bytes]], width: int) -> WordSearch:
+    if name not in _built:
+        _built.clear()
+        _built[name] = WordSearch(items, width)
+    return _built[name]
 
 
 def _scan(tables, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = WordSearch(*tables.value)
-        for batch in rebatched(batches, "text"):
+        search = _search(*tables.value)
+        for batch in rebatched(batches, "text", keeper="decontamination"):
             rows = []
             for text, ranges, items in zip(byte_texts(batch, "text"), batch.column("ranges").to_pylist(), batch.column("items").to_pylist(), strict=True):
                 words = search_words(text)

@@ -12,12 +12,15 @@
    the commonest shingles); only sets that the hub does not link are then compared with the whole
    block, in tiles of bounded size. So thousands of copies of one text need one comparison each, and
    no link between different texts is lost.
-5. Components of the links; copies follow their representative.
+5. Shingles are told apart by 64-bit hashes on the way, so links are confirmed at the end by the words of both
+   texts (texts that are equal byte for byte need none); should one be refuted, all is done again under another seed.
+6. Components of the links; copies follow their representative.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import WordHasher, byte_texts, id_and_text, rebatched, window_hashes, written
+from .common import WordHasher, byte_texts, id_and_text, mixed, rebatched, window_hashes, written
 from .components import components
 
 CHUNK_BYTES = 3 << 20
@@ -38,8 +41,10 @@ BUCKET_ROWS = 4000
 TILE = 2048
 #: Largest boundary between light and heavy that is considered.
 MOST_LIGHT = 14
-_WIDTH = 6
-_ONE, _MANY, _SHARED, _SIZE, _ID, _NULL = range(6)
+#: Rows next to each other that go to the same bucket, and dealt sets that one comparing task takes, about.
+LOT_ROWS = 512
+UNIT_ROWS = 8192
+_ONE, _MANY, _SHARED, _SIZE, _ID, _FIRST_HALF, _SECOND_HALF = range(7)
 _LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
 
 
@@ -56,21 +61,28 @@ def shingle_set(text: bytes, width: int, hasher: WordHasher) -> np.ndarray:
     return np.unique(window_hashes(hasher(words), min(width, len(words))) + np.uint64(min(width, len(words))))
 
 
-def _shingles(texts: DataFrame, width: int, groups: int) -> DataFrame:
-    """Packed shingles by group, and each row's size and id."""
+def _shingles(texts: DataFrame, width: int, groups: int, buckets: int, seed: int) -> DataFrame:
+    """Packed shingles by group of the hash space; what needs no answer goes by bucket of the row, numbered from ``groups`` on.
+
+    A shingle that two rows of a chunk hold is answered there; its group gets it once for the chunk.
+    """
     low = np.uint64(groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher = WordHasher(seed)
         for batch in rebatched(batches, "text", CHUNK_BYTES):
             rows = np.array(batch.column("row").to_pylist(), np.int64)
-            sets = [shingle_set(t, width, hasher) for t in byte_texts(batch, "text")]
+            texts = byte_texts(batch, "text")
+            sets = [shingle_set(t, width, hasher) for t in texts]
             sizes = np.array(list(map(len, sets)), np.int64)
             ids = batch.column("doc_id").to_pylist()
-            at = (rows % groups).astype(np.int64)
-            yield packed.pack(at, rows, sizes.astype(np.uint64), _SIZE)
+            bucket = groups + _bucket(rows, buckets)
+            yield packed.pack(bucket, rows, sizes.astype(np.uint64), _SIZE)
+            digests = np.frombuffer(b"".join(hashlib.md5(t).digest() for t in texts), np.uint64).reshape(-1, 2)
+            yield packed.pack(bucket, rows, digests[:, 0], _FIRST_HALF)
+            yield packed.pack(bucket, rows, digests[:, 1], _SECOND_HALF)
             has = np.array([x is not None for x in ids], bool)
-            yield packed.pack(at[has], rows[has], np.array([x for x in ids if x is not None], np.int64).view(np.uint64), _ID)
+            yield packed.pack(bucket[has], rows[has], np.array([x for x in ids if x is not None], np.int64).view(np.uint64), _ID)
             values, owners = np.concatenate(sets), np.repeat(rows, sizes)
             if not len(values):
                 continue
@@ -79,37 +91,41 @@ def _shingles(texts: DataFrame, width: int, groups: int) -> DataFrame:
             lead = order[np.flatnonzero(np.diff(number, prepend=-1))]
             many = count > 1
             shared = order[many[number]]
-            for kind, pick in ((_ONE, lead[~many]), (_MANY, lead[many]), (_SHARED, shared)):
+            shared.sort()
+            yield packed.pack(groups + _bucket(owners[shared], buckets), owners[shared], values[shared], _SHARED)
+            for kind, pick in ((_ONE, lead[~many]), (_MANY, lead[many])):
                 pick.sort()
-                yield packed.pack((values[pick] % low).astype(np.int64), owners[pick], values[pick] // low, kind, _WIDTH)
+                yield packed.pack((values[pick] % low).astype(np.int64), owners[pick], values[pick], kind)
 
     return texts.mapInArrow(run, packed.SCHEMA)
 
 
+def _bucket(rows: np.ndarray, buckets: int) -> np.ndarray:
+    """Rows near each other share a bucket, so a chunk meets few of them."""
+    return (mixed((rows // LOT_ROWS).astype(np.uint64) + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _answers(pairs: DataFrame, groups: int, buckets: int) -> DataFrame:
-    """By bucket of rows: the shingles that a second row holds, sizes and ids."""
+    """By bucket of rows: the shingles that a second row holds, sizes, digests and ids."""
 
     def run(table: pa.Table) -> pa.Table:
         if not table.num_rows:
             return packed.empty()
         group = table.column("grp")[0].as_py()
-        one, many = packed.unpack(table, _ONE, _WIDTH), packed.unpack(table, _MANY, _WIDTH)
+        if group >= groups:  # by bucket already
+            return table.set_column(0, "grp", pa.array(np.full(table.num_rows, group - groups, np.int32)))
+        one, many = packed.unpack(table, _ONE), packed.unpack(table, _MANY)
         values = np.concatenate([one[1], many[1]])
         order, number = packed.classes(values)
         held = np.bincount(number) if len(number) else np.empty(0, np.int64)
         held[number[order >= len(one[1])]] += 1
         answered = order[held[number] > 1]
         answered = answered[answered < len(one[1])]
-        shared = packed.unpack(table, _SHARED, _WIDTH)
-        rows = np.concatenate([one[0][answered], shared[0]])
-        values = np.concatenate([one[1][answered], shared[1]]) * np.uint64(groups) + np.uint64(group)
+        rows, values = one[0][answered], one[1][answered]
         order = np.argsort(rows, kind="stable")
-        out = [packed.pack(rows[order] % buckets, rows[order], values[order], _SHARED)]
-        for kind in (_SIZE, _ID):
-            rows, values = packed.unpack(table, kind)
-            order = np.argsort(rows, kind="stable")
-            out.append(packed.pack(rows[order] % buckets, rows[order], values[order], kind))
-        return pa.Table.from_batches(out)
+        rows, values = rows[order], values[order]
+        out = packed.pack(_bucket(rows, buckets), rows, values, _SHARED)
+        return pa.Table.from_batches([out])
 
     return pairs.groupBy("grp").applyInArrow(run, packed.SCHEMA)
 
@@ -126,6 +142,9 @@ def _sets(answers: DataFrame, percent: int) -> DataFrame:
         order = np.lexsort((values, owners))
         owners, values = owners[order], values[order]
         starts, ends = np.searchsorted(owners, rows), np.searchsorted(owners, rows, side="right")
+        halves = [packed.unpack(table, kind) for kind in (_FIRST_HALF, _SECOND_HALF)]
+        halves = np.stack([half[1][np.argsort(half[0], kind="stable")] for half in halves], 1)
+        digests = [x.tobytes() for x in halves]
         tokens, signs = [], []
         for row, size, a, b in zip(rows.tolist(), sizes.tolist(), starts.tolist(), ends.tolist(), strict=True):
             own = values[a:b] if b > a and 100 * (b - a) >= percent * size else None
@@ -134,9 +153,9 @@ def _sets(answers: DataFrame, percent: int) -> DataFrame:
             signs.append(None if own is None else hashlib.md5(own.tobytes() + alone).digest())
         ids = [with_id.get(r) for r in rows.tolist()]
         ids = [None if x is None else x - (1 << 64) if x >= 1 << 63 else x for x in ids]
-        return pa.table({"row": pa.array(rows), "doc_id": pa.array(ids, pa.int64()), "size": pa.array(sizes), "tokens": pa.array(tokens, pa.list_(pa.int64())), "sign": pa.array(signs, pa.binary())})
+        return pa.table({"row": pa.array(rows), "doc_id": pa.array(ids, pa.int64()), "size": pa.array(sizes), "tokens": pa.array(tokens, pa.list_(pa.int64())), "sign": pa.array(signs, pa.binary()), "digest": pa.array(digests, pa.binary())})
 
-    return answers.groupBy("grp").applyInArrow(run, "row bigint, doc_id bigint, size bigint, tokens array<bigint>, sign binary")
+    return answers.groupBy("grp").applyInArrow(run, "row bigint, doc_id bigint, size bigint, tokens array<bigint>, sign binary, digest binary")
 
 
 def overlaps(s: int, most: int, percent: int) -> set[int]:
@@ -203,7 +222,8 @@ def _heavy_links(sets: DataFrame, light: int, percent: int) -> DataFrame:
     as_member = F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda q: whole(q, slot("ms"), False))
     as_query = F.when(F.col("is_open"), F.transform(F.sequence(F.lit(0), F.col("ms") - 1), lambda m: whole(slot("qs"), m, True))).otherwise(F.array().cast("array<struct<q:int,m:int,query:boolean>>"))
     dealt = marked.select("row", "size", "tokens", "block", F.explode(F.concat(as_member, as_query)).alias("tile")).select("row", "size", "tokens", "block", "tile.q", "tile.m", "tile.query")
-    units = max(1, math.ceil((open_rows.count() or 1) / 512))
+    n_dealt = tiles.agg(F.sum(F.col("all") * F.col("qs") + F.col("open") * F.col("ms"))).first()[0] or 1
+    units = max(1, math.ceil(n_dealt / UNIT_ROWS))
     dealt = dealt.withColumn("unit", F.pmod(F.xxhash64("block", "q", "m"), F.lit(max(units, int(spark.conf.get("spark.sql.shuffle.partitions"))))).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -278,12 +298,48 @@ def _row_components(texts: DataFrame, width: int, percent: int) -> DataFrame:
     n_rows, size = texts.select(F.count("*"), F.sum(F.octet_length("text"))).first()
     groups = max(128, math.ceil((size or 0) / 6 / GROUP_SHINGLES))
     buckets = max(1, math.ceil(n_rows / BUCKET_ROWS))
-    sets = written(_sets(_answers(_shingles(texts, width, groups), groups, buckets), percent), "sets")
-    kept = sets.filter("tokens is not null")
-    first = kept.groupBy("sign").agg(F.min("row").alias("first"))
-    copies = kept.join(first, "sign").filter("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
-    single = written(kept.join(first.select(F.col("first").alias("row")), "row", "left_semi").select("row", "size", "tokens"), "single")
-    light = light_boundary({r["size"]: r["n"] for r in single.filter(F.col("size") <= 2 * MOST_LIGHT).groupBy("size").agg(F.count("*").alias("n")).collect()}, percent)
-    links = copies.union(_light_links(single, light, percent)).union(_heavy_links(single, light, percent))
+    for seed in itertools.count():
+        sets, links = _row_links(texts, width, percent, groups, buckets, seed)
+        if _refuted(links, texts, width, percent).isEmpty():
+            break
     of = components(links)
     return sets.select("row", "doc_id", "size").join(of, F.col("row") == F.col("node"), "left").withColumn("component", F.coalesce("component", "row"))
+
+
+def _row_links(texts: DataFrame, width: int, percent: int, groups: int, buckets: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """All rows with their set sizes, and links (a, b) between rows with the digests of both texts."""
+    sets = written(_sets(_answers(_shingles(texts, width, groups, buckets, seed), groups, buckets), percent), "sets")
+    kept = sets.filter("tokens is not null")
+    first = kept.groupBy("sign").agg(F.min(F.struct("row", "digest")).alias("first"))
+    copies = kept.join(first, "sign").filter("row <> first.row").select(F.col("row").alias("a"), F.col("first.row").alias("b"), F.col("digest").alias("da"), F.col("first.digest").alias("db"))
+    single = written(kept.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select("row", "size", "tokens"), "single")
+    light = light_boundary({r["size"]: r["n"] for r in single.filter(F.col("size") <= 2 * MOST_LIGHT).groupBy("size").agg(F.count("*").alias("n")).collect()}, percent)
+    near = _light_links(single, light, percent).union(_heavy_links(single, light, percent))
+    digests = kept.select("row", "digest")
+    named = near.join(digests.select(F.col("row").alias("a"), F.col("digest").alias("da")), "a").join(digests.select(F.col("row").alias("b"), F.col("digest").alias("db")), "b")
+    return sets, written(copies.unionByName(named), "found")
+
+
+def _refuted(links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links whose texts, shingle by shingle in words, do not reach ``percent``; equal texts are not looked at."""
+    pairs = links.filter("da <> db").select(F.least("da", "db").alias("da"), F.greatest("da", "db").alias("db")).distinct()
+    asked = pairs.select(F.col("da").alias("d")).union(pairs.select("db")).distinct()
+    held = texts.select(F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("d"), "text").join(asked, "d", "left_semi").groupBy("d").agg(F.any_value("text").alias("text"))
+    both = pairs.join(held.select(F.col("d").alias("da"), F.col("text").alias("ta")), "da").join(held.select(F.col("d").alias("db"), F.col("text").alias("text")), "db")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(batches, "text"):
+            wrong = []
+            for one, two in zip(byte_texts(batch, "ta"), byte_texts(batch, "text"), strict=True):
+                a, b = exact_shingles(one, width), exact_shingles(two, width)
+                wrong.append(100 * len(a & b) < percent * len(a | b))
+            yield batch.filter(pa.array(wrong, pa.bool_())).select(["da", "db"])
+
+    return both.select("da", "db", "ta", "text").mapInArrow(run, "da binary, db binary")
+
+
+def exact_shingles(text: bytes, width: int) -> set[bytes]:
+    """The text's distinct shingles as words joined by spaces."""
+    words = text.translate(_LOWER).split()
+    size = min(width, len(words))
+    return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()

@@ -1,31 +1,36 @@
 """Line dedup over sharded cuckoo filters backed by exact reference-count tables.
 
-A store keeps, in the shared folder, the postings (document, line key), reference counts per key
+A store keeps, in a shared folder, the postings (document, line key), reference counts per key
 and one cuckoo filter per shard of the key space. An insertion first adds the batch up by key (so a
 line of a third of all documents is one row), then asks each shard's filter which of these keys may
 be known. Keys that the filter rules out are new for certain; only the others meet the exact counts
 in a join. A deletion writes negative counts, takes keys that nobody holds any longer out of the
 filters, and so the next ``apply`` gives the lines back that were dropped on the deleted documents'
-account.
+account. A manifest names the tables of each version, so a later session opens the store where this one left it, and
+a retried insertion finds its postings there and changes nothing. Shards are dealt anew when keys outgrow them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_rest, byte_texts, carried, id_and_text, mixed, rebatched, with_rest, written
+from .common import add_rest, byte_texts, carried, id_and_text, mixed, rebatched, scratch_path, with_rest
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
 #: Keys for each shard, about; a filter entry takes two bytes at up to 85 % load.
 KEYS_PER_SHARD = 500_000
+#: Insertions of the query: all but the first ask filters that know something.
+BATCHES = 3
 
 
 def line_key(line: bytes, least: int) -> bytes | None:
@@ -142,77 +147,127 @@ def line_postings(docs: DataFrame, least: int) -> DataFrame:
 
 
 #: own: the key has an entry of its own in its filter; else it was taken for one that has (rare).
+_POSTINGS = "doc_id bigint, key binary"
+_MANIFEST = "version int, least int, shards int, keys bigint, postings array<string>, counts string, filters string"
 _COUNTS = "shard int, key binary, refs bigint, first_doc bigint, own boolean"
 
 
 class LineStore:
-    """Reversible line dedup state; all tables are in the shared folder."""
-
-    def __init__(self, spark: SparkSession, least: int = 10) -> None:
-        self.spark, self.least = spark, least
-        self.shards = 0
-        self.postings: list[DataFrame] = []
-        self.counts: list[DataFrame] = []
-        self.filters: DataFrame | None = None
-
-    def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Add documents whose ids are not in the store."""
-        postings = written(line_postings(id_and_text(docs, id_col, text_col), self.least).distinct(), "postings")
+    """Reversible line dedup state; all tables are in the shared folder.
+
+    ``LineStore(spark)`` is a new store, ``LineStore.open(spark, store.path)`` one that was left there. Tables that a
+    newer version no longer names stay until the folder is deleted.
+    """
+
+    def __init__(self, spark: SparkSession, least: int = 10, path: str | None = None) -> None:
+        self.spark, self.least, self.path = spark, least, path or scratch_path(spark, "line-store")
+        self.version, self.shards, self.keys = 0, 0, 0
+        self.postings: list[str] = []
+        self.counts: str | None = None
+        self.filters: str | None = None
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> LineStore:
+        """The store's last version; a folder without one is a new store."""
+        out = cls(spark, path=path)
+        try:
+            row = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+        except AnalysisException:
+            row = None
+        if row:
+            out.version, out.least, out.shards, out.keys, out.postings, out.counts, out.filters = row.version, row.least, row.shards, row.keys, list(row.postings), row.counts, row.filters
+        return out
+
+    def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known_new: bool = False) -> None:
+        """Add documents. Lines that the store has of the same id count once, so a retried batch does no harm.
+
+        ``known_new`` says that no id is in the store, and saves the look-up.
+        """
+        postings = line_postings(id_and_text(docs, id_col, text_col), self.least).distinct()
+        if self.postings and not known_new:
+            postings = postings.join(self._postings(), ["doc_id", "key"], "left_anti")
+        mine = self._write(postings, "postings")
+        postings = self._read(mine, _POSTINGS)
         if not self.shards:
             self.shards = max(8, math.ceil(postings.count() / KEYS_PER_SHARD))
-        self.postings.append(postings)
-        added = written(self._probe(self._by_key(postings)), "counts")
-        self._keep_filters(added)
+        added = self._read(self._write(self._probe(self._by_key(postings), self._filters()), "probed"), f"{_COUNTS}, filter binary")
         new = added.filter("filter is null").drop("filter")
-        if self.counts:  # only keys that the filters know of meet the exact counts
-            known = new.filter("not own")
-            old = self.counts[0].join(known.select("key"), "key", "left_semi").select(known.columns)
-            merged = known.unionByName(old).groupBy("shard", "key").agg(F.sum("refs").alias("refs"), F.min("first_doc").alias("first_doc"), F.max("own").alias("own"))
-            rest = self.counts[0].join(known.select("key"), "key", "left_anti").select(known.columns)
-            new = written(rest.unionByName(merged.select(known.columns)).unionByName(new.filter("own")), "counts")
-        self.counts = [new]
+        # only keys that the filters know of meet the exact counts
+        known = new.filter("not own")
+        old = self._counts().join(known.select("key"), "key", "left_semi").select(known.columns)
+        merged = known.unionByName(old).groupBy("shard", "key").agg(F.sum("refs").alias("refs"), F.min("first_doc").alias("first_doc"), F.max("own").alias("own"))
+        rest = self._counts().join(known.select("key"), "key", "left_anti").select(known.columns)
+        counts = rest.unionByName(merged.select(known.columns)).unionByName(new.filter("own")) if self.counts else new
+        self._commit([*self.postings, mine], self._write(counts, "counts"), self._write(added.filter("filter is not null").select("shard", "filter"), "filters"))
+        if self.keys > 2 * self.shards * KEYS_PER_SHARD:
+            self._deal_anew()
 
     def delete(self, doc_ids: DataFrame, id_col: str = "doc_id") -> None:
-        """Take documents out; lines that only they shared with another document are whole again."""
+        """Take documents out; lines that only they shared with another document are whole again. Unknown ids do nothing."""
+        if not self.counts:
+            return
         gone = doc_ids.select(F.col(f"`{id_col}`").alias("doc_id")).distinct()
         every = self._postings()
         lost = self._by_key(every.join(gone, "doc_id", "left_semi")).select("key")
-        self.postings = [written(every.join(gone, "doc_id", "left_anti"), "postings")]
-        touched = self._by_key(self.postings[0].join(lost, "key", "left_semi"))
-        counts = self.counts[0]
+        mine = self._write(every.join(gone, "doc_id", "left_anti"), "postings")
+        touched = self._by_key(self._read(mine, _POSTINGS).join(lost, "key", "left_semi"))
+        counts = self._counts()
         touched = touched.join(counts.select("key", "own"), "key").select(counts.columns)
-        live = written(counts.join(lost, "key", "left_anti").select(counts.columns).unionByName(touched), "counts")
+        live = self._read(self._write(counts.join(lost, "key", "left_anti").select(counts.columns).unionByName(touched), "counts"), _COUNTS)
         dead = counts.filter("own").join(lost, "key", "left_semi").join(touched.select("key"), "key", "left_anti")
         changes = dead.select("shard", "key", F.lit(True).alias("out")).unionByName(live.filter("not own").select("shard", "key", F.lit(False).alias("out")))
-        same = self.filters.join(changes.select("shard").distinct(), "shard", "left_anti")
-        self.filters = written(self._changed(changes).unionByName(same.select("shard", "filter")), "filters")
-        self.counts = [live]
+        changed = self._read(self._write(self._changed(changes), "changed"), "shard int, filter binary, key binary")
+        same = self._filters().join(changed.select("shard").distinct(), "shard", "left_anti")
+        filters = self._write(changed.filter("filter is not null").select("shard", "filter").unionByName(same.select("shard", "filter")), "filters")
+        owned = changed.filter("key is not null").select("key", F.lit(True).alias("now"))
+        live = live.join(owned, "key", "left").withColumn("own", F.col("own") | F.coalesce("now", F.lit(False))).select(counts.columns)
+        self._commit([mine], self._write(live, "counts"), filters)
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-        """doc_id, n_lines, n_dropped and the kept text of each row, under the present state."""
-        shared = self.counts[0].filter("refs >= 2").select("key", "first_doc")
+        """doc_id, n_lines, n_dropped and the kept text of each row, under the present state; an empty store drops nothing."""
+        shared = self._counts().filter("refs >= 2").select("key", "first_doc")
         drops = self._postings().join(shared, "key").filter("doc_id > first_doc").groupBy("doc_id").agg(F.collect_list("key").alias("drops"))
         own = id_and_text(docs, id_col, text_col, *(carried(docs, text_col) if carry else ())).join(drops, "doc_id", "left")
         return own.mapInArrow(_without_lines(self.least), with_rest("doc_id bigint, n_lines bigint, n_dropped bigint, text string", own, ("rest",)))
 
+    def _deal_anew(self) -> None:
+        """More shards, and filters that are built again from the exact counts."""
+        self.shards = math.ceil(self.keys / KEYS_PER_SHARD)
+        every = self._counts().select(self._shard().alias("shard"), "key", "refs", "first_doc")
+        added = self._read(self._write(self._probe(every, self.spark.createDataFrame([], "shard int, filter binary")), "probed"), f"{_COUNTS}, filter binary")
+        self._commit(self.postings, self._write(added.filter("filter is null").drop("filter"), "counts"), self._write(added.filter("filter is not null").select("shard", "filter"), "filters"))
+
+    def _write(self, df: DataFrame, name: str) -> str:
+        at = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return at
+
+    def _read(self, path: str | None, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
+
+    def _commit(self, postings: list[str], counts: str, filters: str) -> None:
+        self.version, self.postings, self.counts, self.filters = self.version + 1, postings, counts, filters
+        self.keys = self._counts().count()
+        row = (self.version, self.least, self.shards, self.keys, postings, counts, filters)
+        self.spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def _counts(self) -> DataFrame:
+        return self._read(self.counts, _COUNTS)
+
+    def _filters(self) -> DataFrame:
+        return self._read(self.filters, "shard int, filter binary")
+
+    def _postings(self) -> DataFrame:
+        return self.spark.read.schema(_POSTINGS).parquet(*self.postings) if self.postings else self._read(None, _POSTINGS)
+
     def _shard(self):
         return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int")
 
     def _by_key(self, postings: DataFrame) -> DataFrame:
         return postings.groupBy("key").agg(F.count("*").alias("refs"), F.min("doc_id").alias("first_doc")).select(self._shard().alias("shard"), "key", "refs", "first_doc")
 
-    def _postings(self) -> DataFrame:
-        out = self.postings[0]
-        for more in self.postings[1:]:
-            out = out.unionByName(more)
-        return out
-
-    def _keep_filters(self, added: DataFrame) -> None:
-        self.filters = added.filter("filter is not null").select("shard", "filter")
-
-    def _probe(self, counts: DataFrame) -> DataFrame:
+    def _probe(self, counts: DataFrame, filters: DataFrame) -> DataFrame:
         """The counts with ``own`` (the filter did not know the key), then each shard's filter with them in it."""
-        filters = self.filters if self.filters is not None else self.spark.createDataFrame([], "shard int, filter binary")
 
         def run(new: pa.Table, old: pa.Table) -> pa.Table:
             keys = _numbers(new.column("key").to_pylist())
@@ -228,16 +283,20 @@ class LineStore:
         return counts.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(run, f"{_COUNTS}, filter binary")
 
     def _changed(self, changes: DataFrame) -> DataFrame:
-        """Filters of the shards that change: dead keys leave; keys that leaned on their entries come in."""
+        """Filters of the shards that change, and keys that got an entry: dead keys leave; keys that leaned on their entries come in."""
 
         def run(keys: pa.Table, old: pa.Table) -> pa.Table:
             own = CuckooFilter.load(old.column("filter")[0].as_py())
-            numbers, out = _numbers(keys.column("key").to_pylist()), keys.column("out").to_numpy()
+            names, out = keys.column("key").to_pylist(), keys.column("out").to_numpy()
+            numbers = _numbers(names)
             own.delete(numbers[out])
-            own.insert((stay := numbers[~out])[~own.contains(stay)])
-            return pa.table({"shard": old.column("shard"), "filter": pa.array([own.dump()], pa.binary())})
+            new = np.flatnonzero(~out)
+            new = new[~own.contains(numbers[new])]
+            own.insert(numbers[new])
+            shard = old.column("shard")[0].as_py()
+            return pa.table({"shard": pa.array([shard] * (len(new) + 1), pa.int32()), "filter": pa.array([own.dump()] + [None] * len(new), pa.binary()), "key": pa.array([None] + [names[i] for i in new.tolist()], pa.binary())})
 
-        return changes.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(run, "shard int, filter binary")
+        return changes.groupBy("shard").cogroup(self._filters().join(changes.select("shard").distinct(), "shard", "left_semi").groupBy("shard")).applyInArrow(run, "shard int, filter binary, key binary")
 
 
 def _without_lines(least: int):
@@ -257,14 +316,17 @@ def _without_lines(least: int):
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, carry: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, carry: bool = False, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept text of each row, after inserting all rows into a new store.
 
-    Lines whose key has ``least`` code points or more and is in two documents or more stay only in
+    The rows come in ``batches`` insertions by a hash of the id: of the later ones only keys that the filters may know
+    meet the exact counts. Lines whose key has ``least`` code points or more and is in two documents or more stay only in
     the document with the smallest id. A null text is one empty line. Rows with the same id are one
     document, and each row is rewritten; rows without id hold no keys and keep all lines. An empty
     table gives no rows. Other columns are not read; with ``carry`` a struct ``rest`` of them follows.
     """
     store = LineStore(docs.sparkSession, least)
-    store.insert(docs, id_col, text_col)
+    batch = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("bigint")), F.lit(batches))
+    for k in range(batches):
+        store.insert(docs.filter(batch == k), id_col, text_col, known_new=True)
     return store.apply(docs, id_col, text_col, carry)

@@ -9,6 +9,7 @@ chunk is enough. All of it is one pass without a shuffle.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -68,7 +69,8 @@ def dup_lines(text: bytes) -> int:
 
 
 def within(limits: tuple[tuple[int, float, float], ...], size: int, ratio: float) -> bool:
-    _, least, most = next(b for b in reversed(limits) if size >= b[0])
+    """Whether a ratio is within the limits for the size; below the first limits anything is."""
+    _, least, most = next((b for b in reversed(limits) if size >= b[0]), (0, 0.0, math.inf))
     return least <= ratio <= most
 
 

@@ -3,15 +3,19 @@
 A census counts the suffixes (word positions with a whole window after them) by their first three
 words, coded in 16 ordered bits. Neighbouring codes are put together into groups of about
 ``GROUP_SUFFIXES``: a rare first word shares a group with others, a common one is told apart by its
-second and third, and a code that is still too large by the rest of its window. So the prefixes have
-the length that memory asks for. Each group is one subtree: below its prefixes, the suffixes that
-agree on all words of a window meet in an internal node of that depth (told apart by 56 more hash
-bits), and its leaves name the documents. A node with leaves of several documents is a repeat; every
+second and third, and a code that is still too large by the rest of its window, into as many groups as that takes. So
+the prefixes have the length that memory asks for. Each group is one subtree. Its suffixes are sorted; those that
+agree on all words of a window hang on an internal node of that depth, whose leaves name the documents. A node with
+leaves of several documents is a repeat; every
 leaf of a document larger than the smallest is answered with that node. Consecutive answered nodes
 of a document are its maximal repeats, whose words are removed.
 
+Edges carry 64-bit hashes of words, not words, and end at window depth: with its words a suffix is about 85 bytes, and the
+suffixes that repeat are a quarter of all, so words on the edges would alone take five times the input in shuffle files. A
+suffix is told apart by the hash of its window and by its prefix group together.
+
 Within a chunk equal windows are one suffix before the shuffle, so a passage of a third of all
-documents costs a suffix for each chunk, not for each document.
+documents costs a suffix for each chunk, not for each document; what is decided there goes past the subtrees.
 """
 
 from __future__ import annotations
@@ -21,18 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import WordHasher, byte_texts, id_and_text, rebatched, window_hashes
+from .common import WordHasher, byte_texts, id_and_text, mixed, rebatched, window_hashes
 
 CODE_BITS = 16
 #: Suffixes for each subtree, and bytes of text for each task that rewrites documents, about.
 GROUP_SUFFIXES = 1_000_000
 BUCKET_BYTES = 12 << 20
 CHUNK_BYTES = 6 << 20
-_WIDTH = 7  # bytes of a window hash that travel; its group tells more
 _SUFFIX, _REPEAT = 0, 1
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, text string, repeats array<struct<start:int,end:int>>"
 
@@ -95,9 +98,28 @@ def prefix_groups(census: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarra
     return first, parts
 
 
+def _folded(ids: np.ndarray) -> np.ndarray:
+    x = ids.view(np.uint64)
+    return (x ^ (x >> np.uint64(21)) ^ (x >> np.uint64(42))).view(np.int64)
+
+
+def _bucket(doc_id: Column, text: Column, buckets: int) -> Column:
+    """The same of a column as ``_folded(ids) % buckets``; rows without id go by their text."""
+    folded = doc_id.bitwiseXOR(F.shiftrightunsigned(doc_id, 21)).bitwiseXOR(F.shiftrightunsigned(doc_id, 42))
+    return F.pmod(F.coalesce(folded, F.xxhash64(text)), F.lit(buckets)).cast("int")
+
+
+def next_prime(n: int) -> int:
+    """The least prime of at least ``n``: ids in steps meet all buckets."""
+    while n < 2 or any(n % i == 0 for i in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
 def repeated_windows(texts: DataFrame, window: int, census: np.ndarray, buckets: int) -> DataFrame:
     """Packed (document, window hash) pairs to remove, by bucket of the document's id."""
     first, parts = prefix_groups(census, GROUP_SUFFIXES)
+    past = int(first[-1] + parts[-1])  # groups from here on are buckets
     plan = texts.sparkSession.sparkContext.broadcast((first.astype(np.int32), parts.astype(np.int32)))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,28 +129,30 @@ def repeated_windows(texts: DataFrame, window: int, census: np.ndarray, buckets:
             owners, codes, windows = _suffixes(batch, window, hasher)
             if not len(owners):
                 continue
-            groups = first[codes] + ((windows >> np.uint64(56)) % parts[codes].astype(np.uint64)).astype(np.int64)
+            groups = first[codes] + (mixed(windows) % parts[codes].astype(np.uint64)).astype(np.int64)
             order, number = packed.classes(windows)
             lead = order[np.flatnonzero(np.diff(number, prepend=-1))]  # the smallest document of each window
             repeat = order[owners[order] > owners[lead][number]]
             lead.sort()
-            yield packed.pack(groups[lead], owners[lead], windows[lead], _SUFFIX, _WIDTH)
+            yield packed.pack(groups[lead], owners[lead], windows[lead], _SUFFIX)
             if len(repeat):
                 repeat.sort()
-                yield packed.pack(groups[repeat], owners[repeat], windows[repeat], _REPEAT, _WIDTH)
+                yield packed.pack(past + _folded(owners[repeat]) % buckets, owners[repeat], windows[repeat], _REPEAT)
 
     def subtree(table: pa.Table) -> pa.Table:
-        owners, windows = packed.unpack(table, _SUFFIX, _WIDTH)
+        group = table.column("grp")[0].as_py()
+        if group >= past:
+            return table.set_column(0, "grp", pa.array(np.full(table.num_rows, group - past, np.int32)))
+        owners, windows = packed.unpack(table, _SUFFIX)
         order = np.lexsort((owners, windows))
         owners, windows = owners[order], windows[order]
         node = np.cumsum(np.concatenate(([True], windows[1:] != windows[:-1]))) - 1 if len(windows) else np.empty(0, np.int64)
         least = owners[np.flatnonzero(np.diff(node, prepend=-1))]
         repeat = owners > least[node] if len(node) else np.empty(0, bool)
-        known = packed.unpack(table, _REPEAT, _WIDTH)
-        docs, hashes = np.concatenate([owners[repeat], known[0]]), np.concatenate([windows[repeat], known[1]])
+        docs, hashes = owners[repeat], windows[repeat]
         order = np.argsort(docs, kind="stable")
         docs, hashes = docs[order], hashes[order]
-        return pa.Table.from_batches([packed.pack(docs % buckets, docs, hashes, _REPEAT, _WIDTH)]) if len(docs) else packed.empty()
+        return pa.Table.from_batches([packed.pack(_folded(docs) % buckets, docs, hashes, _REPEAT)]) if len(docs) else packed.empty()
 
     return texts.mapInArrow(suffixes, packed.SCHEMA).groupBy("grp").applyInArrow(subtree, packed.SCHEMA)
 
@@ -144,15 +168,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = id_and_text(docs, id_col, text_col)
     census = prefix_census(texts, window)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    buckets = next_prime(max(math.ceil(size / BUCKET_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     repeats = repeated_windows(texts, window, census, buckets)
-    parts = texts.withColumn("grp", F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(0)).cast("int"))
+    parts = texts.withColumn("grp", _bucket(F.col("doc_id").cast("bigint"), F.col("text"), buckets))
 
     def rewrite(table: pa.Table, marks: pa.Table) -> pa.Table:
-        owners, windows = packed.unpack(marks, _REPEAT, _WIDTH)
+        owners, windows = packed.unpack(marks, _REPEAT)
         order = np.argsort(owners, kind="stable")
         owners, windows = owners[order], windows[order]
-        low = np.uint64((1 << 8 * _WIDTH) - 1)
         hasher, rows = WordHasher(), []
         for batch in table.combine_chunks().to_batches():
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch, "text"), strict=True):
@@ -161,7 +184,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if a == b or len(words) < window:
                     rows.append((doc_id, len(words), 0, b" ".join(words), []))
                     continue
-                hit = np.flatnonzero(np.isin(window_hashes(hasher(words), window) & low, windows[a:b]))
+                hit = np.flatnonzero(np.isin(window_hashes(hasher(words), window), windows[a:b]))
                 gone = np.zeros(len(words) + 1, np.int32)
                 np.add.at(gone, hit, 1)
                 np.add.at(gone, hit + window, -1)

@@ -6,8 +6,9 @@ text sink as gzipped WARC/1.1 files. Reading splits at a header line that names
 id no earlier payload can hold, and checks each payload against its Content-Length and digest.
 
 Index: each file of index entries is a run, sorted by URL key and capture time where it was made.
-Ranges of that order, cut finely enough for memory, are then merged: a task gets its range of every
-run and puts them together by a k-way loser tree, so the ranges in turn hold the whole capture
+The order is cut into ranges that fit into memory, at places taken from a sample of the runs. A task that reads a run cuts it at
+these places and sends each stretch, still sorted, to its range in blocks; a range puts the stretches of all runs together by a k-way
+loser tree, without sorting again. The ranges in turn hold the whole capture
 history in order. A page captured very often spreads over ranges, as time and id are in the key.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,6 +76,7 @@ def _record(run: str) -> Column:
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
         line("WARC-Date", stamp),
         F.coalesce(line("WARC-Target-URI", F.translate("url", "\r\n", "")), F.lit("")),
+        F.when(F.col("url").rlike(r"[\r\n]"), line("X-Target-Base64", F.base64(F.col("url").cast("binary")))).otherwise(""),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         line("X-Payload-Length", F.col("payload_bytes").cast("string")),
         F.when(is_response, "").otherwise(F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))))),
@@ -87,10 +90,10 @@ def _record(run: str) -> Column:
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", capture_ts: Column | None = None) -> str:
     """Write one record for each row to WARC files under ``path``; returns the run id for reading.
 
-    A null payload is empty. Without ``capture_ts`` pages count as captured one a second by id.
+    A null payload is empty. Without ``capture_ts`` pages count as captured one a second by id, within a bounded span of time.
     """
     run = uuid.uuid4().hex
-    own = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"), (capture_ts if capture_ts is not None else F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col(f"`{id_col}`"), F.lit(0)))).alias("capture_ts"))
+    own = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"), F.coalesce(*([capture_ts] if capture_ts is not None else []), F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(0)), F.lit(1_000_000_000)))).alias("capture_ts"))
     with_revisits(own, least_bytes).select(_record(run).alias("value")).write.option("lineSep", _CRLF * 2).option("compression", "gzip").text(path)
     return run
 
@@ -105,7 +108,7 @@ def read_archives(spark: SparkSession, path: str, run: str) -> DataFrame:
     out = records.select(
         F.expr("try_cast(nullif(regexp_extract(head, 'WARC-Record-ID: <urn:page:([^>]*)>', 1), '') as bigint)").alias("page_id"),
         field("WARC-Type").alias("record_type"),
-        F.when(F.instr("head", "\r\nWARC-Target-URI: ") > 0, field("WARC-Target-URI")).alias("url"),
+        F.when(F.instr("head", "\r\nX-Target-Base64: ") > 0, F.unbase64(field("X-Target-Base64")).cast("string")).when(F.instr("head", "\r\nWARC-Target-URI: ") > 0, field("WARC-Target-URI")).alias("url"),
         F.to_timestamp(field("WARC-Date"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("capture_ts"),
         F.regexp_extract("head", r"\r\nWARC-Payload-Digest: sha1:([A-Z2-7]*)", 1).alias("payload_digest"),
         field("X-Payload-Length").cast("bigint").alias("payload_bytes"),
@@ -164,26 +167,74 @@ def sorted_runs(records: DataFrame, path: str) -> int:
     return records.sparkSession.read.parquet(path).count()
 
 
+_KEY = ("url_key", "capture_ts", "page_id")
+_NAMES = [x.split()[0] for x in INDEX.split(", ")]
+#: Entries of the sample for each range, and entries of a block.
+SAMPLED, BLOCK_ROWS = 20, 20_000
+
+
+def _keys(batch: pa.RecordBatch | pa.Table) -> list[tuple]:
+    """The order of the entries as tuples; a null id comes first, as in Spark."""
+    low = -(1 << 63)
+    url, ts, page = (batch.column(c) for c in _KEY)
+    return list(zip([x.encode() for x in url.to_pylist()], ts.cast(pa.int64()).to_pylist(), [low if x is None else x for x in page.to_pylist()], strict=True))
+
+
+def range_bounds(runs: DataFrame, rows: int, n: int) -> list[tuple]:
+    """Up to ``n`` - 1 keys that cut the order into ranges, from about ``SAMPLED`` entries for each."""
+    if n < 2:
+        return []
+    draw = F.pmod(F.xxhash64(*_KEY, F.lit(5)), F.lit(1 << 30)) < int(min(1.0, SAMPLED * n / max(1, rows)) * (1 << 30))
+    sample = sorted(_keys(runs.filter(draw).select(*_KEY).toArrow()))
+    return sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
+
+
 def merged_index(spark: SparkSession, path: str, rows: int) -> DataFrame:
     """The runs under ``path`` as one capture history: partitions are ranges in order, each in order."""
-    runs = spark.read.schema(INDEX).parquet(path).withColumn("run", F.xxhash64(F.col("_metadata.file_path")))
+    runs = spark.read.schema(INDEX).parquet(path)
     n = max(1, math.ceil(rows / RANGE_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")) if rows > 10_000 else 1)
-    ranges = runs.repartitionByRange(n, "url_key", "capture_ts", "page_id").sortWithinPartitions("run", "url_key", "capture_ts", "page_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
+    bounds = spark.sparkContext.broadcast(range_bounds(runs, rows, n))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, place, last, before, cuts = uuid.uuid4().hex, 0, 0, None, bounds.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                keys = _keys(part)
+                files = part.column("file").to_pylist()
+                segments = [0, *(i for i in range(1, len(keys)) if files[i] != files[i - 1]), len(keys)]
+                ends = sorted({x for s, e in zip(segments, segments[1:], strict=False) for x in (s, e, *(bisect_left(keys, c, s, e) for c in cuts))})
+                for a, b in zip(ends, ends[1:], strict=False):
+                    if before is not None and (files[a] != before[0] or keys[a] < before[1]):
+                        last += 1  # another run, or a run that was read in parts
+                    before = (files[b - 1], keys[b - 1])
+                    sink = pa.BufferOutputStream()
+                    entries = part.slice(a, b - a).select(_NAMES)
+                    with pa.ipc.new_stream(sink, entries.schema) as stream:
+                        stream.write_batch(entries)
+                    yield pa.RecordBatch.from_arrays([pa.array([bisect_right(cuts, keys[a])], pa.int32()), pa.array([f"{task}-{last}"]), pa.array([place], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rng", "run", "place", "entries"])
+                    place += 1
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, tables = [], []
+        for batch in batches:  # by run and place
+            names += batch.column("run").to_pylist()
+            tables += [pa.ipc.open_stream(x).read_all() for x in batch.column("entries").to_pylist()]
+        if not tables:
             return
-        table = table.combine_chunks()
-        low = -(1 << 63)
-        keys = list(zip(table.column("url_key").to_pylist(), table.column("capture_ts").cast(pa.int64()).to_pylist(), [low if x is None else x for x in table.column("page_id").to_pylist()], strict=True))
-        names = table.column("run").to_pylist()
-        starts = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
-        ends = [*starts[1:], len(names)]
-        order = [starts[r] + i for r, i in LoserTree([keys[a:b] for a, b in zip(starts, ends, strict=True)])]
-        yield from table.take(pa.array(order, pa.int64())).drop_columns(["run"]).combine_chunks().to_batches()
-
-    return ranges.mapInArrow(run, INDEX)
+        sizes = [t.num_rows for t in tables]
+        table = pa.concat_tables(tables).combine_chunks()
+        keys = _keys(table)
+        starts, at = [], 0
+        for i, size in enumerate(sizes):
+            if not i or names[i] != names[i - 1]:
+                starts.append(at)
+            at += size
+        order = [starts[r] + i for r, i in LoserTree([keys[a:b] for a, b in zip(starts, [*starts[1:], at], strict=True)])]
+        yield from table.take(pa.array(order, pa.int64())).combine_chunks().to_batches()
+
+    blocks = runs.withColumn("file", F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))).mapInArrow(cut, "rng int, run string, place bigint, entries binary")
+    return blocks.repartitionById(n, "rng").sortWithinPartitions("run", "place").mapInArrow(merge, INDEX)
 
 
 def capture_history(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:

@@ -164,6 +164,38 @@ def test_substring_dedup(docs):
         assert sum(r.end - r.start for r in got[i].repeats) == len(gone)
 
 
+def test_substring_dedup_of_strided_and_missing_ids(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(60):
+        w = [rng.choice(words) for _ in range(rng.randint(0, 40))]
+        if i % 3:
+            w[5:5] = words[:15]
+        rows.append((None if i % 7 == 0 else (30 - i) * 64, " ".join(w)))
+    first: dict = {}
+    for i, t in sorted((i, t) for i, t in rows if i is not None):
+        w = t.split()
+        for j in range(len(w) - 12):
+            first.setdefault(tuple(w[j : j + 13]), i)
+    got = Counter((r.doc_id, r.text, r.n_removed) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = Counter()
+    for i, t in rows:
+        w = t.split()
+        gone = {j + k for j in range(len(w) - 12) if i is not None and first[tuple(w[j : j + 13])] < i for k in range(13)}
+        want[i, " ".join(x for j, x in enumerate(w) if j not in gone), len(gone)] += 1
+    assert got == want
+
+
+def test_prefix_groups_have_no_upper_limit():
+    import numpy as np
+
+    census = np.zeros(1 << substring_dedup.CODE_BITS, np.int64)
+    census[5] = 10**9
+    first, parts = substring_dedup.prefix_groups(census, 10**6)
+    assert parts[5] == 1000 and first[6] == 1000
+
+
 def test_line_dedup_is_reversible(spark, docs):
     def key(line):
         k = line.strip(b" \t\n\x0b\x0c\r").translate(LOWER)
@@ -182,11 +214,29 @@ def test_line_dedup_is_reversible(spark, docs):
     store.insert(docs.filter("doc_id < 12"))
     store.insert(docs.filter("doc_id >= 12"))
     assert {r.doc_id: r.text.encode() for r in store.apply(docs).collect()} == want(DOCS)
+    store.insert(docs.filter("doc_id in (4, 5, 12)"))  # a retried batch
+    assert {r.doc_id: r.text.encode() for r in store.apply(docs).collect()} == want(DOCS)
+    store = line_dedup.LineStore.open(spark, store.path)
     store.delete(docs.filter("doc_id in (11, 4)"))
     live = [(i, t) for i, t in DOCS if i not in (11, 4)]
     assert {r.doc_id: r.text.encode() for r in store.apply(docs.filter("doc_id not in (11, 4)")).collect()} == want(live)
 
 
+def test_empty_line_store_and_more_shards(spark, docs, monkeypatch):
+    store = line_dedup.LineStore(spark)
+    store.delete(docs)
+    assert {r.doc_id: r.n_dropped for r in store.apply(docs).collect()} == {i: 0 for i, _ in DOCS}
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 2)
+    rows = [(i, "\n".join(f"a line number {j}" for j in range(i % 5, 40, 5))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    store.insert(df.filter("doc_id < 1"))
+    few = store.shards
+    store.insert(df.filter("doc_id >= 1"))
+    assert store.shards > few
+    store.delete(df.filter("doc_id = 0"))
+    assert {r.doc_id: r.n_dropped for r in store.apply(df.filter("doc_id > 0")).collect()} == {i: 0 if i in (1, 2, 3, 4, 5) else 8 for i in range(1, 20)}
+
+
 def test_cuckoo_filter_keeps_what_it_holds():
     import numpy as np
 
@@ -213,11 +263,11 @@ def test_decontamination(spark, docs, block):
         for name, text in items:
             p = words(text)
             size = min(13, len(p))
-            wins = {tuple(p[j : j + size]) for j in range(len(p) - size + 1)} if p and name is not None else set()
+            wins = {tuple(p[j : j + size]) for j in range(len(p) - size + 1)} if p else set()
             for j in range(len(w) - size + 1):
                 if wins and tuple(w[j : j + size]) in wins:
                     hit |= set(range(j, j + size))
-                    found.add(str(name))
+                    found |= {str(name)} if name is not None else set()
         r = got[i]
         assert (r.n_words, r.n_hit, r.n_items, list(r["items"])) == (len(w), len(hit), len(found), sorted(found))
         assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(w))
@@ -296,23 +346,75 @@ def test_base_scores_do_not_depend_on_the_order_of_packed_rows(spark, docs, monk
         assert got[i].base_score == pytest.approx(r.base_score)
 
 
+def small_model(texts):
+    import numpy as np
+
+    symbols, lengths = context_mixing.symbols_of(texts)
+    code = context_mixing.Code(np.bincount(symbols, minlength=257) + 1)
+    sizes = (17, 18, 19, 20)
+    counts = [np.zeros((2, 1 << b)) for b in sizes]
+    bits = context_mixing.Bits(code, sizes, context_mixing.grams(symbols, lengths))
+    for count, slot in zip(counts, bits.slots, strict=True):
+        np.add.at(count, (bits.bit.astype(int), slot), 1)
+    return code, [context_mixing.logit(*c) for c in counts]
+
+
 def test_mixed_probabilities_sum_to_one():
     import numpy as np
 
     texts = [b"abracadabra abracadabra", b"a cadabra"]
-    symbols, _ = context_mixing.symbols_of(texts)
-    code = context_mixing.Code(np.bincount(symbols, minlength=257) + 1)
-    trainer = context_mixing.Trainer(code)
-    for _ in range(3):
-        trainer(texts)
-    tables = [context_mixing.logit(*c) for c in trainer.counts]
-    bits = lambda t: context_mixing.text_bits(code, tables, trainer.weights, t)
+    code, tables = small_model(texts)
+    tuner = context_mixing.Tuner(code, tables)
+    before = [tuner(texts) for _ in range(6)]
+    assert before[-1] < before[0]
+    bits = lambda t: context_mixing.text_bits(code, tables, tuner.weights.astype(np.float32), t)
     whole = bits([b"abra", b"abr"])
     assert np.allclose(whole, np.concatenate([bits([b"abra"]), bits([b"abr"])]))
     total = sum(2.0 ** -bits([b"", *[bytes([x]) for x in range(256)]]))
     assert 0 < total <= 1.0001  # texts of one byte and the empty one are a part of all texts
 
 
+def test_bits_of_a_text_one_by_one():
+    import numpy as np
+
+    texts = [b"the cat sat on the mat " * 20, b"a cat", b"dog"]
+    code, tables = small_model(texts[:2])
+    weights = np.random.default_rng(1).uniform(0.1, 0.5, (context_mixing.GATES, 4)).astype(np.float32)
+    got = context_mixing.text_bits(code, tables, weights, texts)
+    for text, bits in zip(texts, got, strict=True):
+        symbols, total, credit = [*text, context_mixing.END], 0.0, {g: 0.0 for g in context_mixing.GAINS}
+        for i, symbol in enumerate(symbols):
+            if i % context_mixing.STRETCH == 0:
+                share = {g: c - np.logaddexp(*credit.values()) for g, c in credit.items()}
+            key = 0
+            for back in range(6):
+                key |= (symbols[i - back] if i >= back else context_mixing.NOTHING) << (9 * back)
+            own = context_mixing.Bits(code, (17, 18, 19, 20), np.array([key], np.uint64))
+            logs = {g: 0.0 for g in credit}
+            for j in range(len(own.bit)):
+                z = sum(float(weights[own.gate[j], k]) * float(tables[k][own.slots[k][j]]) for k in range(4))
+                for g in logs:
+                    logs[g] -= np.logaddexp(0, -g * z if own.bit[j] else g * z)
+            total -= np.logaddexp(*(share[g] + logs[g] for g in credit))
+            credit = {g: c + logs[g] for g, c in credit.items()}
+        assert bits == pytest.approx(total / math.log(2), rel=1e-4)
+
+
+def test_scores_do_not_depend_on_how_the_input_is_split(spark, docs):
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in ("ta", "re", "lo", "mi") for b in ("n", "s", "ra", "de")]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 200)))) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (by_id(context_mixing.score_texts(df.repartition(n, "doc_id"))) for n in (2, 9))
+    tokens = {i: [*t.encode().split(), None] for i, t in rows}
+    c = Counter(x for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 10 for x in w)
+    n, v = sum(c.values()), len(c)
+    for i, r in a.items():
+        assert r.score == pytest.approx(b[i].score, rel=1e-6)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens[i]))
+        assert (r.n_known, b[i].n_known) == (sum(c[x] > 0 for x in tokens[i]),) * 2
+
+
 def test_pu_classifier_tells_junk_from_prose(spark):
     rng = random.Random(2)
     words = [f"{a}{b}" for a in ("ta", "re", "lo", "mi") for b in ("n", "s", "ra", "de")]
@@ -335,14 +437,15 @@ def test_pu_classifier_tells_junk_from_prose(spark):
 
 
 def test_warc_round_trip_and_order(spark):
-    pages = [(1, "http://www.B.com:80/x?q=1#f", "é\r\n\r\nWARC/1.1\r\n"), (2, "http://a.org", "same"), (3, None, None), (4, "https://a.org/", ""), (5, "http://a.org/y", "same"), (6, "x", "\r\n\r\n"), (None, "http://c", "only")]
+    pages = [(1, "http://www.B.com:80/x?q=1#f", "é\r\n\r\nWARC/1.1\r\n"), (2, "http://a.org", "same"), (3, None, None), (4, "https://a.org/", ""), (5, "http://a.org/y", "same"), (6, "x", "\r\n\r\n"), (None, "http://c", "only"), (2**63 - 1, "http://a\r\nb.org", "big"), (-(10**15), "http://a.org", "low")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as block", "'x' as head")
     rows = warc.capture_history(df).collect()
     got = {r.page_id: r for r in rows}
     digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
     for i, _, html in pages:
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(plain(html)), digest(plain(html)))
-    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("response", None), 2: ("revisit", 5), 3: ("revisit", 4), 4: ("response", None), 5: ("response", None), 6: ("response", None), None: ("response", None)}
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("response", None), 2: ("revisit", 5), 3: ("revisit", 4), 4: ("response", None), 5: ("response", None), 6: ("response", None), None: ("response", None), 2**63 - 1: ("response", None), -(10**15): ("response", None)}
+    assert got[2**63 - 1].url == "http://a\r\nb.org"
     assert [(r.url_key, r.capture_ts) for r in rows] == sorted((r.url_key, r.capture_ts) for r in rows)
     assert got[1].url_key == "com,b)/x?q=1"
 
