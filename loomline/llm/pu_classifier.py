@@ -1,9 +1,11 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives (label 1) and unlabelled web text train an additive logistic model under the
-non-negative unbiased risk: prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]). Labels of 0
-are used for one thing only, the estimate of the class prior. Features are shares and rates of the
-text's characters, words and lines, each cut into bins at quantiles of the unlabelled sample. The
+Trusted positives (label 1) and unlabelled web text train a logistic model under the
+non-negative unbiased risk: prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]). Labels of 0 are not used. The
+class prior is estimated from positives and unlabelled texts alone: a model that tells the two apart is fitted on half of the
+sample, and on the other half the least ratio of unlabelled to positive texts above a threshold bounds the share of
+positives among the unlabelled. Features are hashed words and hashed runs of four bytes, as square roots of their shares, and
+shares and rates of the text's characters, words and lines, each cut into bins at quantiles of the unlabelled sample. The
 samples are bounded (``SAMPLE`` rows of each kind, taken by a hash of the id); the scores are of all
 rows, in one pass without a shuffle.
 """
@@ -23,9 +25,12 @@ from pyspark.sql import functions as F
 from .common import byte_texts, id_and_text, rebatched
 
 #: Rows of positives, and of unlabelled texts, that the model is fitted on at most, about.
-SAMPLE = 12_000
+SAMPLE = 6_000
 BINS = 12
-STEPS, RATE, DECAY = 1200, 0.1, 1e-5
+#: Slots of the hashed words, and of the hashed runs of bytes.
+SLOTS = 1 << 12
+#: Chosen on texts of the training fold whose remainder is 1, by models of the others.
+STEPS, ROWS, RATE, DECAY, GRAM_DECAY = 800, 512, 0.1, 1e-5, 1e-4
 NAMES = ("bytes", "words", "word_len", "distinct", "top_word", "adjacent", "odd_word", "symbols", "pipes", "bangs", "upper", "digits", "punct", "other", "space", "line_len", "dup_lines", "longest", "ratio", "short_words", "ends")
 _KEEP = {name: bytes(set(range(256)) - set(chars)) for name, chars in {
     "symbols": b"#*$%&<>", "pipes": b"|", "bangs": b"!?", "upper": bytes(range(65, 91)), "digits": b"0123456789", "punct": b".,;:'\"()-", "lower": bytes(range(97, 123)), "space": b" \t\n\x0b\x0c\r",
@@ -55,48 +60,157 @@ def features(text: bytes) -> np.ndarray:
     ], np.float32)
 
 
+_LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
+
+
+def gram_counts(text: bytes) -> np.ndarray:
+    """Square roots of the shares of hashed runs of four bytes, then of hashed words, A-Z lower-cased."""
+    text = text.translate(_LOWER)
+    out = np.zeros(2 * SLOTS, np.float32)
+    if len(text) > 3:
+        b = np.frombuffer(text, np.uint8).astype(np.uint32)
+        code = (b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)) * np.uint32(0x9E3779B1) >> np.uint32(20)
+        out[:SLOTS] = np.sqrt(np.bincount(code, minlength=SLOTS) / len(code))
+    words = text.split()
+    if words:
+        code = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % SLOTS
+        out[SLOTS:] = np.sqrt(np.bincount(code, minlength=SLOTS) / len(words))
+    return out
+
+
+@dataclass(frozen=True)
+class Sample:
+    """Texts as their rates (rows of ``NAMES``) and the used slots of their grams, end to end."""
+
+    rates: np.ndarray
+    starts: np.ndarray
+    slots: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[bytes, bytes, bytes]]) -> Sample:
+        sizes = np.array([len(s) // 2 for _, s, _ in rows], np.int64)
+        return cls(np.frombuffer(b"".join(r for r, _, _ in rows), np.float32).reshape(-1, len(NAMES)), np.concatenate(([0], np.cumsum(sizes))), np.frombuffer(b"".join(s for _, s, _ in rows), np.uint16), np.frombuffer(b"".join(v for _, _, v in rows), np.float32))
+
+    def __len__(self) -> int:
+        return len(self.rates)
+
+    def take(self, rows: np.ndarray) -> Sample:
+        sizes = np.diff(self.starts)[rows]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[rows] - (ends - sizes), sizes)
+        return Sample(self.rates[rows], np.concatenate(([0], ends)), self.slots[at], self.values[at])
+
+
+def sample_row(text: bytes) -> tuple[bytes, bytes, bytes]:
+    grams = gram_counts(text)
+    used = np.flatnonzero(grams)
+    return features(text).tobytes(), used.astype(np.uint16).tobytes(), grams[used].tobytes()
+
+
 @dataclass(frozen=True)
 class Model:
     cuts: np.ndarray
     weights: np.ndarray
+    grams: np.ndarray
     bias: float
 
-    def places(self, x: np.ndarray) -> np.ndarray:
-        bins = np.stack([np.searchsorted(c, v, side="right") for c, v in zip(self.cuts, x.T, strict=True)], 1)
-        return bins + np.arange(x.shape[1]) * BINS
+    def places(self, rates: np.ndarray) -> np.ndarray:
+        bins = np.stack([np.searchsorted(c, v, side="right") for c, v in zip(self.cuts, rates.T, strict=True)], 1)
+        return bins + np.arange(rates.shape[1]) * BINS
+
+    def logits(self, x: Sample) -> np.ndarray:
+        rows = np.repeat(np.arange(len(x)), np.diff(x.starts))
+        return self.weights[self.places(x.rates)].sum(1) + np.bincount(rows, self.grams[x.slots] * x.values, len(x)) + self.bias
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        rates = np.stack([features(t) for t in texts])
+        f = self.weights[self.places(rates)].sum(1) + np.array([gram_counts(t) @ self.grams for t in texts]) + self.bias
+        return 1 / (1 + np.exp(-f))
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.weights[self.places(x)].sum(1) + self.bias)))
 
+def risk(f: np.ndarray, g: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Non-negative unbiased risk of logistic loss for logits of positives and unlabelled, and its slopes along them.
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimise the non-negative unbiased risk of logistic loss by Adam over the whole samples."""
+    Where the negative part would be under 0, the slopes are those that take it up again.
+    """
+    up, ug = 1 / (1 + np.exp(-f)), 1 / (1 + np.exp(-g))
+    positive = prior * np.logaddexp(0, -f).mean()
+    negative = np.logaddexp(0, g).mean() - prior * np.logaddexp(0, f).mean()
+    at_p, at_u = -prior * up / len(f), ug / len(g)
+    if negative < 0:
+        return positive, -at_p, -at_u
+    return positive + negative, at_p + prior * (up - 1) / len(f), at_u
+
+
+def against(f: np.ndarray, g: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic loss that tells positives from unlabelled, each half of the weight, and its slopes."""
+    up, ug = 1 / (1 + np.exp(-f)), 1 / (1 + np.exp(-g))
+    return (np.logaddexp(0, -f).mean() + np.logaddexp(0, g).mean()) / 2, (up - 1) / len(f) / 2, ug / len(g) / 2
+
+
+def fit(positive: Sample, unlabelled: Sample, prior: float, loss=risk, steps: int = STEPS) -> Model:
+    """Minimise the loss by Adam, each step over ``ROWS`` rows of both kinds, in a fixed order."""
     width = len(NAMES)
-    if not len(positive) or not len(unlabelled):
-        return Model(np.zeros((width, BINS - 1), np.float32), np.zeros(width * BINS), float(np.log(prior / (1 - prior))))
-    cuts = np.quantile(unlabelled, np.arange(1, BINS) / BINS, axis=0).T.astype(np.float32)
-    tails = np.quantile(unlabelled, [0.02, 0.98], axis=0).T  # junk is rare: the ends have bins of their own
+    cuts = np.quantile(unlabelled.rates, np.arange(1, BINS) / BINS, axis=0).T.astype(np.float32)
+    tails = np.quantile(unlabelled.rates, [0.02, 0.98], axis=0).T  # junk is rare: the ends have bins of their own
     cuts[:, 0], cuts[:, -1] = tails[:, 0], tails[:, 1]
     cuts.sort(axis=1)
-    model = Model(cuts, np.zeros(width * BINS), 0.0)
-    p, u = model.places(positive), model.places(unlabelled)
-    w, bias = np.zeros(width * BINS), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-
-    def push(at: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(at.ravel(), np.repeat(slope, width), len(w)), slope.sum())
-
-    for step in range(1, STEPS + 1):
-        f, g = w[p].sum(1) + bias, w[u].sum(1) + bias
-        up, uu = 1 / (1 + np.exp(-f)), 1 / (1 + np.exp(-g))
-        negative = np.logaddexp(0, g).mean() - prior * np.logaddexp(0, f).mean()
-        slope = push(u, uu / len(g)) - push(p, prior * up / len(f))
-        grad = push(p, prior * (up - 1) / len(f)) + slope if negative >= 0 else -slope
-        grad[:-1] += DECAY * w
+    n = width * BINS
+    start = Model(cuts, np.zeros(n), np.zeros(2 * SLOTS), 0.0)
+    rng = np.random.default_rng(1)
+    w = np.zeros(n + 2 * SLOTS + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    decay = np.concatenate([np.full(n, DECAY), np.full(2 * SLOTS, GRAM_DECAY), [0.0]])
+    m, v, mean = np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(w))
+
+    ready = []
+    for x in (positive, unlabelled):
+        x = x.take(rng.permutation(len(x)))
+        ready.append((x.starts, start.places(x.rates), x.slots.astype(np.int64), x.values.astype(np.float64), np.repeat(np.arange(len(x)), np.diff(x.starts))))
+
+    def draw(kind: int, step: int) -> tuple:
+        starts, at, slots, values, rows = ready[kind]
+        size = min(ROWS, len(at))
+        a = step * size % (len(at) - size + 1)
+        c, d = starts[a], starts[a + size]
+        return at[a : a + size], slots[c:d], values[c:d], rows[c:d] - a
+
+    def logits(at: np.ndarray, slots: np.ndarray, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return w[at].sum(1) + np.bincount(rows, w[n + slots] * values, len(at)) + w[-1]
+
+    def push(part: tuple, slope: np.ndarray) -> np.ndarray:
+        at, slots, values, rows = part
+        return np.concatenate([np.bincount(at.ravel(), np.repeat(slope, width), n), np.bincount(slots, values * slope[rows], 2 * SLOTS), [slope.sum()]])
+
+    for step in range(1, steps + 1):
+        p, u = draw(0, step), draw(1, step)
+        _, at_p, at_u = loss(logits(*p), logits(*u), prior)
+        grad = push(p, at_p) + push(u, at_u) + decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, bias = w - move[:-1], bias - move[-1]
-    return Model(cuts, w, float(bias))
+        w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        if 4 * step > 3 * steps:  # the mean of the last quarter
+            mean += w
+    w = mean / (steps - 3 * steps // 4) if steps > 3 else w
+    return Model(cuts, w[:n], w[n:-1], float(w[-1]))
+
+
+def estimated_prior(positive: Sample, unlabelled: Sample) -> float:
+    """Share of positives among the unlabelled, from these two alone.
+
+    Above any threshold the unlabelled have at least the positives' share times the prior, so the least ratio over all
+    thresholds, with an allowance for chance, is taken.
+    """
+    p, u = np.arange(len(positive)), np.arange(len(unlabelled))
+    model = fit(positive.take(p[::2]), unlabelled.take(u[::2]), 0.5, against, STEPS // 3)
+    f, g = np.sort(model.logits(positive.take(p[1::2]))), np.sort(model.logits(unlabelled.take(u[1::2])))
+    if not len(f) or not len(g):
+        return 0.5
+    above = lambda x: 1 - np.searchsorted(x, f, side="left") / len(x)
+    slack = np.sqrt(np.log(40) / 2 / len(f)) + np.sqrt(np.log(40) / 2 / len(g))
+    share_p, share_u = above(f), above(g)
+    best = int(np.argmin((share_u + slack) / share_p))
+    return float(min(0.99, max(0.01, share_u[best] / share_p[best])))
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -104,33 +218,37 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def train(texts: DataFrame, labels: DataFrame, parts: int, sample: int) -> Model:
-    """The model of the training fold. ``labels`` has (doc_id, label)."""
-    known = labels.filter((fold(F.col("doc_id"), parts) != 0) & F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label"))
-    n, ones = known.agg(F.count("*"), F.sum("label")).first()
-    prior = min(0.99, max(0.01, ((ones or 0) + 1) / (n + 2)))
-    n_texts = texts.filter(fold(F.col("doc_id"), parts) != 0).count()
-    least_p, least_u = (min(1.0, sample / max(1, x)) for x in (ones or 0, n_texts))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = texts.filter((fold(F.col("doc_id"), parts) != 0) & (draw < max(least_p, least_u))).withColumn("draw", draw)
-    marked = drawn.join(known, "doc_id", "left").select("text", (F.coalesce("label", F.lit(0)) == 1).__and__(F.col("draw") < least_p).alias("positive"), (F.col("draw") < least_u).alias("unlabelled"))
+def train(texts: DataFrame, labels: DataFrame, parts: int, sample: int) -> Model | None:
+    """The model of the training fold; none without positives or texts. ``labels`` has (doc_id, label).
+
+    Of both kinds at most about ``sample`` rows are taken, by a hash of the id, so the ids of positives can be broadcast.
+    """
+    known = labels.filter((fold(F.col("doc_id"), parts) != 0) & F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label")).filter("label = 1")
+    learning = texts.filter(fold(F.col("doc_id"), parts) != 0)
+    least_p, least_u = (min(1.0, sample / max(1, x.count())) for x in (known, learning))
+    draw = lambda seed, least: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(least * (1 << 30))
+    positives = learning.join(F.broadcast(known.filter(draw(7, least_p)).select("doc_id")), "doc_id", "left_semi").select("text", F.lit(True).alias("positive"))
+    unlabelled = learning.filter(draw(8, least_u)).select("text", F.lit(False).alias("positive"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("unlabelled"), pa.array([features(t).tobytes() for t in byte_texts(batch, "text")], pa.binary())], names=["positive", "unlabelled", "x"])
+            rates, slots, values = zip(*map(sample_row, byte_texts(batch, "text")), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), *(pa.array(x, pa.binary()) for x in (rates, slots, values))], names=["positive", "rates", "slots", "values"])
 
-    rows = marked.filter("positive or unlabelled").mapInArrow(run, "positive boolean, unlabelled boolean, x binary").collect()
-    rows.sort(key=lambda r: bytes(r["x"]))  # sums do not depend on how tasks ended
-    x = {k: np.frombuffer(b"".join(bytes(r["x"]) for r in rows if r[k]), np.float32).reshape(-1, len(NAMES)) for k in ("positive", "unlabelled")}
-    return fit(x["positive"], x["unlabelled"], prior)
+    rows = [(r["positive"], bytes(r["rates"]), bytes(r["slots"]), bytes(r["values"])) for r in positives.unionByName(unlabelled).mapInArrow(run, "positive boolean, rates binary, slots binary, values binary").collect()]
+    rows.sort(key=lambda r: zlib.crc32(r[1] + r[2]))  # in an order of their own, however tasks ended
+    p, u = (Sample.of([r[1:] for r in rows if r[0] == kind]) for kind in (True, False))
+    if len(p) < 2 or len(u) < 2:
+        return None
+    return fit(p, u, estimated_prior(p, u))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", parts: int = 5, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of each row.
 
     Labels are learned only from ids whose crc32 as text is not 0 modulo ``parts``; an id with both
-    labels counts as 0, null labels and ids are left out. Null and empty texts are scored as texts of
-    no length. Without positives every score is the prior. Repeated rows are scored one by one; an
+    labels is no positive, null labels and ids are left out. Null and empty texts are scored as texts of
+    no length. Without two positives every score is 0.5. Repeated rows are scored one by one; an
     empty table gives no rows. Other columns are not read.
     """
     texts = id_and_text(docs, id_col, text_col)
@@ -139,7 +257,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, "text"):
-            score = shared.value.score(np.stack([features(t) for t in byte_texts(batch, "text")]))
+            own = byte_texts(batch, "text")
+            score = shared.value.score(own) if shared.value else np.full(len(own), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     return texts.withColumn("held_out", fold(F.col("doc_id"), parts) == 0).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")

@@ -436,6 +436,41 @@ def test_pu_classifier_tells_junk_from_prose(spark):
     assert none.count() == 902
 
 
+def test_risk_and_its_slopes_against_a_direct_computation():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for shift in (0.0, -3.0):  # of the second the negative part is under 0
+        f, g, prior = rng.normal(1, 2, 40), rng.normal(shift, 1, 60), 0.8
+        loss = lambda z: math.log1p(math.exp(-z))
+        positive = prior * sum(map(loss, f)) / 40
+        negative = sum(loss(-z) for z in g) / 60 - prior * sum(loss(-z) for z in f) / 40
+        got, at_p, at_u = pu_classifier.risk(f, g, prior)
+        assert got == pytest.approx(positive + max(0.0, negative))
+        sign = 1 if negative >= 0 else -1
+
+        def part(f, g):
+            wrong = sum(loss(-z) for z in g) / 60 - prior * sum(loss(-z) for z in f) / 40
+            return sign * wrong + (prior * sum(map(loss, f)) / 40 if sign > 0 else 0.0)
+
+        for i in (0, 7):
+            e = np.zeros(40)
+            e[i] = 1e-6
+            assert at_p[i] == pytest.approx((part(f + e, g) - part(f - e, g)) / 2e-6, abs=1e-6)
+            e = np.zeros(60)
+            e[i] = 1e-6
+            assert at_u[i] == pytest.approx((part(f, g + e) - part(f, g - e)) / 2e-6, abs=1e-6)
+
+
+def test_prior_comes_from_positives_and_unlabelled_alone():
+    rng = random.Random(6)
+    good = lambda: " ".join(rng.choice(("tan", "res", "lora", "mide")) for _ in range(40)).encode()
+    bad = lambda: b" | ".join(rng.choice((b"BUY!!", b"NOW$$")) for _ in range(40))
+    p = pu_classifier.Sample.of([pu_classifier.sample_row(good()) for _ in range(400)])
+    u = pu_classifier.Sample.of([pu_classifier.sample_row(good() if rng.random() < 0.7 else bad()) for _ in range(600)])
+    assert pu_classifier.estimated_prior(p, u) == pytest.approx(0.7, abs=0.08)
+
+
 def test_warc_round_trip_and_order(spark):
     pages = [(1, "http://www.B.com:80/x?q=1#f", "é\r\n\r\nWARC/1.1\r\n"), (2, "http://a.org", "same"), (3, None, None), (4, "https://a.org/", ""), (5, "http://a.org/y", "same"), (6, "x", "\r\n\r\n"), (None, "http://c", "only"), (2**63 - 1, "http://a\r\nb.org", "big"), (-(10**15), "http://a.org", "low")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as block", "'x' as head")
