@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from .vocabulary import SPEEDS
+
 #: Words that name a meter's component, and component words dropped from machine names.
 COMPONENT_WORDS = {"main": ("主機", " MAIN"), "uv": ("UV",), "ir": ("IR",), "motor": ("馬達", "MOTOR")}
 
 
+#: Words of components and sites that are taken out of a machine's name.
+NAME_WORDS = ("主機", "馬達", "UV", "IR", "水冷", "Main", "六期", "四期", "UV上光機", "印刷機", "印刷机", "數碼印刷機", "印刷上光機", "IR+UV", "IR+水冷", "主機+水冷")
+
+
 def clean_text(c: Column) -> Column:
     """Trimmed text; blank is NULL."""
     return F.nullif(F.trim(c.cast("string")), F.lit(""))
@@ -104,10 +111,16 @@ def machine_code(prefix: Column, suffix: Column) -> Column:
 
 def machine_pattern(name: Column) -> Column:
     """The machine code in a name, component words and brackets ignored; NULL without one."""
-    words = sorted({w.strip() for ws in COMPONENT_WORDS.values() for w in ws}, key=len, reverse=True)
-    text = F.regexp_replace(F.regexp_replace(F.upper(meter_label(name)), "|".join(words), " "), r"[()（）\[\]]", " ")
-    prefix, suffix = (F.regexp_extract(text, r"(\d{3,4})\s*-\s*(\d{3,5})", i) for i in (1, 2))
-    return F.when(prefix != "", machine_code(prefix, suffix))
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.trim(name), "|".join(sorted(map(re.escape, NAME_WORDS), key=len, reverse=True)), ""), r"[(（][^)）]*[)）]", ""))
+    code = r"(\d{3,4})\s*-\s*(\d{3,5})"
+    plain = r"^D-(\d{3})-(\d{3})$"
+    prefix, suffix = (F.regexp_extract(text, code, i) for i in (1, 2))
+    loose = r"^(\d{3,4})[-\s]+(\d{3,5})"
+    return (
+        F.when(text.rlike(plain), F.concat_ws("-", F.regexp_extract(text, plain, 1), F.regexp_extract(text, plain, 2)))
+        .when(prefix != "", machine_code(prefix, suffix))
+        .when(text.rlike(loose), machine_code(F.regexp_extract(text, loose, 1), F.regexp_extract(text, loose, 2)))
+    )
 
 
 def in_month(start: Column, end: Column, *stamps: Column) -> Column:
@@ -136,7 +149,14 @@ def state_label(state: Column) -> Column:
 def idle_category(ts: Column) -> Column:
     """Why a machine may stand idle at that time; the first that fits."""
     h = F.hour(ts)
-    return F.when(F.weekday(ts) >= 5, "weekend").when((h >= 22) | (h < 6), "overnight").when(h == 12, "lunch").when(h.isin(7, 15), "shift_change").when(h.between(6, 17), "unexplained").otherwise("evening")
+    return F.when(F.weekday(ts) >= 5, "weekend_idle").when(h < 7, "overnight_idle").when(h == 12, "lunch_idle").when(h.isin(7, 15, 23), "shift_change_idle").when(h.between(8, 17), "unexplained_working_idle").otherwise("evening_idle")
+
+
+def valid_speed(speed: Column, machine: Column) -> Column:
+    """Whether a speed lies in the range of the machine's family."""
+    limits = F.create_map(*[x for k, (low, high) in SPEEDS.items() for x in (F.lit(k), F.array(F.lit(low), F.lit(high)))])
+    own = F.coalesce(F.try_element_at(limits, machine_family(machine)), F.lit([*SPEEDS[""]]))
+    return F.coalesce((speed > 0) & speed.between(own[0], own[1]), F.lit(False))
 
 
 def first_max_label(scores: Sequence[Column], labels: Sequence[str], none: str = "no signal") -> Column:

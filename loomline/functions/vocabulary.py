@@ -18,3 +18,18 @@ PASSTHROUGH = "dominant_event_passthrough"
 BUDGET_TOLERANCE = 0.5
 MATERIAL_DIFFERENCE = 0.5
 FULL_HOUR = 59.5
+
+#: Labels of the largest part of an opportunity score, and of none.
+OPPORTUNITY_DRIVERS = ["High kWh per good unit", "High non-productive share", "Long time since last maintenance", "Elevated scrap rate"]
+NO_OPPORTUNITY = "No strong canonical opportunity signal"
+
+#: How well a machine's history supports a job, best first, and the share of a changeover that it costs.
+SUPPORT_TIERS = {"Material + task history": 0.00, "Material + task-difficulty history": 0.10, "Material history only": 0.20, "Task-difficulty history only": 0.28, "Machine-family fallback": 0.55}
+#: Share of a changeover that a later slot costs, by urgency.
+URGENCY = {"High": 1.00, "Medium": 0.65, "Low": 0.35}
+#: Weight of a row in the review queue, by how its inputs came about.
+SUPPORT_PATHS = {"Direct canonical row": 1.0, "Adapted row": 0.85, "Defaulted row": 0.65}
+#: Speeds in pieces an hour that are taken for real, by machine family; the last pair is for all others.
+SPEEDS = {"024": (1000, 50000), "035": (500, 30000), "166": (500, 25000), "1262": (100, 20000), "1042": (1000, 50000), "1099": (500, 30000), "": (100, 50000)}
+#: Words that mark a task or order as maintenance.
+MAINTENANCE_WORDS = ("保養", "保养", "維護", "维护", "維修", "维修")

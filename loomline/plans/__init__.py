@@ -1,0 +1,5 @@
+"""Plans: the fact, its readers, rules and summaries, and the registry of queries."""
+
+from . import catalog, rules, summaries
+
+__all__ = ["catalog", "rules", "summaries"]

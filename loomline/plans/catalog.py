@@ -256,11 +256,11 @@ def _flag(high: str, mid: str) -> str:
 
 
 @query(
-    f"""SELECT machine, family, eligible_rows, all_kwh, all_good, kwh_per_good, scrap_rate, utilization, lost_share, maintenance_hours, production_hours, setup_hours, score, {_flag("0.55", "0.30")} AS flag,
-CASE WHEN greatest(p0,p1,p2,p3) <= 0 THEN 'no signal' WHEN p0 = greatest(p0,p1,p2,p3) THEN 'energy intensity' WHEN p1 = greatest(p0,p1,p2,p3) THEN 'non-productive time' WHEN p2 = greatest(p0,p1,p2,p3) THEN 'energy scale' ELSE 'scrap' END AS driver
-FROM (SELECT *, round(p0+p1+p2+p3, 4) AS score FROM (SELECT *, {_norm("kwh_per_good")}*0.40 AS p0, {_norm("lost_share")}*0.30 AS p1, {_norm("all_kwh")}*0.15 AS p2, {_norm("scrap_rate")}*0.15 AS p3 FROM {_agg("machine, family", "coalesce(sum(energy_kwh),0) AS all_kwh, count(*) FILTER (machine_state = 'maintenance') AS maintenance_hours, count(*) FILTER (machine_state = 'production') AS production_hours, count(*) FILTER (machine_state = 'setup_changeover') AS setup_hours")}))""",
+    f"""SELECT machine, family, eligible_rows, all_kwh, all_good, kwh_per_good, scrap_rate, utilization, lost_share, mean_hours_since, maintenance_hours, production_hours, setup_hours, score, {_flag("0.55", "0.30")} AS flag,
+CASE WHEN greatest(p0,p1,p2,p3) <= 0 THEN 'No strong canonical opportunity signal' WHEN p0 = greatest(p0,p1,p2,p3) THEN 'High kWh per good unit' WHEN p1 = greatest(p0,p1,p2,p3) THEN 'High non-productive share' WHEN p2 = greatest(p0,p1,p2,p3) THEN 'Long time since last maintenance' ELSE 'Elevated scrap rate' END AS driver
+FROM (SELECT *, round(p0*0.40+p1*0.30+p2*0.15+p3*0.15, 4) AS score FROM (SELECT *, {_norm("kwh_per_good")} AS p0, least(1.0, greatest(0.0, coalesce(lost_share, 0))) AS p1, {_norm("mean_hours_since")} AS p2, least(1.0, greatest(0.0, coalesce(scrap_rate, 0))) AS p3 FROM {_agg("machine, family", "coalesce(sum(energy_kwh),0) AS all_kwh, count(*) FILTER (machine_state = 'maintenance') AS maintenance_hours, count(*) FILTER (machine_state = 'production') AS production_hours, count(*) FILTER (machine_state = 'setup_changeover') AS setup_hours")}))""",
     SCORES,
-    "all_kwh all_good kwh_per_good scrap_rate utilization lost_share score",
+    "all_kwh all_good kwh_per_good scrap_rate utilization lost_share mean_hours_since score",
 )
 def machine_opportunity(spark, sf_dir):
     return R.machine_opportunity(fact(spark, sf_dir))
@@ -383,19 +383,10 @@ def reliability_mtbf(spark, sf_dir):
     return _reliability(spark, sf_dir)
 
 
-@query(f"SELECT machine, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS risk FROM (SELECT machine, cast(CASE WHEN mtbf_days < 1 THEN 40 WHEN mtbf_days < 3 THEN 20 ELSE 0 END + CASE WHEN em > pm THEN 30 ELSE 0 END + CASE WHEN cm > pm THEN 30 ELSE 0 END AS integer) AS score FROM ({_RELIABILITY}))", S.DUCK)
-def rule_risk_score(spark, sf_dir):
-    score = F.when(F.col("mtbf_days") < 1, 40).when(F.col("mtbf_days") < 3, 20).otherwise(0) + F.when(F.col("em") > F.col("pm"), 30).otherwise(0) + F.when(F.col("cm") > F.col("pm"), 30).otherwise(0)
-    out = _reliability(spark, sf_dir).select("machine", score.alias("score"))
-    return out.withColumn("risk", F.when(F.col("score") >= 70, "high").when(F.col("score") >= 40, "medium").otherwise("low"))
-
-
 # ---- machine-days, weak labels and risk ----
 DAYS = S.FACT + """,
 days0 AS (SELECT machine, hour_us // 86400000000 AS d, sum(energy_kwh) AS kwh, coalesce(sum(production_minutes),0) AS prod, max(works_ever) AS works FROM fact GROUP BY ALL),
-days AS MATERIALIZED (SELECT *, sum(kwh) OVER w AS kwh_30d, sum(prod) OVER w AS prod_30d, count(*) OVER w AS days_30d FROM days0 WINDOW w AS (PARTITION BY machine ORDER BY d RANGE BETWEEN 29 PRECEDING AND CURRENT ROW)),
-wd AS MATERIALIZED (SELECT machine, txn_us // 86400000000 AS wd FROM works),
-labelled AS MATERIALIZED (SELECT days.*, coalesce((SELECT count(*) FROM wd WHERE wd.machine = days.machine AND wd <= d AND wd > d - 30), 0) AS past_30d, CASE WHEN EXISTS (SELECT 1 FROM wd WHERE wd.machine = days.machine AND wd > d AND wd <= d + 7) THEN 1 ELSE 0 END AS label FROM days)"""
+days AS MATERIALIZED (SELECT *, sum(kwh) OVER w AS kwh_30d, sum(prod) OVER w AS prod_30d, count(*) OVER w AS days_30d FROM days0 WINDOW w AS (PARTITION BY machine ORDER BY d RANGE BETWEEN 29 PRECEDING AND CURRENT ROW))"""
 
 
 def _days(spark, sf_dir):
@@ -404,37 +395,11 @@ def _days(spark, sf_dir):
     return days.withColumns({"kwh_30d": F.sum("kwh").over(month), "prod_30d": F.sum("prod").over(month), "days_30d": F.count("*").over(month)})
 
 
-def _labelled(spark, sf_dir):
-    """Transactions per day are a small row each, so trailing counts and the next one are windows over a union of days."""
-    per_day = bound(spark, sf_dir)["works"].groupBy("machine", F.floor(F.col("txn_us") / 86_400_000_000).alias("d")).agg(F.count("*").alias("n"))
-    days = _days(spark, sf_dir)
-    every = days.join(per_day, ["machine", "d"], "full_outer")
-    past = F.sum("n").over(_window("d").rangeBetween(-29, 0))
-    ahead = F.sum("n").over(_window("d").rangeBetween(1, 7))
-    return every.withColumns({"past_30d": F.coalesce(past, F.lit(0)), "label": (F.coalesce(ahead, F.lit(0)) > 0).cast("int")}).filter("kwh is not null or days_30d is not null").drop("n")
-
-
 @query("SELECT machine, d, kwh, prod, kwh_30d, prod_30d, days_30d FROM days", DAYS, "kwh prod kwh_30d prod_30d")
 def machine_day_rolling_30d(spark, sf_dir):
     return _days(spark, sf_dir).select("machine", "d", "kwh", "prod", "kwh_30d", "prod_30d", "days_30d")
 
 
-@query("SELECT machine, d, past_30d, label FROM labelled", DAYS)
-def weak_labels(spark, sf_dir):
-    return _labelled(spark, sf_dir).select("machine", "d", "past_30d", "label")
-
-
-_REF = "(CASE WHEN max({0}) OVER () - min({0}) OVER () <= 1e-9 THEN 0.0 ELSE ({0} - min({0}) OVER ()) / (max({0}) OVER () - min({0}) OVER ()) END)"
-
-
-@query("SELECT machine, d, score, CASE WHEN score >= 0.70 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS band FROM (SELECT machine, d, round(0.40*" + _REF.format("past_30d") + " + 0.35*" + _REF.format("kwh_30d") + " + 0.25*" + _REF.format("prod_30d") + ", 4) AS score FROM labelled) QUALIFY row_number() OVER (PARTITION BY machine ORDER BY d DESC) = 1", DAYS, "score")
-def risk_fallback_score(spark, sf_dir):
-    from ..functions.scalars import band, minmax
-
-    score = F.round(0.40 * minmax(F.col("past_30d")) + 0.35 * minmax(F.col("kwh_30d")) + 0.25 * minmax(F.col("prod_30d")), 4)
-    out = _labelled(spark, sf_dir).select("machine", "d", score.alias("score"))
-    out = out.withColumn("r", F.row_number().over(_window(F.desc("d")))).filter("r = 1").drop("r")
-    return out.withColumn("band", band(F.col("score"), 0.70, 0.45))
 
 
 # ---- legacy hourly features ----
@@ -453,11 +418,6 @@ def _changes(spark, sf_dir):
     return bound(spark, sf_dir)["jobs"].withColumn("previous", F.lag("material").over(_window("prod_start_us", "hash")))
 
 
-@query(f"SELECT previous, material, count(*) AS n_rows, avg(changeover) AS mean_changeover FROM ({_CHANGES}) WHERE previous <> material GROUP BY ALL", S.DUCK, "mean_changeover")
-def material_transitions(spark, sf_dir):
-    return _changes(spark, sf_dir).filter("previous <> material").groupBy("previous", "material").agg(F.count("*").alias("n_rows"), F.avg("changeover").alias("mean_changeover"))
-
-
 @query(f"SELECT machine, count(*) AS n_jobs, count(*) FILTER (previous IS NULL OR previous <> material) AS runs, count(DISTINCT material) AS materials, string_agg(material, '>' ORDER BY prod_start_us, hash) FILTER (previous IS NULL OR previous <> material) AS flow FROM ({_CHANGES}) GROUP BY machine", S.DUCK)
 def material_flow(spark, sf_dir):
     new = F.col("previous").isNull() | (F.col("previous") != F.col("material"))
@@ -465,17 +425,6 @@ def material_flow(spark, sf_dir):
     return _changes(spark, sf_dir).groupBy("machine").agg(F.count("*").alias("n_jobs"), F.count_if(new).alias("runs"), F.countDistinct("material").alias("materials"), F.array_join(runs, ">").alias("flow"))
 
 
-@query("SELECT leader, task, avg(prod_min) AS mean_minutes, median(prod_min) AS median_minutes, count(*) AS n_rows, sum(job_good) AS good FROM jobs GROUP BY ALL HAVING count(*) >= 10", S.DUCK, "mean_minutes median_minutes good")
-def leader_task_efficiency(spark, sf_dir):
-    return bound(spark, sf_dir)["jobs"].groupBy("leader", "task").agg(F.avg("prod_min").alias("mean_minutes"), F.median("prod_min").alias("median_minutes"), F.count("*").alias("n_rows"), F.sum("job_good").alias("good")).filter("n_rows >= 10")
-
-
-@query("SELECT *, rank() OVER (ORDER BY productivity DESC) AS place FROM (SELECT leader, count(*) AS n_jobs, sum(job_good) AS good, sum(prod_min) / 60 AS hours, round(sum(job_good) / (sum(prod_min) / 60), 6) AS productivity, stddev_pop(job_good) AS spread, mode(task ORDER BY task) AS usual_task FROM jobs GROUP BY leader)".replace("mode(task ORDER BY task)", "(SELECT t FROM (SELECT task AS t, count(*) AS c FROM jobs j WHERE j.leader = jobs.leader GROUP BY task) ORDER BY c DESC, t LIMIT 1)"), S.DUCK, "good hours productivity spread")
-def team_performance(spark, sf_dir):
-    out = bound(spark, sf_dir)["jobs"].groupBy("leader").agg(F.count("*").alias("n_jobs"), F.sum("job_good").alias("good"), (F.sum("prod_min") / 60).alias("hours"), F.round(F.sum("job_good") / (F.sum("prod_min") / 60), 6).alias("productivity"), F.stddev_pop("job_good").alias("spread"), F.mode("task", True).alias("usual_task"))
-    return out.withColumn("place", F.rank().over(Window.partitionBy().orderBy(F.desc("productivity"))).cast("bigint"))
-
-
 @query("SELECT 'energy_good' AS pair, corr(energy_kwh, good_qty) AS r FROM fact UNION ALL SELECT 'energy_production', corr(energy_kwh, production_minutes) FROM fact UNION ALL SELECT 'good_production', corr(good_qty, production_minutes) FROM fact", S.FACT, "r")
 def correlations(spark, sf_dir):
     pairs = {"energy_good": ("energy_kwh", "good_qty"), "energy_production": ("energy_kwh", "production_minutes"), "good_production": ("good_qty", "production_minutes")}
@@ -497,20 +446,6 @@ def shift_summary(spark, sf_dir):
     return backbone(bound(spark, sf_dir)["meters"]).groupBy(shift.alias("shift")).agg(F.count("*").alias("n_rows"), F.round(F.sum("energy_kwh"), 2).alias("kwh"), F.round(F.avg("energy_kwh"), 2).alias("mean_kwh")).filter("shift is not null")
 
 
-@query("SELECT *, availability * performance * quality / 10000 AS oee FROM (SELECT 100.0 * count(*) FILTER (machine_state = 'production') / count(*) AS availability, 100.0 * sum(production_minutes) / nullif(sum(coverage), 0) AS performance, 98.0::double AS quality FROM fact)", S.FACT, "availability performance quality oee")
-def oee(spark, sf_dir):
-    out = fact(spark, sf_dir).agg((100.0 * F.count_if(F.col("machine_state") == "production") / F.count("*")).alias("availability"), (100.0 * F.sum("production_minutes") / F.nullif(F.sum("coverage"), F.lit(0.0))).alias("performance"), F.lit(98.0).alias("quality"))
-    return out.withColumn("oee", F.col("availability") * F.col("performance") * F.col("quality") / 10000)
-
-
-@query("SELECT null_share, outlier_share, greatest(0.0, 100 - 20 * null_share - 50 * outlier_share) AS score FROM (SELECT count(*) FILTER (value IS NULL) / count(*) AS null_share, count(*) FILTER (abs(value - m) > 3 * s) / count(*) AS outlier_share FROM events, (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events))", "", "null_share outlier_share score")
-def data_quality_score(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("value")
-    stats = events.agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    out = events.crossJoin(F.broadcast(stats)).agg((F.count_if(F.col("value").isNull()) / F.count("*")).alias("null_share"), (F.count_if(F.abs(F.col("value") - F.col("m")) > 3 * F.col("s")) / F.count("*")).alias("outlier_share"))
-    return out.withColumn("score", F.greatest(F.lit(0.0), 100 - 20 * F.col("null_share") - 50 * F.col("outlier_share")))
-
-
 # ---- resolution and set operations ----
 def _systems(spark, sf_dir):
     """Machines that three systems know: the systems see different users."""
@@ -586,36 +521,16 @@ def raw_to_clean_meters(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n_rows, sum(value) AS total FROM events GROUP BY event_type", "", "total")
 def incremental_ingest(spark, sf_dir):
     """The events file through a checkpointed stream that takes what is there, twice: the second run finds nothing new."""
-    import uuid
-
+    from ..scratch import scratch_path
     from ..streaming.ingest import current_rows, ingest_available
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/loomline-checkpoints"
-    path = f"{root.rstrip('/')}/loomline/ingest-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "ingest")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     for _ in range(2):
         ingest_available(spark, f"{sf_dir}/event[s].parquet", schema, f"{path}/table", f"{path}/state")
     return current_rows(spark, f"{path}/table", ["event_id"], ["ts"]).groupBy("event_type").agg(F.count("*").alias("n_rows"), F.sum("value").alias("total"))
 
 
-_QUEUE = "SELECT family, material, task, difficulty, median(good_qty) AS qty, count(*) AS seen FROM ready WHERE eligible = 1 GROUP BY ALL ORDER BY seen DESC, family, material, task LIMIT 24"
-_PROFILES = "SELECT machine, family, sum(energy_kwh) / sum(good_qty) AS kwh_per_good, arg_max(hours_since, hour_us) AS hours_since, count(*) AS support FROM ready WHERE eligible = 1 GROUP BY ALL"
-
-
-@query(f"WITH q AS (SELECT *, greatest(25.0, round_even(qty / 25, 0) * 25) AS quantity, concat_ws('/', family, material, task) AS job FROM ({_QUEUE})), p AS ({_PROFILES}) SELECT job, q.family, quantity, machine, kwh_per_good * quantity AS energy_cost, kwh_per_good * quantity * (1 + CASE WHEN hours_since > 1000 THEN 0.25 WHEN hours_since > 500 THEN 0.10 ELSE 0 END + CASE WHEN support >= 50 THEN 0 WHEN support >= 10 THEN 0.05 ELSE 0.15 END) AS score FROM q JOIN p USING (family)", READY, "quantity energy_cost score")
-def candidate_scores(spark, sf_dir):
-    from . import schedule
-
-    rows = inputs(spark, sf_dir)
-    return schedule.candidates(schedule.job_queue(rows), schedule.machine_profiles(rows))
-
-
-@query(None)
-def greedy_schedule(spark, sf_dir):
-    from . import schedule
-
-    rows = inputs(spark, sf_dir)
-    return schedule.greedy(schedule.candidates(schedule.job_queue(rows), schedule.machine_profiles(rows)))
 
 
 @query(None)
@@ -627,39 +542,7 @@ def efficiency_model(spark, sf_dir):
     return models.metrics(models.fit_regressors(train), held_out)
 
 
-@query(None)
-def weak_label_model(spark, sf_dir):
-    from . import models
-
-    return models.weak_label_model(_labelled(spark, sf_dir).persist())[1]
-
-
 # ---- legacy hourly features and diagnostics ----
-@query("SELECT hash, machine, hour_us, CASE WHEN q < 0.5 THEN 0.0 ELSE q END AS good FROM (SELECT hash, machine, h AS hour_us, job_good * (least(prod_end_us, h + 3600000000) - greatest(prod_start_us, h)) / (prod_end_us - prod_start_us) AS q FROM (SELECT *, unnest(range(prod_start_us - prod_start_us % 3600000000, prod_end_us, 3600000000)) AS h FROM jobs WHERE prod_end_us > prod_start_us))", S.DUCK, "good")
-def hourly_allocation(spark, sf_dir):
-    """A job's pieces over its hours by share of overlap; under half a piece is none."""
-    from ..operators.timeops import spread_over_hours
-
-    rows = spread_over_hours(bound(spark, sf_dir)["jobs"], "prod_start_us", "prod_end_us")
-    inside = F.least(F.col("prod_end_us"), F.col("hour_us") + 3_600_000_000) - F.greatest("prod_start_us", "hour_us")
-    pieces = F.col("job_good") * inside / (F.col("prod_end_us") - F.col("prod_start_us"))
-    return rows.select("hash", "machine", "hour_us", F.when(pieces < 0.5, 0.0).otherwise(pieces).alias("good"))
-
-
-@query("SELECT machine, hour_us, CASE WHEN maintenance_in_hour = 1 THEN 'maintenance' WHEN setup_minutes > 0 THEN 'setup' WHEN production_minutes > 0 THEN 'production' ELSE 'idle' END AS use, CASE WHEN maintenance_in_hour = 1 THEN 1.0 WHEN setup_minutes > 0 THEN 0.9 WHEN production_minutes > 0 THEN 0.9 ELSE 0.8 END::double AS confidence FROM fact", S.FACT, "confidence")
-def hour_attribution(spark, sf_dir):
-    """One use for each hour: maintenance before setup before production, else idle."""
-    busy = F.when(F.col("maintenance_in_hour") == 1, "maintenance").when(F.col("setup_minutes") > 0, "setup").when(F.col("production_minutes") > 0, "production").otherwise("idle")
-    sure = F.when(F.col("maintenance_in_hour") == 1, 1.0).when((F.col("setup_minutes") > 0) | (F.col("production_minutes") > 0), 0.9).otherwise(0.8)
-    return fact(spark, sf_dir).select("machine", "hour_us", busy.alias("use"), sure.alias("confidence"))
-
-
-@query("SELECT category, count(*) AS n_rows, sum(energy_kwh) AS kwh FROM (SELECT energy_kwh, CASE WHEN isodow(t) >= 6 THEN 'weekend' WHEN hour(t) >= 22 OR hour(t) < 6 THEN 'overnight' WHEN hour(t) = 12 THEN 'lunch' WHEN hour(t) IN (7, 15) THEN 'shift_change' WHEN hour(t) BETWEEN 6 AND 17 THEN 'unexplained' ELSE 'evening' END AS category FROM (SELECT *, make_timestamp(hour_us) AS t FROM fact WHERE job_hash IS NULL)) GROUP BY category", S.FACT, "kwh")
-def idle_categories(spark, sf_dir):
-    from ..functions.scalars import idle_category
-
-    rows = fact(spark, sf_dir).filter("job_hash is null")
-    return rows.groupBy(idle_category(F.timestamp_micros("hour_us")).alias("category")).agg(F.count("*").alias("n_rows"), F.sum("energy_kwh").alias("kwh"))
 
 
 @query("WITH d AS (SELECT cast(make_timestamp(us) AS date) AS day, value FROM bound WHERE event_type = 'error') SELECT c.day, count(d.day) AS n_rows, coalesce(sum(value), 0) AS total FROM (SELECT cast(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS date) AS day FROM d) c LEFT JOIN d ON d.day = c.day GROUP BY c.day", S.DUCK, "total")
@@ -670,12 +553,6 @@ def daily_calendar(spark, sf_dir):
     return days.join(rows, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n_rows"), F.coalesce("v", F.lit(0.0)).alias("total"))
 
 
-@query("SELECT machine, count(DISTINCT hour_us) AS hours, sum(energy_kwh) AS kwh, avg(energy_kwh) AS mean_kwh, CASE WHEN count(DISTINCT hour_us) >= 100 THEN 'Active' ELSE 'Low' END AS activity, count(DISTINCT hour_us) / 720 AS utilization FROM backbone GROUP BY machine", S.BACKBONE, "kwh mean_kwh utilization")
-def machine_activity(spark, sf_dir):
-    hours = F.countDistinct("hour_us")
-    return backbone(bound(spark, sf_dir)["meters"]).groupBy("machine").agg(hours.alias("hours"), F.sum("energy_kwh").alias("kwh"), F.avg("energy_kwh").alias("mean_kwh"), F.when(hours >= 100, "Active").otherwise("Low").alias("activity"), (hours / 720).alias("utilization"))
-
-
 _DAY = 86_400_000_000
 _HALF = f"(SELECT DISTINCT machine, order_id FROM jobs WHERE prod_start_us // {_DAY} {{}} 19737)"
 
@@ -726,26 +603,7 @@ def shadow_diagnostics(spark, sf_dir):
     return rows.groupBy(F.coalesce("shadow_reason", F.lit("eligible")).alias("reason")).agg(F.count("*").alias("n_rows"), F.countDistinct("job_hash").alias("jobs"), F.sum(drift).alias("drift"))
 
 
-@query("SELECT rule, value FROM (UNPIVOT (SELECT sum(CASE WHEN job_hash IS NULL THEN energy_kwh END) / sum(energy_kwh) * 100 AS idle_share, stddev_samp(energy_kwh) / avg(energy_kwh) * 100 AS spread, avg(energy_kwh) FILTER (isodow(make_timestamp(hour_us)) >= 6) / avg(energy_kwh) FILTER (isodow(make_timestamp(hour_us)) < 6) * 100 AS weekend FROM fact) ON idle_share, spread, weekend INTO NAME rule VALUE value) WHERE value > CASE rule WHEN 'idle_share' THEN 15 WHEN 'spread' THEN 20 ELSE 120 END", S.FACT, "value")
-def threshold_recommendations(spark, sf_dir):
-    """Rules whose figure is over its limit: idle energy over 15 %, spread over 20 % of the mean, weekends over 120 %."""
-    weekend = F.weekday(F.timestamp_micros("hour_us")) >= 5
-    mean = lambda c: F.avg(F.when(c, F.col("energy_kwh")))
-    figures = fact(spark, sf_dir).agg((F.sum(F.when(F.col("job_hash").isNull(), F.col("energy_kwh"))) / F.sum("energy_kwh") * 100).alias("idle_share"), (F.stddev_samp("energy_kwh") / F.avg("energy_kwh") * 100).alias("spread"), (mean(weekend) / mean(~weekend) * 100).alias("weekend"))
-    limit = F.when(F.col("rule") == "idle_share", 15).when(F.col("rule") == "spread", 20).otherwise(120)
-    return figures.unpivot([], ["idle_share", "spread", "weekend"], "rule", "value").filter(F.col("value") > limit)
-
-
 @query("SELECT component, count(value) AS n_rows, avg(value) AS mean, stddev_samp(value) AS deviation, min(value) AS least, max(value) AS most FROM (SELECT component, kwh AS value FROM meters) GROUP BY component", S.DUCK, "mean deviation least most")
 def feature_statistics(spark, sf_dir):
     value = "kwh"
-    return bound(spark, sf_dir)["meters"].groupBy("component").agg(F.count(value).alias("n_rows"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"), F.min(value).alias("least"), F.max(value).alias("most"))
-
-
-@query(f"WITH l AS (SELECT *, energy_kwh / good_qty AS k FROM ({_LATEST})), p AS (SELECT a.machine, median(b.k) AS baseline FROM l a JOIN l b ON a.machine <> b.machine GROUP BY a.machine) SELECT machine, greatest(k - baseline, 0) * good_qty AS priority, CASE WHEN k > baseline THEN 'over' ELSE 'within' END AS verdict FROM l JOIN p USING (machine)", READY, "priority")
-def review_queue(spark, sf_dir):
-    """Machines by what they use over the median of all other machines, times their pieces."""
-    latest = R.latest_per_machine(inputs(spark, sf_dir)).withColumn("kwh_per_good", F.col("energy_kwh") / F.col("good_qty"))
-    base = R.peer_baseline(latest, least_family=1 << 30, least_difficulty=1 << 30)
-    over = F.col("kwh_per_good") - F.col("baseline")
-    return latest.join(base, "machine").select("machine", (F.greatest(over, F.lit(0.0)) * F.col("good_qty")).alias("priority"), F.when(over > 0, "over").otherwise("within").alias("verdict"))
+    return bound(spark, sf_dir)["meters"].groupBy("component").agg(F.count(value).alias("n_rows"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"), F.min(value).alias("least"), F.max(value).alias("most"))
\ No newline at end of file

@@ -70,7 +70,8 @@ def what_if(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def weak_label_model(days: DataFrame, share: float = 0.8) -> tuple[PipelineModel, DataFrame]:
-    """Logistic regression of the seven-day label, weighted by class, cut by date; its area under the curve."""
+    """Logistic regression of the label, where one is known, weighted by class, cut by date; its area under the curve."""
+    days = days.filter("label is not null")
     low, high = days.agg(F.min("d"), F.max("d")).first()
     cut = low + int((high - low) * share)
     train, held_out = days.filter(F.col("d") <= cut), days.filter(F.col("d") > cut)

@@ -122,13 +122,14 @@ def _rates(df: DataFrame) -> DataFrame:
 
 
 def machine_opportunity(fact: DataFrame) -> DataFrame:
-    """Where there is most to gain: energy per piece, lost time, energy and scrap, each from least to most."""
+    """Where there is most to gain: energy per piece, lost time, time since maintenance and scrap."""
     out = _rates(scored_rows(fact).groupBy("machine", "family").agg(*_common(), F.coalesce(F.sum("energy_kwh"), F.lit(0.0)).alias("all_kwh"), F.count_if(F.col("machine_state") == "maintenance").alias("maintenance_hours"), F.count_if(F.col("machine_state") == "production").alias("production_hours"), F.count_if(F.col("machine_state") == "setup_changeover").alias("setup_hours")))
-    parts = [minmax(F.col(c)) * w for c, w in (("kwh_per_good", 0.40), ("lost_share", 0.30), ("all_kwh", 0.15), ("scrap_rate", 0.15))]
-    out = out.withColumns({f"part{i}": p for i, p in enumerate(parts)})
-    score = F.round(sum(F.col(f"part{i}") for i in range(4)), 4)
-    out = out.withColumns({"score": score, "driver": first_max_label([F.col(f"part{i}") for i in range(4)], ["energy intensity", "non-productive time", "energy scale", "scrap"])})
-    return out.withColumn("flag", band(F.col("score"), 0.55, 0.30)).select("machine", "family", "eligible_rows", "all_kwh", "all_good", "kwh_per_good", "scrap_rate", "utilization", "lost_share", "maintenance_hours", "production_hours", "setup_hours", "score", "flag", "driver")
+    share = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), _zero(c)))
+    out = out.withColumns({"part0": minmax(F.col("kwh_per_good")), "part1": share("lost_share"), "part2": minmax(F.col("mean_hours_since")), "part3": share("scrap_rate")})
+    parts = [F.col(f"part{i}") for i in range(4)]
+    score = F.round(sum(p * w for p, w in zip(parts, (0.40, 0.30, 0.15, 0.15), strict=True)), 4)
+    out = out.withColumns({"score": score, "driver": first_max_label(parts, V.OPPORTUNITY_DRIVERS, V.NO_OPPORTUNITY)})
+    return out.withColumn("flag", band(F.col("score"), 0.55, 0.30)).select("machine", "family", "eligible_rows", "all_kwh", "all_good", "kwh_per_good", "scrap_rate", "utilization", "lost_share", "mean_hours_since", "maintenance_hours", "production_hours", "setup_hours", "score", "flag", "driver")
 
 
 def schedule_summary(fact: DataFrame) -> DataFrame:

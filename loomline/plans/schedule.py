@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as V
 from ..functions.scalars import safe_divide
 
 
@@ -24,37 +25,85 @@ def job_queue(inputs: DataFrame, size: int = 24) -> DataFrame:
     return top.withColumn("quantity", step).withColumn("job", F.concat_ws("/", "family", "material", "task")).drop("qty")
 
 
-def candidates(queue: DataFrame, profiles: DataFrame, price: float = 1.0) -> DataFrame:
-    """Each job on each machine of its family: energy cost and penalties for missing support and late maintenance."""
+def with_urgency(queue: DataFrame) -> DataFrame:
+    """High from the third quartile of the queue's quantities on, medium from the 35th percentile on."""
+    edges = queue.agg(F.percentile("quantity", F.lit(0.75)).alias("p75"), F.percentile("quantity", F.lit(0.35)).alias("p35"))
+    urgency = F.when(F.col("quantity") >= F.col("p75"), "High").when(F.col("quantity") >= F.col("p35"), "Medium").otherwise("Low")
+    return queue.crossJoin(F.broadcast(edges)).withColumn("urgency", urgency).drop("p75", "p35")
+
+
+def support(inputs: DataFrame) -> dict[str, DataFrame]:
+    """Rows with pieces by (machine, material, task), (machine, material) and (machine, difficulty)."""
+    rows = inputs.filter("good_qty > 0")
+    count = lambda df, keys, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    return {
+        "joint": count(rows, ["machine", "material", "task"], "joint"),
+        "by_material": count(rows, ["machine", "material"], "by_material"),
+        "by_difficulty": count(rows.filter("difficulty is not null"), ["machine", "difficulty"], "by_difficulty"),
+    }
+
+
+def candidates(queue: DataFrame, profiles: DataFrame, history: dict[str, DataFrame], context: DataFrame) -> DataFrame:
+    """Each job on each machine of its family, in a first slot: energy cost, penalties and why it may not be.
+
+    The energy is that of the machine's history. ``profiles`` have the maintenance evidence; ``context`` is one row.
+    """
     pairs = queue.join(profiles, "family")
-    cost = F.col("kwh_per_good") * F.col("quantity") * price
-    late = F.when(F.col("hours_since") > 1000, 0.25).when(F.col("hours_since") > 500, 0.10).otherwise(0.0)
-    thin = F.when(F.col("support") >= 50, 0.0).when(F.col("support") >= 10, 0.05).otherwise(0.15)
-    return pairs.select("job", "family", "quantity", "machine", cost.alias("energy_cost"), (cost * (1 + late + thin)).alias("score"))
+    pairs = pairs.join(history["joint"], ["machine", "material", "task"], "left").join(history["by_material"], ["machine", "material"], "left").join(history["by_difficulty"], ["machine", "difficulty"], "left")
+    has = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
+    tiers = list(V.SUPPORT_TIERS)
+    tier = F.when(has("joint"), tiers[0]).when(has("by_material") & has("by_difficulty"), tiers[1]).when(has("by_material"), tiers[2]).when(has("by_difficulty"), tiers[3]).otherwise(tiers[4])
+    known, late, changeover = F.col("total_events").isNotNull(), F.col("hours_since") >= 3000, F.col("changeover")
+    risk = F.least(F.col("days_since") / 120.0, F.lit(2.0)) * 0.35 + F.when(F.col("pm_ratio") < 0.10, 0.35).when(F.col("pm_ratio") < 0.30, 0.15).otherwise(0.0) + F.when(F.col("total_events") < 5, 0.10).otherwise(0.0)
+    gap = F.when(F.col("hours_since").isNull(), 0.40).otherwise(F.least(F.col("hours_since") / 1800.0, F.lit(1.0)) * 0.30)
+    blackout = F.when(known, (F.col("days_since") >= 180) & (F.col("pm_ratio") <= 0.05)).otherwise(F.coalesce(late, F.lit(False)))
+    status = F.when(blackout, "Maintenance blackout").when(known, "Evidence-backed maintenance profile").otherwise("Maintenance evidence gap")
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in V.SUPPORT_TIERS.items() for x in kv]), F.col("tier"))
+    out = pairs.crossJoin(F.broadcast(context)).withColumns({"tier": tier, "status": status})
+    out = out.withColumns({
+        "energy_cost": F.coalesce(F.col("kwh_per_good") * F.col("quantity") * F.col("price"), F.lit(0.0)),
+        "maintenance_penalty": F.round(changeover * F.when(known, risk).when(late, 1.10).otherwise(gap), 4),
+        "support_penalty": F.round(changeover * share, 4),
+        "model_penalty": F.when(F.col("kwh_per_good").isNull(), changeover * 0.65).otherwise(0.0),
+        "exclude_reason": F.when(F.col("status") == "Maintenance blackout", "maintenance_blackout"),
+    })
+    score = F.col("energy_cost") + F.col("maintenance_penalty") + F.col("support_penalty") + F.col("model_penalty")
+    return out.select("job", "family", "material", "task", "difficulty", "urgency", "quantity", "machine", "tier", "status", "energy_cost", "maintenance_penalty", "support_penalty", "model_penalty", score.alias("score"), "exclude_reason", "changeover")
 
 
 def top_candidates(scored: DataFrame, n: int = 5) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("job").orderBy("score", "machine"))
+    rank = F.row_number().over(Window.partitionBy("job").orderBy(F.round("score", 6), "machine"))
     return scored.withColumn("place", rank).filter(F.col("place") <= n)
 
 
-def greedy(scored: DataFrame, most_per_machine: int = 4) -> DataFrame:
-    """Jobs in order of size to the best machine with a free slot; families are independent.
+def assign(rows: pd.DataFrame, most_per_machine: int = 4) -> pd.DataFrame:
+    """Jobs of one family, the urgent and large ones first, each to the machine that is best with what it has by then.
 
-    The queue is bounded by its size, so a family is a few dozen rows.
+    A later slot costs a changeover if the material before it is another, and more the more urgent the job is. Ties go to
+    the better history, then by machine. A job that no machine may take has none.
     """
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        slots: dict[str, int] = {}
-        out = []
-        for job, own in sorted(rows.groupby("job"), key=lambda x: (-x[1]["quantity"].iloc[0], x[0])):
-            for r in own.sort_values(["score", "machine"]).itertuples():
-                if slots.get(r.machine, 0) < most_per_machine:
-                    slots[r.machine] = slots.get(r.machine, 0) + 1
-                    out.append((job, r.machine, slots[r.machine], r.quantity, r.score))
-                    break
-            else:
-                out.append((job, None, None, own["quantity"].iloc[0], None))
-        return pd.DataFrame(out, columns=["job", "machine", "slot", "quantity", "score"])
-
-    return scored.groupBy("family").applyInPandas(assign, "job string, machine string, slot double, quantity double, score double")
+    order = {"High": 0, "Medium": 1, "Low": 2}
+    tiers = list(V.SUPPORT_TIERS)
+    taken: dict[str, list[str]] = {}
+    out = []
+    for job, own in sorted(rows.groupby("job"), key=lambda x: (order[x[1]["urgency"].iloc[0]], -x[1]["quantity"].iloc[0], x[0])):
+        best = None
+        for r in own.itertuples():
+            before = taken.get(r.machine, [])
+            if len(before) >= most_per_machine or isinstance(r.exclude_reason, str):
+                continue
+            change = r.changeover if before and before[-1] != r.material else 0.0
+            score = r.score + change + r.changeover * V.URGENCY[r.urgency] * len(before)
+            if best is None or (round(score, 4), tiers.index(r.tier), r.machine) < best[0]:
+                best = ((round(score, 4), tiers.index(r.tier), r.machine), r)
+        if best is None:
+            out.append((job, None, None, own["quantity"].iloc[0], None))
+            continue
+        taken.setdefault(best[1].machine, []).append(best[1].material)
+        out.append((job, best[1].machine, float(len(taken[best[1].machine])), best[1].quantity, best[0][0]))
+    return pd.DataFrame(out, columns=["job", "machine", "slot", "quantity", "score"])
+
+
+def greedy(scored: DataFrame) -> DataFrame:
+    """``assign`` for each family. The queue is bounded by its size, so a family is a few dozen rows."""
+    return scored.groupBy("family").applyInPandas(lambda rows: assign(rows), "job string, machine string, slot double, quantity double, score double")
