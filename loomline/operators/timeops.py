@@ -56,17 +56,31 @@ def asof_before(hours: DataFrame, events: DataFrame, key: str, time: str, order:
 def trailing_sets(hours: DataFrame, events: DataFrame, key: str, time: str, item: str, spans: dict[str, int]) -> DataFrame:
     """For each hour the distinct items of [hour - span, hour), for each span in hours, and of the hour itself.
 
-    Events are first reduced to one row per (key, hour) with their items; sliding windows over these
-    then collect small sets. Items without an id are counted only in windows without any id.
+    An item seen in an hour counts in the hours after it, until its span ends or it is seen again: it comes in
+    with +1 and leaves with -1, and a running sum over these edges is the distinct count. So the work does not grow with
+    the span. Items without an id are counted only in windows without any id.
     """
-    per_hour = events.select(key, hour_of(F.col(time)).alias("hour_us"), item).groupBy(key, "hour_us").agg(F.collect_set(item).alias("ids"), F.count("*").alias("n"))
-    every = hours.select(key, "hour_us").join(per_hour, [key, "hour_us"], "full_outer").withColumn("h", (F.col("hour_us") / HOUR_US).cast("bigint"))
-    out = every
-    for name, span in {**spans, "in_hour": 0}.items():
-        frame = Window.partitionBy(key).orderBy("h").rangeBetween(-span, -1) if span else Window.partitionBy(key, "h")
-        ids = F.size(F.array_distinct(F.flatten(F.collect_list("ids").over(frame))))
-        out = out.withColumn(name, F.when(ids > 0, ids).otherwise(F.coalesce(F.sum("n").over(frame), F.lit(0))).cast("bigint"))
-    return out.join(hours.select(key, "hour_us"), [key, "hour_us"], "left_semi").drop("ids", "n", "h")
+    seen = events.select(key, (hour_of(F.col(time)) / HOUR_US).cast("bigint").alias("h"), item)
+    again = F.lead("h").over(Window.partitionBy(key, item).orderBy("h"))
+    items = seen.filter(F.col(item).isNotNull()).distinct().withColumn("again", again)
+    per_hour = seen.groupBy(key, "h").agg(F.count("*").alias("n"), F.countDistinct(item).alias("in_hour"))
+    names = [f"{name}_{what}" for name in spans for what in ("ids", "rows")]
+
+    def edge(at: Column, name: str, step: Column) -> Column:
+        return F.struct(at.alias("h"), *[(step if c == name else F.lit(0)).cast("bigint").alias(c) for c in names])
+
+    def edges(rows: DataFrame, what: str, step: Column, ends: dict[str, Column]) -> DataFrame:
+        every = [x for name in spans for x in (edge(F.col("h") + 1, f"{name}_{what}", step), edge(ends[name] + 1, f"{name}_{what}", -step))]
+        return rows.select(key, F.explode(F.array(*every)).alias("e")).select(key, "e.*")
+
+    moves = edges(items, "ids", F.lit(1), {n: F.least("again", F.col("h") + s) for n, s in spans.items()}).unionByName(edges(per_hour, "rows", F.col("n"), {n: F.col("h") + s for n, s in spans.items()}))
+    asked = hours.select(key, "hour_us").distinct().withColumn("h", (F.col("hour_us") / HOUR_US).cast("bigint"))
+    sums = moves.unionByName(asked.drop("hour_us"), allowMissingColumns=True).groupBy(key, "h").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    past = Window.partitionBy(key).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    out = asked.join(sums.withColumns({c: F.sum(c).over(past) for c in names}), [key, "h"]).join(per_hour, [key, "h"], "left")
+    counts = {name: F.when(F.col(f"{name}_ids") > 0, F.col(f"{name}_ids")).otherwise(F.col(f"{name}_rows")) for name in spans}
+    counts["in_hour"] = F.when(F.col("in_hour") > 0, F.col("in_hour")).otherwise(F.coalesce("n", F.lit(0)))
+    return out.select(key, "hour_us", *[c.cast("bigint").alias(name) for name, c in counts.items()])
 
 
 def running_distinct(hours: DataFrame, events: DataFrame, key: str, time: str, item: str, name: str) -> DataFrame:
@@ -84,8 +98,11 @@ def best_match(pairs: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return pairs.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def allocate(rows: DataFrame, group: str, basis: Column, total: str, into: str) -> DataFrame:
-    """Each row's share of the group's total by its positive basis; NULL where there is none."""
+def allocate(rows: DataFrame, group: str, basis: Column, total: str, into: str, part: str | None = None) -> DataFrame:
+    """Each row's share of the group's total by its positive basis; NULL where there is none.
+
+    ``part`` is a column like the group that tells rows without group apart, so that these do not meet in one task.
+    """
     positive = F.when(basis > 0, basis)
-    whole = F.sum(positive).over(Window.partitionBy(group))
+    whole = F.sum(positive).over(Window.partitionBy(part or group))
     return rows.withColumn(into, F.when(F.col(group).isNotNull() & (whole > 0), F.col(total) * positive / whole))

@@ -114,10 +114,11 @@ def with_jobs(fact: DataFrame, jobs: DataFrame, hours: DataFrame | None = None)
 def with_quantity(fact: DataFrame) -> DataFrame:
     """Each job's pieces over the hours that it dominates, by its production minutes there."""
     basis = F.coalesce(F.when(F.col("lead_production") > 0, F.col("lead_production")), F.col("production_minutes"))
-    out = fact.withColumn("row_basis", basis)
-    for total, into in (("job_good", "good_qty"), ("job_scrap", "scrap_qty")):
-        out = allocate(out, "job_hash", F.col("row_basis"), total, into)
-    out = allocate(out.withColumn("_one", F.lit(1.0)), "job_hash", F.col("row_basis"), "_one", "basis_share").drop("_one")
+    part = F.coalesce("job_hash", F.concat(F.lit("\0"), F.xxhash64(*KEY)))
+    out = fact.withColumns({"row_basis": basis, "_one": F.lit(1.0), "_part": part})
+    for total, into in (("job_good", "good_qty"), ("job_scrap", "scrap_qty"), ("_one", "basis_share")):
+        out = allocate(out, "job_hash", F.col("row_basis"), total, into, "_part")
+    out = out.drop("_one", "_part")
     warning = F.when(F.col("job_hash").isNull(), "csi_qty_missing_source_row_hash").when(F.coalesce(F.col("row_basis"), F.lit(0.0)) <= 0, "csi_qty_no_positive_production_minutes").when(F.col("job_good").isNull() & F.col("job_scrap").isNull(), "csi_qty_missing_all").when(F.col("job_good").isNull(), "csi_qty_missing_good_qty").when(F.col("job_scrap").isNull(), "csi_qty_missing_scrap_qty")
     assigned = sum(F.coalesce(F.col(c), F.lit(0.0)) for c in OPERATIONAL)
     broken = F.when(F.col("job_hash").isNull(), None).when(F.col("production_minutes") > 60, "production_minutes_gt_60").when(F.least(*OPERATIONAL) < -V.BUDGET_TOLERANCE, "negative_operational_minutes").when(assigned > 60 + V.BUDGET_TOLERANCE, "operational_minutes_exceed_hour_budget")

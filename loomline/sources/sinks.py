@@ -28,9 +28,13 @@ def first_seen(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFram
     return new.join(before, key, "left").withColumn(stamp, F.coalesce("_first", stamp)).select(new.columns)
 
 
-def replace_months(rows: DataFrame, path: str, month: str = "month_key") -> None:
-    """Overwrite the months that ``rows`` has; other months stay. Needs no read of the table."""
-    rows.repartition(month).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
+def replace_months(rows: DataFrame, path: str, month: str = "month_key", files: int = 16) -> None:
+    """Overwrite the months that ``rows`` has; other months stay. Needs no read of the table.
+
+    A month goes to up to ``files`` tasks by a hash of its rows; a file has ten million rows at most.
+    """
+    others = [F.col(f"`{c}`") for c in rows.columns if c != month and not rows.schema[c].dataType.typeName() == "map"]
+    rows.repartition(F.col(month), F.pmod(F.xxhash64(*others), F.lit(files))).write.option("maxRecordsPerFile", 10_000_000).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
 
 
 def upsert(rows: DataFrame, path: str, keys: Sequence[str], newest: Sequence[str], version: int) -> str:
