@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import byte_texts, id_and_text, rebatched
 
 #: Rows of positives, and of unlabelled texts, that the model is fitted on at most, about.
-SAMPLE = 6_000
+SAMPLE = 3_000
 BINS = 12
 #: Slots of the hashed words, and of the hashed runs of bytes.
 SLOTS = 1 << 12
@@ -98,7 +98,8 @@ class Sample:
     def take(self, rows: np.ndarray) -> Sample:
         sizes = np.diff(self.starts)[rows]
         ends = np.cumsum(sizes)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[rows] - (ends - sizes), sizes)
+        at = np.repeat((self.starts[rows] - (ends - sizes)).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
         return Sample(self.rates[rows], np.concatenate(([0], ends)), self.slots[at], self.values[at])
 
 
@@ -167,14 +168,14 @@ def fit(positive: Sample, unlabelled: Sample, prior: float, loss=risk, steps: in
     ready = []
     for x in (positive, unlabelled):
         x = x.take(rng.permutation(len(x)))
-        ready.append((x.starts, start.places(x.rates), x.slots.astype(np.int64), x.values.astype(np.float64), np.repeat(np.arange(len(x)), np.diff(x.starts))))
+        ready.append((x, start.places(x.rates).astype(np.int32)))
 
     def draw(kind: int, step: int) -> tuple:
-        starts, at, slots, values, rows = ready[kind]
+        x, at = ready[kind]
         size = min(ROWS, len(at))
         a = step * size % (len(at) - size + 1)
-        c, d = starts[a], starts[a + size]
-        return at[a : a + size], slots[c:d], values[c:d], rows[c:d] - a
+        c, d = x.starts[a], x.starts[a + size]
+        return at[a : a + size], x.slots[c:d].astype(np.int64), x.values[c:d], np.repeat(np.arange(size), np.diff(x.starts[a : a + size + 1]))
 
     def logits(at: np.ndarray, slots: np.ndarray, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return w[at].sum(1) + np.bincount(rows, w[n + slots] * values, len(at)) + w[-1]
@@ -238,6 +239,7 @@ def train(texts: DataFrame, labels: DataFrame, parts: int, sample: int) -> Model
     rows = [(r["positive"], bytes(r["rates"]), bytes(r["slots"]), bytes(r["values"])) for r in positives.unionByName(unlabelled).mapInArrow(run, "positive boolean, rates binary, slots binary, values binary").collect()]
     rows.sort(key=lambda r: zlib.crc32(r[1] + r[2]))  # in an order of their own, however tasks ended
     p, u = (Sample.of([r[1:] for r in rows if r[0] == kind]) for kind in (True, False))
+    del rows
     if len(p) < 2 or len(u) < 2:
         return None
     return fit(p, u, estimated_prior(p, u))
