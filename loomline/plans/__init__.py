@@ -1,5 +1,5 @@
-"""Plans: the fact, its readers, rules and summaries, and the registry of queries."""
+"""Plans: the fact, its readers, rules, summaries, months and what is served, and the registry of queries."""
 
-from . import catalog, rules, summaries
+from . import catalog, months, rules, serving, summaries
 
-__all__ = ["catalog", "rules", "summaries"]
+__all__ = ["catalog", "months", "rules", "serving", "summaries"]

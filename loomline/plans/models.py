@@ -18,6 +18,11 @@ def training_rows(inputs: DataFrame, least_qty: float = 1.0, most: float = 20.0)
     """Eligible rows with the target and the derived features."""
     rows = inputs.filter((F.col("eligible") == 1) & (F.col("good_qty") >= least_qty) & F.col("energy_kwh").isNotNull())
     rows = rows.withColumn("label", F.col("energy_kwh") / F.col("good_qty")).filter((F.col("label") <= most) & (F.col("energy_kwh") >= 0.25))
+    return with_features(rows)
+
+
+def with_features(rows: DataFrame) -> DataFrame:
+    """Rows of the readiness inputs with the features that the models derive."""
     number = lambda c: F.col(c).cast("double")
     derived = {"is_weekend": (F.weekday("day") >= 5).cast("double"), "is_night": ((F.col("hour") >= 20) | (F.col("hour") < 6)).cast("double"), "overdue": (F.col("hours_since") > 1000).cast("double"), "urgency": F.col("hours_since") / 720}
     return rows.withColumns(derived | {c: number(c) for c in ("works_30d", "works_ever", "hour")})
@@ -46,6 +51,10 @@ def fit_regressors(train: DataFrame, seed: int = 42) -> dict[str, PipelineModel]
     return {name: Pipeline(stages=[*_stages(), m]).fit(train) for name, m in models.items()}
 
 
+def fit_linear(train: DataFrame) -> PipelineModel:
+    return Pipeline(stages=[*_stages(), LinearRegression(regParam=0.01)]).fit(train)
+
+
 def metrics(models: dict[str, PipelineModel], held_out: DataFrame) -> DataFrame:
     """r2, mae and rmse of each model on the held-out rows, best first."""
     rows = []
@@ -64,7 +73,8 @@ def promotes(candidate: float, active: float | None, tolerance: float = 1e-9) ->
 def what_if(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Predictions of each row as it is and under earlier maintenance, one more hand, and both; one transform."""
     sooner = F.greatest(F.col("hours_since") - F.greatest(F.lit(12.0), F.col("hours_since") * 0.25), F.lit(0.0))
-    cases = F.array(F.struct(F.lit("as_is").alias("case"), F.col("hours_since").alias("h"), F.col("team_size").alias("t")), F.struct(F.lit("maintenance"), sooner, F.col("team_size")), F.struct(F.lit("crew"), F.col("hours_since"), F.col("team_size") + 1), F.struct(F.lit("both"), sooner, F.col("team_size") + 1))
+    case = lambda name, h, t: F.struct(F.lit(name).alias("case"), h.alias("h"), t.alias("t"))
+    cases = F.array(case("as_is", F.col("hours_since"), F.col("team_size")), case("maintenance", sooner, F.col("team_size")), case("crew", F.col("hours_since"), F.col("team_size") + 1), case("both", sooner, F.col("team_size") + 1))
     every = rows.withColumn("_c", F.explode(cases)).withColumn("hours_since", F.col("_c.h")).withColumn("team_size", F.col("_c.t")).withColumn("case", F.col("_c.case")).drop("_c")
     return model.transform(every)
 
