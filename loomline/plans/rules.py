@@ -234,6 +234,21 @@ def greedy_schedule(spark, sf_dir):
     return schedule.greedy(scored_candidates(spark, sf_dir))
 
 
+@query(None)
+def swapped_schedule(spark, sf_dir):
+    """The greedy schedule after each family's best exchange of two jobs."""
+    return schedule.greedy(scored_candidates(spark, sf_dir), swap=True)
+
+
+@query(None)
+def schedule_comparison(spark, sf_dir):
+    """Jobs placed and sum of scores of the greedy schedule and of the naive one, and how far they are apart."""
+    scored = once(scored_candidates(spark, sf_dir), "scored")
+    sums = lambda df, kind: df.agg(F.count("machine").cast("double").alias("jobs"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("score")).unpivot([], ["jobs", "score"], "metric", kind)
+    both = sums(schedule.greedy(scored), "optimized").join(sums(schedule.greedy(scored, naive=True), "naive"), "metric")
+    return both.withColumn("delta", F.col("optimized") - F.col("naive"))
+
+
 # ---- review ----
 _PREDICTED = "SELECT * EXCLUDE (task), energy_kwh / good_qty AS predicted, least(1.0, support / 200.0) AS confidence FROM (SELECT * FROM ready WHERE eligible = 1 QUALIFY row_number() OVER (PARTITION BY machine ORDER BY hour_us DESC) = 1) JOIN (SELECT machine, count(*) AS support FROM ready WHERE eligible = 1 GROUP BY machine) USING (machine)"
 
@@ -382,6 +397,13 @@ def material_transitions(spark, sf_dir):
     return rows.groupBy("previous", "material").agg(F.count("*").alias("n_rows"), cost.alias("c")).select("previous", "material", "n_rows", F.coalesce("c", F.when(F.col("previous") != F.col("material"), 5.0).otherwise(0.0)).alias("cost"))
 
 
+@query(None)
+def material_sequences(spark, sf_dir):
+    """The queue's jobs of each family in the order in which materials are cheapest to change."""
+    queue = schedule.job_queue(inputs(spark, sf_dir)).select("family", "job", "material")
+    return schedule.sequenced(queue, material_transitions(spark, sf_dir))
+
+
 @query("SELECT *, availability * performance * quality / 10000 AS oee FROM (SELECT 100.0 * count(*) FILTER (good_qty > 0) / count(*) AS availability, 85.0::double AS performance, 98.0::double AS quality FROM fact)", S.FACT, "availability performance quality oee")
 def oee(spark, sf_dir):
     """Hours with pieces, with the default performance and quality of a view that measures neither."""

@@ -76,34 +76,109 @@ def top_candidates(scored: DataFrame, n: int = 5) -> DataFrame:
     return scored.withColumn("place", rank).filter(F.col("place") <= n)
 
 
-def assign(rows: pd.DataFrame, most_per_machine: int = 4) -> pd.DataFrame:
+def _slot_score(r, before: list[str]) -> float:
+    """Score of a candidate after the materials ``before`` it: a changeover for another material, and the later the more for urgency."""
+    change = r.changeover if before and before[-1] != r.material else 0.0
+    return r.score + change + r.changeover * V.URGENCY[r.urgency] * len(before)
+
+
+SCHEDULE = ["job", "machine", "slot", "quantity", "score"]
+
+
+def assign(rows: pd.DataFrame, most_per_machine: int = 4, naive: bool = False) -> pd.DataFrame:
     """Jobs of one family, the urgent and large ones first, each to the machine that is best with what it has by then.
 
     A later slot costs a changeover if the material before it is another, and more the more urgent the job is. Ties go to
-    the better history, then by machine. A job that no machine may take has none.
+    the better history, then by machine. A job that no machine may take has none. ``naive`` takes jobs by name, each to the
+    first machine by name that is free for it.
     """
     order = {"High": 0, "Medium": 1, "Low": 2}
     tiers = list(V.SUPPORT_TIERS)
     taken: dict[str, list[str]] = {}
     out = []
-    for job, own in sorted(rows.groupby("job"), key=lambda x: (order[x[1]["urgency"].iloc[0]], -x[1]["quantity"].iloc[0], x[0])):
+    for job, own in sorted(rows.groupby("job"), key=lambda x: (x[0],) if naive else (order[x[1]["urgency"].iloc[0]], -x[1]["quantity"].iloc[0], x[0])):
         best = None
         for r in own.itertuples():
             before = taken.get(r.machine, [])
             if len(before) >= most_per_machine or isinstance(r.exclude_reason, str):
                 continue
-            change = r.changeover if before and before[-1] != r.material else 0.0
-            score = r.score + change + r.changeover * V.URGENCY[r.urgency] * len(before)
-            if best is None or (round(score, 4), tiers.index(r.tier), r.machine) < best[0]:
-                best = ((round(score, 4), tiers.index(r.tier), r.machine), r)
+            key = (r.machine,) if naive else (round(_slot_score(r, before), 4), tiers.index(r.tier), r.machine)
+            if best is None or key < best[0]:
+                best = (key, r, round(_slot_score(r, before), 4))
         if best is None:
             out.append((job, None, None, own["quantity"].iloc[0], None))
             continue
         taken.setdefault(best[1].machine, []).append(best[1].material)
-        out.append((job, best[1].machine, float(len(taken[best[1].machine])), best[1].quantity, best[0][0]))
-    return pd.DataFrame(out, columns=["job", "machine", "slot", "quantity", "score"])
+        out.append((job, best[1].machine, float(len(taken[best[1].machine])), best[1].quantity, best[2]))
+    return pd.DataFrame(out, columns=SCHEDULE)
+
+
+def rescored(plan: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame | None:
+    """The plan's jobs scored again in the order of their slots; None if one may not be where it is."""
+    known = {(r.job, r.machine): r for r in rows.itertuples()}
+    before: dict[str, list[str]] = {}
+    out = []
+    for p in plan[plan["machine"].notna()].sort_values(["slot", "machine", "job"]).itertuples():
+        r = known.get((p.job, p.machine))
+        if r is None or isinstance(r.exclude_reason, str):
+            return None
+        out.append((p.job, p.machine, p.slot, p.quantity, round(_slot_score(r, before.get(p.machine, [])), 4)))
+        before.setdefault(p.machine, []).append(r.material)
+    return pd.concat([pd.DataFrame(out, columns=SCHEDULE), plan[plan["machine"].isna()]], ignore_index=True) if out else plan
+
+
+def best_swap(plan: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """The plan after the one exchange of two jobs' machines and slots that lowers the sum of scores most, if any does."""
+    best, least = plan, plan["score"].sum() - 1e-9
+    placed = plan.index[plan["machine"].notna()]
+    for n, i in enumerate(placed):
+        for j in placed[n + 1 :]:
+            if plan.at[i, "machine"] == plan.at[j, "machine"]:
+                continue
+            other = plan.copy()
+            other.loc[[i, j], ["machine", "slot"]] = plan.loc[[j, i], ["machine", "slot"]].to_numpy()
+            again = rescored(other, rows)
+            if again is not None and again["score"].sum() < least:
+                best, least = again, again["score"].sum() - 1e-9
+    return best
 
 
-def greedy(scored: DataFrame) -> DataFrame:
-    """``assign`` for each family. The queue is bounded by its size, so a family is a few dozen rows."""
-    return scored.groupBy("family").applyInPandas(lambda rows: assign(rows), "job string, machine string, slot double, quantity double, score double")
+_SCHEMA = "job string, machine string, slot double, quantity double, score double"
+
+
+def greedy(scored: DataFrame, swap: bool = False, naive: bool = False) -> DataFrame:
+    """``assign`` for each family, with the best swap if asked. The queue is bounded by its size, so a family is a few dozen rows."""
+
+    def plan(rows: pd.DataFrame) -> pd.DataFrame:
+        out = assign(rows, naive=naive)
+        return best_swap(out, rows) if swap else out
+
+    return scored.groupBy("family").applyInPandas(plan, _SCHEMA)
+
+
+def material_sequence(pending: pd.DataFrame, costs: dict[tuple[str, str], float], now: str | None = None, default: float = 5.0) -> pd.DataFrame:
+    """Pending jobs with their ``place``: after each the one whose material is cheapest to change to, the first of equals.
+
+    A change that ``costs`` does not know costs ``default``, no change nothing; before any material all are equal.
+    """
+    left, order = list(pending.index), []
+    while left:
+        change = lambda i: 0.0 if now is None else costs.get((now, pending.at[i, "material"]), default if pending.at[i, "material"] != now else 0.0)  # noqa: B023, E731
+        nxt = min(left, key=change)
+        left.remove(nxt)
+        order.append(nxt)
+        now = pending.at[nxt, "material"]
+    return pending.loc[order].assign(place=range(1, len(order) + 1))
+
+
+def sequenced(queue: DataFrame, transitions: DataFrame) -> DataFrame:
+    """``material_sequence`` of each family's jobs in the order of their names; ``transitions`` (previous, material, cost) are of the queue's materials."""
+    after = queue.select(F.col("family").alias("of_family"), "material").distinct()
+    before = after.select(F.col("of_family").alias("_of"), F.col("material").alias("previous"))
+    known = transitions.join(after, "material").join(before, "previous").filter("of_family = _of").select("of_family", "previous", "material", "cost")
+
+    def order(key: tuple, jobs: pd.DataFrame, costs: pd.DataFrame) -> pd.DataFrame:
+        table = {(c.previous, c.material): c.cost for c in costs.itertuples()}
+        return material_sequence(jobs.sort_values("job"), table)[["family", "job", "material", "place"]]
+
+    return queue.groupBy("family").cogroup(known.groupBy("of_family")).applyInPandas(order, "family string, job string, material string, place long")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from loomline.plans import months, serving
+from loomline.plans import months, schedule, serving
 
 
 def test_guard_takes_only_believable_predictions(spark):
@@ -85,3 +86,30 @@ def test_a_failed_month_does_not_stop_the_others():
             raise ValueError("no rows")
 
     assert months.backfill(["1", "2", "3"], run) == {"1": "done", "2": "failed: no rows", "3": "done"}
+
+
+def _candidates(*rows):
+    tier = "Material + task history"
+    return pd.DataFrame([(job, "f", material, urgency, 100.0, machine, tier, score, reason, 10.0) for job, material, urgency, machine, score, reason in rows], columns=["job", "family", "material", "urgency", "quantity", "machine", "tier", "score", "exclude_reason", "changeover"])
+
+
+def test_swap_lowers_the_sum_and_keeps_to_what_is_allowed():
+    rows = _candidates(("a", "x", "High", "m1", 1.0, None), ("a", "x", "High", "m2", 2.0, None), ("b", "x", "Low", "m1", 1.0, None), ("b", "x", "Low", "m2", 9.0, None))
+    plan = schedule.assign(rows, most_per_machine=1)
+    assert {r.job: (r.machine, r.score) for r in plan.itertuples()} == {"a": ("m1", 1.0), "b": ("m2", 9.0)}
+    assert {r.job: (r.machine, r.score) for r in schedule.best_swap(plan, rows).itertuples()} == {"a": ("m2", 2.0), "b": ("m1", 1.0)}
+    shut = rows.assign(exclude_reason=[None, "maintenance_blackout", None, None])
+    assert schedule.best_swap(plan, shut).equals(plan)
+
+
+def test_naive_takes_jobs_by_name_to_the_first_free_machine():
+    rows = _candidates(("b", "y", "High", "m1", 1.0, None), ("b", "y", "High", "m2", 5.0, None), ("a", "x", "Low", "m1", 9.0, None), ("a", "x", "Low", "m2", 1.0, None))
+    assert {r.job: (r.machine, r.slot, r.score) for r in schedule.assign(rows, most_per_machine=1, naive=True).itertuples()} == {"a": ("m1", 1.0, 9.0), "b": ("m2", 1.0, 5.0)}
+
+
+def test_sequence_goes_to_the_cheapest_change(spark):
+    queue = spark.createDataFrame([("f", "1", "x"), ("f", "2", "y"), ("f", "3", "z"), ("f", "4", "x"), ("g", "5", "y")], "family string, job string, material string")
+    costs = spark.createDataFrame([("x", "y", 9.0), ("x", "z", 1.0), ("q", "x", 0.0)], "previous string, material string, cost double")
+    got = {(r.family, r.place): r.job for r in schedule.sequenced(queue, costs).collect()}
+    assert got == {("f", 1): "1", ("f", 2): "4", ("f", 3): "3", ("f", 4): "2", ("g", 1): "5"}
+    assert schedule.sequenced(queue, costs.limit(0)).count() == 5
