@@ -188,17 +188,17 @@ def replacement_checks(rows: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     bad = {"changed_out_of_scope": (F.col("shadow_eligible") == 0) & (apart("good_qty", "shadow_good") | apart("scrap_qty", "shadow_scrap")), "negative": (zero("shadow_good") < 0) | (zero("shadow_scrap") < 0)}
     sums = rows.groupBy("job_hash").agg(*[F.count_if(t).alias(n) for n, t in bad.items()], *[F.sum(zero(c)).alias(c) for c in ("good_qty", "shadow_good", "scrap_qty", "shadow_scrap")])
     totals = sums.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in bad], F.count_if(apart("good_qty", "shadow_good") | apart("scrap_qty", "shadow_scrap")).alias("not_conserved"))
-    return totals.withColumn("_", F.lit(0)).unpivot(["_"], [*bad, "not_conserved"], "check", "n").select("check", "n")
+    return totals.withColumn("_", F.lit(0)).unpivot(["_"], [*bad, "not_conserved"], "rule", "n").select("rule", "n")
 
 
-@query(f"SELECT 'changed_out_of_scope' AS \"check\", count(*) FILTER (shadow_eligible = 0 AND (abs(coalesce(good_qty, 0) - coalesce(shadow_good, 0)) > 1e-6 OR abs(coalesce(scrap_qty, 0) - coalesce(shadow_scrap, 0)) > 1e-6)) AS n FROM (SELECT s.*, q.good_qty, q.scrap_qty FROM ({_SHADOW}) s JOIN fq q ON q.machine = s.machine AND q.hour_us = s.hour_us) UNION ALL SELECT 'negative', count(*) FILTER (shadow_good < 0 OR shadow_scrap < 0) FROM ({_SHADOW}) UNION ALL SELECT 'not_conserved', count(*) FROM (SELECT s.job_hash FROM ({_SHADOW}) s JOIN fq q ON q.machine = s.machine AND q.hour_us = s.hour_us GROUP BY s.job_hash HAVING abs(coalesce(sum(shadow_good), 0) - coalesce(sum(good_qty), 0)) > 1e-6 OR abs(coalesce(sum(shadow_scrap), 0) - coalesce(sum(scrap_qty), 0)) > 1e-6)", S.QUANTITY)
+@query(f"SELECT 'changed_out_of_scope' AS rule, count(*) FILTER (shadow_eligible = 0 AND (abs(coalesce(good_qty, 0) - coalesce(shadow_good, 0)) > 1e-6 OR abs(coalesce(scrap_qty, 0) - coalesce(shadow_scrap, 0)) > 1e-6)) AS n FROM (SELECT s.*, q.good_qty, q.scrap_qty FROM ({_SHADOW}) s JOIN fq q ON q.machine = s.machine AND q.hour_us = s.hour_us) UNION ALL SELECT 'negative', count(*) FILTER (shadow_good < 0 OR shadow_scrap < 0) FROM ({_SHADOW}) UNION ALL SELECT 'not_conserved', count(*) FROM (SELECT s.job_hash FROM ({_SHADOW}) s JOIN fq q ON q.machine = s.machine AND q.hour_us = s.hour_us GROUP BY s.job_hash HAVING abs(coalesce(sum(shadow_good), 0) - coalesce(sum(good_qty), 0)) > 1e-6 OR abs(coalesce(sum(shadow_scrap), 0) - coalesce(sum(scrap_qty), 0)) > 1e-6)", S.QUANTITY)
 def replacement_guard(spark, sf_dir):
     return replacement_checks(quantity_shadow(_quantity(spark, sf_dir)))
 
 
 def replace_guarded(rows: DataFrame, write: Callable[[DataFrame], None]) -> dict[str, int]:
     """Write the shadow quantities in place of the landed ones if every check is 0; the counts either way."""
-    counts = {r["check"]: r["n"] for r in replacement_checks(rows).collect()}
+    counts = {r["rule"]: r["n"] for r in replacement_checks(rows).collect()}
     if not any(counts.values()):
         write(rows.withColumns({"good_qty": F.col("shadow_good"), "scrap_qty": F.col("shadow_scrap")}))
     return counts
