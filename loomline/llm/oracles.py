@@ -75,4 +75,46 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id)
 FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN comp USING (doc_id)
 """
 
-ORACLES = {"op1_warc_index": OP1, "op3_substring_dedup": OP3, "op6_line_dedup": OP6, "op7_decontamination": OP7, "op8_jaccard_join": OP8}
+_COLLOCATION_WORDS = "list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '')"
+
+OP11 = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, {_COLLOCATION_WORDS} AS w FROM pieces),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, unnest([1, 2, 3, 4]) AS u(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f)::bigint AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT c.*, u.k AS k, array_to_string(w[1:u.k], ' ') AS x, array_to_string(w[u.k + 1:], ' ') AS y FROM c, unnest([1, 2, 3]) AS u(k) WHERE u.k < size),
+s AS (SELECT cuts.lang, cuts.phrase, a, cuts.k AS k, p.f AS l, q.f AS r, ((2000000::hugeint * a) // (p.f::hugeint + q.f))::bigint AS score
+      FROM cuts JOIN f p ON p.lang = cuts.lang AND p.phrase = x JOIN f q ON q.lang = cuts.lang AND q.phrase = y),
+weak AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, a, unnest(list_concat([array_to_string(w[i:i + 1], ' ') FOR i IN range(1, size)], CASE WHEN size = 4 THEN [array_to_string(w[1:3], ' '), array_to_string(w[2:4], ' ')] ELSE [] END)) AS phrase FROM c WHERE size > 2),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL),
+kept AS (SELECT weak.* FROM weak LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100::hugeint * longer < 80::hugeint * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+_SHARE = "1 + ((1000000000::hugeint * (coalesce({}, 0) + 5)) // ({} + 5 * v))::bigint"
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT doc, lang, source, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+h AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+c AS (SELECT lang, source, term, count(*) AS times FROM t JOIN h USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM h GROUP BY lang),
+n AS (SELECT lang, source, sum(times)::hugeint AS n FROM c GROUP BY ALL),
+ln AS (SELECT lang, sum(times)::hugeint AS n FROM c GROUP BY lang),
+lc AS (SELECT lang, term, sum(times)::hugeint AS times FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, term, coalesce(c.times, 0) AS times, {_SHARE.format("c.times", "coalesce(n.n, 0)")} AS p
+      FROM g JOIN h USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, {_SHARE.format("times", "ln.n")} AS q FROM lc JOIN ln USING (lang) JOIN v USING (lang)),
+sums AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p))::bigint AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, y.source AS item, coalesce(value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN sums s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+terms AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE times > 0 AND p > q),
+both_parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::integer AS rank FROM both_parts QUALIFY part = 'pair' OR rank <= 50
+"""
+
+ORACLES = {"op1_warc_index": OP1, "op3_substring_dedup": OP3, "op6_line_dedup": OP6, "op7_decontamination": OP7, "op8_jaccard_join": OP8, "op11_collocations": OP11, "op12_source_divergence": OP12}
