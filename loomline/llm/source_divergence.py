@@ -84,7 +84,7 @@ def smoothed(count: str, total: str, terms: str) -> Column:
     return F.expr(f"case when {terms} > 0 then 1 + {share} else 0L end").cast("bigint")
 
 
-def _tile_sums(table: pa.Table) -> pa.Table:
+def _tile_sums(table: pa.Table, tile: int, block: int) -> pa.Table:
     """Of two tiles of sources and one shard of terms: sums of |p - q| for each pair, less what the pair would have if neither used the terms."""
     lang, left, right = (table.column(c)[0].as_py() for c in ("lang", "left", "right"))
     source, p = table.column("idx").to_numpy().astype(np.int64), table.column("p").to_numpy().astype(np.int64)
@@ -96,12 +96,12 @@ def _tile_sums(table: pa.Table) -> pa.Table:
     column, code, p = np.searchsorted(ids, source[~head]), code[~head].astype(np.int64), p[~head]
     order = np.argsort(code, kind="stable")
     column, code, p = column[order], code[order], p[order]
-    a, b = np.flatnonzero(ids // TILE == left), np.flatnonzero(ids // TILE == right)
+    a, b = np.flatnonzero(ids // tile == left), np.flatnonzero(ids // tile == right)
     sums = np.zeros((len(a), len(b)), np.int64)
     n = int(code[-1]) + 1 if len(code) else 0
-    for at in range(0, n, BLOCK):
-        lo, hi = np.searchsorted(code, (at, at + BLOCK))
-        dense = np.tile(base, (min(BLOCK, n - at), 1))
+    for at in range(0, n, block):
+        lo, hi = np.searchsorted(code, (at, at + block))
+        dense = np.tile(base, (min(block, n - at), 1))
         dense[code[lo:hi] - at, column[lo:hi]] = p[lo:hi]
         other = dense[:, b]
         for k, i in enumerate(a):
@@ -120,12 +120,13 @@ def source_distances(shares: DataFrame, groups: DataFrame, shards: int) -> DataF
     ``shares`` has (lang, idx, term, p) of the terms that a source uses, ``groups`` (lang, source, idx, absent, n_sources, n_terms), where
     ``absent`` is p of a term that the source does not use. Every shard gets the sources of its tiles as rows without a term.
     """
-    tiles = lambda sources: F.expr(f"sequence(0, cast(({sources} - 1) div {TILE} as int))")
-    own = F.expr(f"cast(idx div {TILE} as int)")
+    tile, block = TILE, BLOCK
+    tiles = lambda sources: F.expr(f"sequence(0, cast(({sources} - 1) div {tile} as int))")
+    own = F.expr(f"cast(idx div {tile} as int)")
     spread = lambda df: df.withColumn("tile", F.explode(tiles("n_sources"))).select("lang", F.least("tile", own).alias("left"), F.greatest("tile", own).alias("right"), "shard", "idx", "term", "p")
     heads = spread(groups.select("lang", "n_sources", "idx", F.lit(None).cast("string").alias("term"), F.col("absent").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")))
     rows = spread(shares.withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int")))
-    sums = heads.unionByName(rows).groupBy("lang", "left", "right", "shard").applyInArrow(_tile_sums, _SUMS)
+    sums = heads.unionByName(rows).groupBy("lang", "left", "right", "shard").applyInArrow(lambda table: _tile_sums(table, tile, block), _SUMS)
     summed = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     side = lambda which: groups.select("lang", F.col("idx").alias(which), F.col("source").alias(f"{which}_source"), F.col("absent").alias(f"{which}_absent"), F.col("n_terms").alias(f"{which}_terms"))
     named = summed.join(side("a"), ["lang", "a"]).join(side("b"), ["lang", "b"])
