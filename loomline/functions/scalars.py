@@ -18,6 +18,11 @@ COMPONENT_WORDS = {"main": ("主機", " MAIN"), "uv": ("UV",), "ir": ("IR",), "m
 NAME_WORDS = ("主機", "馬達", "UV", "IR", "水冷", "Main", "六期", "四期", "UV上光機", "印刷機", "印刷机", "數碼印刷機", "印刷上光機", "IR+UV", "IR+水冷", "主機+水冷")
 
 
+#: Words that name printing and finishing in a task.
+PRINT_WORDS = ("印", "print")
+FINISHING_WORDS = ("光", "uv", "油", "上光", "啞", "gp-led", "手感")
+
+
 def clean_text(c: Column) -> Column:
     """Trimmed text; blank is NULL."""
     return F.nullif(F.trim(c.cast("string")), F.lit(""))
@@ -60,7 +65,8 @@ def meter_component(label: Column) -> Column:
 
 
 def parse_confidence(component: Column, machine: Column) -> Column:
-    return F.when((component == "unknown") & machine.isNull(), "low").when((component == "unknown") | machine.isNull(), "medium").otherwise("high")
+    """``low`` without a component or a machine, ``medium`` for a total."""
+    return F.when((component == "unknown") | machine.isNull(), "low").when(component == "aggregate_total", "medium").otherwise("high")
 
 
 def order_suffix(c: Column) -> Column:
@@ -85,6 +91,14 @@ def task_difficulty(task: Column) -> Column:
     return F.when(printing & (finishing | text.contains("+")), "Hard").when(printing, "Medium").when(finishing, "Easy")
 
 
+def derived_difficulty(task: Column) -> Column:
+    """Difficulty of a task from words of both languages; NULL without any."""
+    text, low = clean_text(task), F.lower(clean_text(task))
+    printing = text.contains(PRINT_WORDS[0]) | low.contains(PRINT_WORDS[1])
+    finishing = F.exists(F.array(*map(F.lit, FINISHING_WORDS)), lambda w: low.contains(w))
+    return F.when(printing & (text.contains("+") | finishing), "Hard").when(printing, "Medium").when(finishing, "Easy")
+
+
 def shift_label(hour: Column) -> Column:
     return F.when(hour.between(7, 14), "Day").when(hour.between(15, 22), "Evening").otherwise("Night")
 

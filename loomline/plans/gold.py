@@ -148,6 +148,7 @@ def with_maintenance(fact: DataFrame, works: DataFrame, hours: DataFrame | None
     ``hours`` has the keys of the fact if these come cheaper than from the fact.
     """
     hours = fact.select(*KEY) if hours is None else hours
+    works = works.filter("txn_us is not null")
     last = asof_before(hours, works, "machine", "txn_us", "hash", ["hash", "work_type"])
     counts = trailing_sets(hours, works, "machine", "txn_us", "work_order", {"works_7d": 7 * 24, "works_30d": 30 * 24})
     ever = running_distinct(hours, works, "machine", "txn_us", "work_order", "works_ever")
