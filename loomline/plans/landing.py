@@ -39,7 +39,7 @@ def swept_fact(spark, sf_dir):
     store = stored(spark, sf_dir)
     target = f"{store.root}/fact"
     sweep = Sweep(spark, f"{store.root}/sweep")
-    result = sweep.run(store.periods(), lambda p: land(store, p, target), "all")
+    result = sweep.run(store.periods(), lambda p: land(store, p, target), "all", at_once=5)
     if failed := {p: s for p, s in result.items() if s != "done"}:
         raise RuntimeError(f"weeks failed: {sweep.report(store.periods())['failed'] or failed}")
     return spark.read.option("basePath", target).parquet(target).select(*_LANDED)
@@ -282,15 +282,11 @@ def run_inventory(spark, sf_dir):
 
 
 # ---- months of sources ----
-@query("SELECT source, CASE WHEN status = 'resolved' THEN month END AS month, status, confidence, n, total FROM (SELECT *, CASE WHEN months = 1 OR (n >= 3 AND n / total >= 0.8) THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN months = 1 THEN CASE WHEN n >= 3 THEN 'high' ELSE 'medium' END WHEN n >= 3 AND n / total >= 0.8 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT source, month, n, sum(n) OVER (PARTITION BY source) AS total, count(*) OVER (PARTITION BY source) AS months FROM (SELECT o_custkey AS source, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, month) = 1))")
+@query("SELECT source, CASE WHEN status = 'resolved' THEN month END AS month, status, confidence, n, total FROM (SELECT *, CASE WHEN months = 1 OR (n >= 3 AND n / total >= 0.8) THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN months = 1 THEN CASE WHEN n >= 3 THEN 'high' ELSE 'medium' END WHEN n >= 3 AND n / total >= 0.8 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT source, month, n, cast(sum(n) OVER (PARTITION BY source) AS bigint) AS total, count(*) OVER (PARTITION BY source) AS months FROM (SELECT o_custkey AS source, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, month) = 1))")
 def source_months(spark, sf_dir):
-    """The month that each customer's urgent orders are of, if one month has most of them; the dates are read out of text."""
+    """The month that each customer's urgent orders are of, if one month has most of them."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderpriority like '1%'")
-    wide = F.concat(F.lit("order of "), F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "MMM-yyyy")).otherwise(F.date_format("o_orderdate", "yyyy/M/d")))
-    # texts are believed from 2000 on only, so the orders are read as a hundred years later
-    later = F.regexp_replace(wide, r"19(\d\d)", r"20$1")
-    counts = votes(rows.select("o_custkey", later.alias("cell")), "o_custkey", ["cell"], years=(2000, 2099))
-    return elected(counts.withColumn("month", F.concat(F.lit("19"), F.substring("month", 3, 9))))
+    return elected(votes(rows.select("o_custkey", "o_orderdate"), "o_custkey", stamps=["o_orderdate"], years=(1900, 2100)))
 
 
 @query(f"SELECT month, CASE WHEN len(missing) = 0 THEN 'ready' ELSE 'missing_sources' END AS status, array_to_string(missing, ',') AS missing FROM (SELECT month, list_filter(['meters', 'jobs', 'reports', 'works'], lambda x: NOT list_contains(families, x)) AS missing FROM (SELECT month, list(DISTINCT family) AS families FROM ({' UNION ALL '.join(f'SELECT {_WEEK.format(c)} AS month, {t!r} AS family FROM {t} WHERE machine <> {m!r}' for t, c, m in (('meters', 'hour_us', ''), ('jobs', 'prod_start_us', ''), ('reports', 'report_us', ''), ('works', 'txn_us', '')))} ) GROUP BY month))", S.DUCK)

@@ -7,7 +7,9 @@ these border hours are few, are written as a small table, and name the only othe
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from time import monotonic
 
@@ -137,10 +139,15 @@ class Sweep:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
         self._schema = spark.createDataFrame([], _EVENTS).schema
+        self._lock = threading.Lock()
         self._note([])
 
     def _note(self, rows: list[tuple]) -> None:
         """Add events; the number orders them, whatever the clocks say."""
+        with self._lock:
+            self._add(rows)
+
+    def _add(self, rows: list[tuple]) -> None:
         before = self.spark.read.schema(self._schema).parquet(self.path).agg(F.max("number")).first()[0] or 0 if rows else 0
         fresh = self.spark.createDataFrame([(*r, before + 1 + i) for i, r in enumerate(rows)], "period string, run string, state string, error string, seconds double, number bigint")
         fresh.withColumn("at", F.current_timestamp()).select(self._schema.names).coalesce(1).write.mode("append").parquet(self.path)
@@ -158,19 +165,24 @@ class Sweep:
         settled = self.states().filter(F.col("state").isin("done", *([] if failed else ["failed"])))
         return wanted.select("period").distinct().join(settled.select("period"), "period", "left_anti")
 
-    def run(self, wanted: DataFrame, work: Callable[[str], object], run: str, failed: bool = True) -> dict[str, str]:
-        """Do each pending period by itself, ascending; one that fails does not stop the others. Its state, by period."""
-        out: dict[str, str] = {}
-        for period in sorted(r["period"] for r in self.pending(wanted, failed).collect()):
+    def run(self, wanted: DataFrame, work: Callable[[str], object], run: str, failed: bool = True, at_once: int = 1) -> dict[str, str]:
+        """Do each pending period by itself, ascending, up to ``at_once`` at a time; one that fails does not stop the others. Its state, by period."""
+        periods = sorted(r["period"] for r in self.pending(wanted, failed).collect())
+
+        def one(period: str) -> str:
             self._note([(period, run, "claimed", None, None)])
-            began = monotonic()
+            began, state, error = monotonic(), "done", None
             try:
                 work(period)
-                out[period], error = "done", None
             except Exception as problem:  # a period's failure is its result
-                out[period], error = "failed", str(problem)
-            self._note([(period, run, out[period], error, monotonic() - began)])
-        return out
+                state, error = "failed", str(problem)
+            self._note([(period, run, state, error, monotonic() - began)])
+            return state
+
+        if at_once == 1:
+            return {p: one(p) for p in periods}
+        with ThreadPoolExecutor(at_once) as pool:
+            return dict(zip(periods, pool.map(one, periods), strict=True))
 
     def report(self, wanted: DataFrame) -> dict[str, object]:
         """``success``, ``partial_error`` or ``error``, with the periods of each state; ``error`` too when nothing is wanted."""
