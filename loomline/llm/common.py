@@ -114,6 +114,12 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: str | Column
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if it comes in fewer parts than there are cores (a small file is one part); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def carried(docs: DataFrame, text_col: str) -> list[Column]:
     """All columns but the text as one struct ``rest``, for operators that hand whole rows on."""
     return [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")]

@@ -3,38 +3,50 @@
 Trusted positives (label 1) and unlabelled web text train a logistic model under the
 non-negative unbiased risk: prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]). Labels of 0 are not used. The
 class prior is estimated from positives and unlabelled texts alone: a model that tells the two apart is fitted on half of the
-sample, and on the other half the least ratio of unlabelled to positive texts above a threshold bounds the share of
-positives among the unlabelled. Features are hashed words and hashed runs of four bytes, as square roots of their shares, and
-shares and rates of the text's characters, words and lines, each cut into bins at quantiles of the unlabelled sample. The
-samples are bounded (``SAMPLE`` rows of each kind, taken by a hash of the id); the scores are of all
-rows, in one pass without a shuffle.
+rows, and on the other half the least ratio of unlabelled to positive texts above a threshold, less two standard errors and a margin,
+bounds the share of positives among the unlabelled (too large a prior costs more than too small a one). Features are hashed words and hashed runs of
+four bytes, as square roots of their shares, and shares and rates of the text's characters, words and lines, each cut into bins at quantiles.
+
+All rows of the training fold are used. They are dealt to shards of about ``SHARD_ROWS`` by a hash of the id and kept as packed
+features, a row of the shared table for each shard. In each of ``ROUNDS`` every shard goes ``STEPS`` steps from the common weights,
+and the shards' weights are averaged by rows. The driver holds weights, quantiles and a histogram of fixed size, no rows.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, id_and_text, rebatched
+from .common import byte_texts, id_and_text, rebatched, spread, written
 
-#: Rows of positives, and of unlabelled texts, that the model is fitted on at most, about.
-SAMPLE = 3_000
+#: Rows of a shard, about, and shards that are dealt to tasks of their own at most.
+SHARD_ROWS, MOST_TASKS = 2048, 4096
 BINS = 12
 #: Slots of the hashed words, and of the hashed runs of bytes.
 SLOTS = 1 << 12
 #: Chosen on texts of the training fold whose remainder is 1, by models of the others.
-STEPS, ROWS, RATE, DECAY, GRAM_DECAY = 800, 512, 0.1, 1e-5, 1e-4
+ROUNDS, STEPS, ROWS, RATE, DECAY = 2, 150, 128, 0.1, 1e-5
+#: Part of the estimated prior that is used: the estimate is too large where the kinds overlap, and then junk is let through. Chosen likewise.
+MARGIN = 0.945
+#: Cells of the histogram of logits, and the logits at its ends.
+CELLS, EDGE = 4096, 40.0
 NAMES = ("bytes", "words", "word_len", "distinct", "top_word", "adjacent", "odd_word", "symbols", "pipes", "bangs", "upper", "digits", "punct", "other", "space", "line_len", "dup_lines", "longest", "ratio", "short_words", "ends")
-_KEEP = {name: bytes(set(range(256)) - set(chars)) for name, chars in {
-    "symbols": b"#*$%&<>", "pipes": b"|", "bangs": b"!?", "upper": bytes(range(65, 91)), "digits": b"0123456789", "punct": b".,;:'\"()-", "lower": bytes(range(97, 123)), "space": b" \t\n\x0b\x0c\r",
-}.items()}
+_KINDS = {"symbols": b"#*$%&<>", "pipes": b"|", "bangs": b"!?", "upper": bytes(range(65, 91)), "digits": b"0123456789", "punct": b".,;:'\"()-", "lower": bytes(range(97, 123)), "space": b" \t\n\x0b\x0c\r"}
+_KIND = np.zeros(256, np.uint8)
+for _n, _chars in enumerate(_KINDS.values(), 1):
+    _KIND[list(_chars)] = _n
+_SPACE = _KIND == list(_KINDS).index("space") + 1
+_ODD_END = np.array([c < 128 and not chr(c).isalnum() and chr(c) not in ".,;:!?'\")" for c in range(256)])
 
 
 def features(text: bytes) -> np.ndarray:
@@ -42,21 +54,22 @@ def features(text: bytes) -> np.ndarray:
     size = len(text)
     if not size:
         return np.zeros(len(NAMES), np.float32)
-    has = {name: len(text.translate(None, drop)) for name, drop in _KEEP.items()}
+    raw = np.frombuffer(text, np.uint8)
+    has = dict(zip(_KINDS, np.bincount(_KIND[raw], minlength=len(_KINDS) + 1)[1:].tolist(), strict=True))
+    gap = np.concatenate(([True], _SPACE[raw], [True]))
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    last, lengths = raw[ends - 1], ends - starts
     words = text.split()
     n = max(1, len(words))
     seen = Counter(words)
     lines = text.split(b"\n")
-    adjacent = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    odd = sum(not w[-1:].isalnum() and w[-1] < 128 and w[-1:] not in b".,;:!?'\")" for w in words)
-    chars = size - has["space"]
     letters = max(1, has["upper"] + has["lower"])
     return np.array([
-        np.log1p(size), np.log1p(len(words)), chars / n, len(seen) / n, max(seen.values(), default=0) / n, adjacent / n, odd / n,
+        np.log1p(size), np.log1p(len(words)), (size - has["space"]) / n, len(seen) / n, max(seen.values(), default=0) / n, sum(map(eq, words, words[1:])) / n, np.count_nonzero(_ODD_END[last]) / n,
         has["symbols"] / n, has["pipes"] / n, has["bangs"] / n, has["upper"] / letters, has["digits"] / size, has["punct"] / n,
         1 - (has["upper"] + has["lower"] + has["space"] + has["digits"] + has["punct"]) / size, has["space"] / size,
-        np.log1p(size / len(lines)), 1 - len(set(lines)) / len(lines), np.log1p(max(map(len, words), default=0)),
-        len(zlib.compress(text, 1)) / size, sum(len(w) < 4 for w in words) / n, sum(w.endswith(b".") for w in words) / n,
+        np.log1p(size / len(lines)), 1 - len(set(lines)) / len(lines), np.log1p(lengths.max(initial=0)),
+        len(zlib.compress(text, 1)) / size, np.count_nonzero(lengths < 4) / n, np.count_nonzero(last == 46) / n,
     ], np.float32)
 
 
@@ -64,20 +77,42 @@ _LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
 
 
 def gram_counts(text: bytes) -> np.ndarray:
-    """Square roots of the shares of hashed runs of four bytes, then of hashed words, A-Z lower-cased."""
+    """How often each slot of hashed runs of four bytes, then of hashed words, occurs, A-Z lower-cased."""
     text = text.translate(_LOWER)
-    out = np.zeros(2 * SLOTS, np.float32)
+    out = np.zeros(2 * SLOTS, np.int64)
     if len(text) > 3:
         b = np.frombuffer(text, np.uint8).astype(np.uint32)
         code = (b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)) * np.uint32(0x9E3779B1) >> np.uint32(20)
-        out[:SLOTS] = np.sqrt(np.bincount(code, minlength=SLOTS) / len(code))
+        out[:SLOTS] = np.bincount(code, minlength=SLOTS)
     words = text.split()
     if words:
-        code = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % SLOTS
-        out[SLOTS:] = np.sqrt(np.bincount(code, minlength=SLOTS) / len(words))
+        out[SLOTS:] = np.bincount(np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % SLOTS, minlength=SLOTS)
     return out
 
 
+def used_slots(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The used slots and the square roots of their shares, of runs and of words each."""
+    used = np.flatnonzero(counts)
+    total = np.where(used < SLOTS, max(1, counts[:SLOTS].sum()), max(1, counts[SLOTS:].sum()))
+    return used, np.sqrt(counts[used] / total)
+
+
+def packed_counts(counts: np.ndarray, squeeze: Callable[[bytes], bytes]) -> bytes:
+    """A bit for each slot, a byte for each used one, four for counts from 255 on."""
+    own = counts[counts > 0]
+    return squeeze(np.packbits(counts > 0).tobytes() + np.minimum(own, 255).astype(np.uint8).tobytes() + own[own >= 255].astype("<u4").tobytes())
+
+
+def unpacked_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Used slots and their values of packed counts."""
+    used = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, 2 * SLOTS // 8)))
+    own = np.frombuffer(data, np.uint8, len(used), 2 * SLOTS // 8).astype(np.int64)
+    own[own == 255] = np.frombuffer(data, "<u4", -1, 2 * SLOTS // 8 + len(used))
+    split = np.searchsorted(used, SLOTS)
+    total = np.repeat([max(1, own[:split].sum()), max(1, own[split:].sum())], [split, len(used) - split])
+    return used, np.sqrt(own / total)
+
+
 @dataclass(frozen=True)
 class Sample:
     """Texts as their rates (rows of ``NAMES``) and the used slots of their grams, end to end."""
@@ -88,9 +123,15 @@ class Sample:
     values: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[bytes, bytes, bytes]]) -> Sample:
-        sizes = np.array([len(s) // 2 for _, s, _ in rows], np.int64)
-        return cls(np.frombuffer(b"".join(r for r, _, _ in rows), np.float32).reshape(-1, len(NAMES)), np.concatenate(([0], np.cumsum(sizes))), np.frombuffer(b"".join(s for _, s, _ in rows), np.uint16), np.frombuffer(b"".join(v for _, _, v in rows), np.float32))
+    def of(cls, rates: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]) -> Sample:
+        starts = np.cumsum([0, *(len(s) for s, _ in grams)])
+        join = lambda parts, kind: np.concatenate([*parts, np.empty(0, kind)]).astype(kind)
+        return cls(rates, starts, join((s for s, _ in grams), np.int64), join((v for _, v in grams), np.float64))
+
+    @classmethod
+    def of_texts(cls, texts: list[bytes]) -> Sample:
+        rates = np.stack([features(t) for t in texts]) if texts else np.empty((0, len(NAMES)), np.float32)
+        return cls.of(rates, [used_slots(gram_counts(t)) for t in texts])
 
     def __len__(self) -> int:
         return len(self.rates)
@@ -98,23 +139,18 @@ class Sample:
     def take(self, rows: np.ndarray) -> Sample:
         sizes = np.diff(self.starts)[rows]
         ends = np.cumsum(sizes)
-        at = np.repeat((self.starts[rows] - (ends - sizes)).astype(np.int32), sizes)
-        at += np.arange(len(at), dtype=np.int32)
+        at = np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(sizes.sum())
         return Sample(self.rates[rows], np.concatenate(([0], ends)), self.slots[at], self.values[at])
 
 
-def sample_row(text: bytes) -> tuple[bytes, bytes, bytes]:
-    grams = gram_counts(text)
-    used = np.flatnonzero(grams)
-    return features(text).tobytes(), used.astype(np.uint16).tobytes(), grams[used].tobytes()
+#: Weights of the bins of all rates, of the slots, and the bias.
+WIDTH = len(NAMES) * BINS + 2 * SLOTS + 1
 
 
 @dataclass(frozen=True)
 class Model:
     cuts: np.ndarray
     weights: np.ndarray
-    grams: np.ndarray
-    bias: float
 
     def places(self, rates: np.ndarray) -> np.ndarray:
         bins = np.stack([np.searchsorted(c, v, side="right") for c, v in zip(self.cuts, rates.T, strict=True)], 1)
@@ -122,12 +158,11 @@ class Model:
 
     def logits(self, x: Sample) -> np.ndarray:
         rows = np.repeat(np.arange(len(x)), np.diff(x.starts))
-        return self.weights[self.places(x.rates)].sum(1) + np.bincount(rows, self.grams[x.slots] * x.values, len(x)) + self.bias
+        first = len(NAMES) * BINS
+        return self.weights[self.places(x.rates)].sum(1) + np.bincount(rows, self.weights[first + x.slots] * x.values, len(x)) + self.weights[-1]
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        rates = np.stack([features(t) for t in texts])
-        f = self.weights[self.places(rates)].sum(1) + np.array([gram_counts(t) @ self.grams for t in texts]) + self.bias
-        return 1 / (1 + np.exp(-f))
+        return 1 / (1 + np.exp(-np.clip(self.logits(Sample.of_texts(texts)), -700, 700)))
 
 
 def risk(f: np.ndarray, g: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
@@ -150,39 +185,40 @@ def against(f: np.ndarray, g: np.ndarray, prior: float) -> tuple[float, np.ndarr
     return (np.logaddexp(0, -f).mean() + np.logaddexp(0, g).mean()) / 2, (up - 1) / len(f) / 2, ug / len(g) / 2
 
 
-def fit(positive: Sample, unlabelled: Sample, prior: float, loss=risk, steps: int = STEPS) -> Model:
-    """Minimise the loss by Adam, each step over ``ROWS`` rows of both kinds, in a fixed order."""
-    width = len(NAMES)
-    cuts = np.quantile(unlabelled.rates, np.arange(1, BINS) / BINS, axis=0).T.astype(np.float32)
-    tails = np.quantile(unlabelled.rates, [0.02, 0.98], axis=0).T  # junk is rare: the ends have bins of their own
+def quantiles(rates: np.ndarray) -> np.ndarray:
+    """Ends of the bins of each rate; junk is rare, so the tails have bins of their own."""
+    cuts = np.quantile(rates, np.arange(1, BINS) / BINS, axis=0).T
+    tails = np.quantile(rates, [0.02, 0.98], axis=0).T
     cuts[:, 0], cuts[:, -1] = tails[:, 0], tails[:, 1]
-    cuts.sort(axis=1)
-    n = width * BINS
-    start = Model(cuts, np.zeros(n), np.zeros(2 * SLOTS), 0.0)
-    rng = np.random.default_rng(1)
-    w = np.zeros(n + 2 * SLOTS + 1)
-    w[-1] = np.log(prior / (1 - prior))
-    decay = np.concatenate([np.full(n, DECAY), np.full(2 * SLOTS, GRAM_DECAY), [0.0]])
-    m, v, mean = np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(w))
+    return np.sort(cuts, axis=1)
+
 
+def fit(positive: Sample, unlabelled: Sample, start: Model, prior: float, loss=risk, steps: int = STEPS, seed: int = 1) -> np.ndarray:
+    """Weights after ``steps`` of Adam from ``start``, each over ``ROWS`` rows of both kinds in an order that follows the seed; the mean of the last half."""
+    width, n = len(NAMES), len(NAMES) * BINS
+    rng = np.random.default_rng(seed)
     ready = []
     for x in (positive, unlabelled):
         x = x.take(rng.permutation(len(x)))
-        ready.append((x, start.places(x.rates).astype(np.int32)))
+        ready.append((x, start.places(x.rates)))
+    w = start.weights.copy()
+    m, v, mean = np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(w))
+    decay = np.append(np.full(len(w) - 1, DECAY), 0.0)
 
     def draw(kind: int, step: int) -> tuple:
         x, at = ready[kind]
         size = min(ROWS, len(at))
         a = step * size % (len(at) - size + 1)
-        c, d = x.starts[a], x.starts[a + size]
-        return at[a : a + size], x.slots[c:d].astype(np.int64), x.values[c:d], np.repeat(np.arange(size), np.diff(x.starts[a : a + size + 1]))
+        ends = x.starts[a : a + size + 1]
+        return at[a : a + size], x.slots[ends[0] : ends[-1]], x.values[ends[0] : ends[-1]], ends - ends[0]
 
-    def logits(at: np.ndarray, slots: np.ndarray, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return w[at].sum(1) + np.bincount(rows, w[n + slots] * values, len(at)) + w[-1]
+    def logits(at: np.ndarray, slots: np.ndarray, values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sums = np.add.reduceat(np.append(w[n:-1][slots] * values, 0.0), ends[:-1])  # of a row without grams it is the next one's first term
+        return np.clip(w[at].sum(1) + np.where(ends[1:] > ends[:-1], sums, 0.0) + w[-1], -700, 700)
 
     def push(part: tuple, slope: np.ndarray) -> np.ndarray:
-        at, slots, values, rows = part
-        return np.concatenate([np.bincount(at.ravel(), np.repeat(slope, width), n), np.bincount(slots, values * slope[rows], 2 * SLOTS), [slope.sum()]])
+        at, slots, values, ends = part
+        return np.concatenate([np.bincount(at.ravel(), np.repeat(slope, width), n), np.bincount(slots, values * np.repeat(slope, np.diff(ends)), 2 * SLOTS), [slope.sum()]])
 
     for step in range(1, steps + 1):
         p, u = draw(0, step), draw(1, step)
@@ -190,28 +226,34 @@ def fit(positive: Sample, unlabelled: Sample, prior: float, loss=risk, steps: in
         grad = push(p, at_p) + push(u, at_u) + decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        if 4 * step > 3 * steps:  # the mean of the last quarter
+        if 2 * step > steps:
             mean += w
-    w = mean / (steps - 3 * steps // 4) if steps > 3 else w
-    return Model(cuts, w[:n], w[n:-1], float(w[-1]))
+    return mean / (steps - steps // 2)
+
+
+def histogram(logits: np.ndarray) -> np.ndarray:
+    """Counts of logits by ``CELLS`` cells between the edges; what lies beyond is in the last cells."""
+    cell = np.clip(((logits + EDGE) * (CELLS / (2 * EDGE))).astype(np.int64), 0, CELLS - 1)
+    return np.bincount(cell, minlength=CELLS)
 
 
-def estimated_prior(positive: Sample, unlabelled: Sample) -> float:
-    """Share of positives among the unlabelled, from these two alone.
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from histograms of both alone: a lower bound by two standard errors, and ``MARGIN`` of that.
 
     Above any threshold the unlabelled have at least the positives' share times the prior, so the least ratio over all
     thresholds, with an allowance for chance, is taken.
     """
-    p, u = np.arange(len(positive)), np.arange(len(unlabelled))
-    model = fit(positive.take(p[::2]), unlabelled.take(u[::2]), 0.5, against, STEPS // 3)
-    f, g = np.sort(model.logits(positive.take(p[1::2]))), np.sort(model.logits(unlabelled.take(u[1::2])))
-    if not len(f) or not len(g):
+    n, k = positive.sum(), unlabelled.sum()
+    if not n or not k:
         return 0.5
-    above = lambda x: 1 - np.searchsorted(x, f, side="left") / len(x)
-    slack = np.sqrt(np.log(40) / 2 / len(f)) + np.sqrt(np.log(40) / 2 / len(g))
-    share_p, share_u = above(f), above(g)
+    share_p, share_u = np.cumsum(positive[::-1]) / n, np.cumsum(unlabelled[::-1]) / k
+    some = share_p > 0
+    share_p, share_u = share_p[some], share_u[some]
+    slack = math.sqrt(math.log(40) / 2 / n) + math.sqrt(math.log(40) / 2 / k)
     best = int(np.argmin((share_u + slack) / share_p))
-    return float(min(0.99, max(0.01, share_u[best] / share_p[best])))
+    p, u = share_p[best], share_u[best]
+    low = MARGIN * (u - 2 * math.sqrt(u * (1 - u) / k)) / (p + 2 * math.sqrt(p * (1 - p) / n))
+    return float(min(0.99, max(0.01, low)))
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -219,33 +261,104 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def train(texts: DataFrame, labels: DataFrame, parts: int, sample: int) -> Model | None:
-    """The model of the training fold; none without positives or texts. ``labels`` has (doc_id, label).
+_PACKED = "shard int, n bigint, positive binary, rates binary, grams array<binary>, cuts binary"
 
-    Of both kinds at most about ``sample`` rows are taken, by a hash of the id, so the ids of positives can be broadcast.
+
+def packed_shards(texts: DataFrame, known: DataFrame, shards: int) -> DataFrame:
+    """A row for each shard with the packed features of its texts and whether each is positive. ``known`` has doc_id of the positives.
+
+    Rows of a shard are ordered by id and content, so it does not matter in which order they came.
     """
-    known = labels.filter((fold(F.col("doc_id"), parts) != 0) & F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label")).filter("label = 1")
-    learning = texts.filter(fold(F.col("doc_id"), parts) != 0)
-    least_p, least_u = (min(1.0, sample / max(1, x.count())) for x in (known, learning))
-    draw = lambda seed, least: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(least * (1 << 30))
-    positives = learning.join(F.broadcast(known.filter(draw(7, least_p)).select("doc_id")), "doc_id", "left_semi").select("text", F.lit(True).alias("positive"))
-    unlabelled = learning.filter(draw(8, least_u)).select("text", F.lit(False).alias("positive"))
+    shard = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(shards)).cast("int").alias("shard")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in rebatched(batches, "text"):
-            rates, slots, values = zip(*map(sample_row, byte_texts(batch, "text")), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), *(pa.array(x, pa.binary()) for x in (rates, slots, values))], names=["positive", "rates", "slots", "values"])
-
-    rows = [(r["positive"], bytes(r["rates"]), bytes(r["slots"]), bytes(r["values"])) for r in positives.unionByName(unlabelled).mapInArrow(run, "positive boolean, rates binary, slots binary, values binary").collect()]
-    rows.sort(key=lambda r: zlib.crc32(r[1] + r[2]))  # in an order of their own, however tasks ended
-    p, u = (Sample.of([r[1:] for r in rows if r[0] == kind]) for kind in (True, False))
-    del rows
-    if len(p) < 2 or len(u) < 2:
+            own = byte_texts(batch, "text")
+            rates = pa.array([features(t).tobytes() for t in own], pa.binary())
+            grams = pa.array([packed_counts(gram_counts(t), squeeze) for t in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), rates, grams], names=["shard", "doc_id", "rates", "grams"])
+
+    def pack(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(left.column(c).to_pylist() for c in ("doc_id", "rates", "grams")), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        ids, rates, grams = zip(*rows, strict=True) if rows else ((), (), ())
+        trusted = set(right.column("doc_id").to_pylist())
+        positive = np.array([i in trusted for i in ids], np.uint8)
+        matrix = np.frombuffer(b"".join(rates), np.float32).reshape(-1, len(NAMES))
+        cuts = quantiles(matrix) if len(matrix) else np.empty((0, 0))
+        out = [[left.column("shard")[0].as_py()] if rows else [], [len(rows)] if rows else [], [positive.tobytes()] if rows else [], [matrix.tobytes()] if rows else [], [list(grams)] if rows else [], [cuts.tobytes()] if rows else []]
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
+        return pa.table([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["shard", "n", "positive", "rates", "grams", "cuts"])
+
+    extracted = texts.select("doc_id", "text", shard).mapInArrow(extract, "shard int, doc_id bigint, rates binary, grams binary")
+    packed = extracted.groupBy("shard").cogroup(known.select("doc_id", shard).groupBy("shard")).applyInArrow(pack, _PACKED)
+    return written(packed, "shards")
+
+
+def _sums(shards: DataFrame, work: Callable[[int, Sample, Sample, np.ndarray], np.ndarray]) -> tuple[np.ndarray, float]:
+    """The sum over shards of ``work(shard, positives, unlabelled, cuts)``, by rows, and the rows; shards without two of each kind are left out.
+
+    Tasks add up their own shards, and a few tasks add up theirs, so the driver gets sixteen vectors at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        undo = zstandard.ZstdDecompressor().decompress
+        total, rows, last = None, 0, 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = {c: batch.column(c)[k].as_py() for c in ("shard", "n", "positive", "rates", "grams", "cuts")}
+                rates = np.frombuffer(one["rates"], np.float32).reshape(-1, len(NAMES))
+                every = Sample.of(rates, [unpacked_counts(undo(g)) for g in one["grams"]])
+                positive = every.take(np.flatnonzero(np.frombuffer(one["positive"], np.uint8)))
+                if len(positive) > 1 and len(every) > 1:
+                    vector = work(one["shard"], positive, every, np.frombuffer(one["cuts"], np.float64)) * one["n"]
+                    total, rows, last = vector if total is None else total + vector, rows + one["n"], one["shard"]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last % 16], pa.int32()), pa.array([rows], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "n", "vector"])
+
+    def add(table: pa.Table) -> pa.Table:
+        vectors = sorted(table.column("vector").to_pylist())
+        total = np.sum([np.frombuffer(v) for v in vectors], axis=0)
+        return pa.table([pa.array([sum(table.column("n").to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "vector"])
+
+    rows = shards.select("shard", "n", "positive", "rates", "grams", "cuts").mapInArrow(run, "part int, n bigint, vector binary").groupBy("part").applyInArrow(add, "n bigint, vector binary").collect()
+    if not rows:
+        return np.empty(0), 0.0
+    return np.sum([np.frombuffer(v) for v in sorted(bytes(r["vector"]) for r in rows)], axis=0), float(sum(r["n"] for r in rows))
+
+
+def train(texts: DataFrame, labels: DataFrame, parts: int, shard_rows: int = SHARD_ROWS) -> Model | None:
+    """The model of the training fold; none without two positives in any shard. ``labels`` has (doc_id, label)."""
+    known = labels.filter((fold(F.col("doc_id"), parts) != 0) & F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label")).filter("label = 1")
+    learning = texts.filter(fold(F.col("doc_id"), parts) != 0)
+    wanted = max(1, round(learning.select("doc_id").count() / shard_rows))
+    table = packed_shards(learning, known, wanted)
+    spread = min(wanted, MOST_TASKS)
+    shards = written(table.repartition(spread, "shard"), "dealt") if spread > 1 else table
+    cuts, rows = _sums(shards, lambda shard, p, u, cuts: cuts)
+    if not rows:
         return None
-    return fit(p, u, estimated_prior(p, u))
+    cuts = (cuts / rows).reshape(len(NAMES), BINS - 1).astype(np.float32)
+
+    def step(model: Model, prior: float, loss: Callable, half: int | None, seed: int) -> Model:
+        def work(shard: int, positive: Sample, unlabelled: Sample, _: np.ndarray) -> np.ndarray:
+            some = [x if half is None else x.take(np.arange(half, len(x), 2)) for x in (positive, unlabelled)]
+            return fit(*some, model, prior, loss, STEPS, seed + shard)
+
+        total, n = _sums(shards, work)
+        return Model(cuts, total / n)
+
+    start = Model(cuts, np.zeros(WIDTH))
+    apart = step(start, 0.5, against, 0, 1)
+    counts, _ = _sums(shards, lambda shard, p, u, _: np.concatenate([histogram(apart.logits(x.take(np.arange(1, len(x), 2)))) for x in (p, u)]) / len(u))
+    prior = estimated_prior(np.rint(counts[:CELLS]), np.rint(counts[CELLS:]))
+    model = Model(cuts, np.append(np.zeros(WIDTH - 1), math.log(prior / (1 - prior))))
+    for k in range(ROUNDS):
+        model = step(model, prior, risk, None, (k + 2) << 32)
+    return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", parts: int = 5, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", parts: int = 5, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of each row.
 
     Labels are learned only from ids whose crc32 as text is not 0 modulo ``parts``; an id with both
@@ -253,8 +366,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     no length. Without two positives every score is 0.5. Repeated rows are scored one by one; an
     empty table gives no rows. Other columns are not read.
     """
-    texts = id_and_text(docs, id_col, text_col)
-    model = train(texts, labels.select(F.col(f"`{label_id}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")), parts, sample)
+    texts = spread(id_and_text(docs, id_col, text_col))
+    model = train(texts, labels.select(F.col(f"`{label_id}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")), parts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -466,9 +467,36 @@ def test_prior_comes_from_positives_and_unlabelled_alone():
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(("tan", "res", "lora", "mide")) for _ in range(40)).encode()
     bad = lambda: b" | ".join(rng.choice((b"BUY!!", b"NOW$$")) for _ in range(40))
-    p = pu_classifier.Sample.of([pu_classifier.sample_row(good()) for _ in range(400)])
-    u = pu_classifier.Sample.of([pu_classifier.sample_row(good() if rng.random() < 0.7 else bad()) for _ in range(600)])
-    assert pu_classifier.estimated_prior(p, u) == pytest.approx(0.7, abs=0.08)
+    texts = [[good() for _ in range(400)], [good() if rng.random() < 0.7 else bad() for _ in range(600)]]
+    p, u = map(pu_classifier.Sample.of_texts, texts)
+    start = pu_classifier.Model(pu_classifier.quantiles(u.rates), np.zeros(pu_classifier.WIDTH))
+    half = lambda x, k: x.take(np.arange(k, len(x), 2))
+    model = pu_classifier.Model(start.cuts, pu_classifier.fit(half(p, 0), half(u, 0), start, 0.5, pu_classifier.against))
+    prior = pu_classifier.estimated_prior(*(pu_classifier.histogram(model.logits(half(x, 1))) for x in (p, u)))
+    assert 0.5 < prior < 0.72
+    assert pu_classifier.estimated_prior(np.zeros(4), np.ones(4)) == 0.5
+
+
+def test_packed_counts_and_vectorised_features():
+    rng = random.Random(9)
+    texts_ = [plain(t) for _, t in DOCS] + [b"a " * 5000, b"", b"\xff| x#", " ".join(rng.choice(("Aa", "b.", "c!", "é")) for _ in range(300)).encode()]
+    for t in texts_:
+        counts = pu_classifier.gram_counts(t)
+        for got, want in zip(pu_classifier.unpacked_counts(pu_classifier.packed_counts(counts, bytes)), pu_classifier.used_slots(counts), strict=True):
+            assert np.allclose(got, want)
+        words, n = t.split(), max(1, len(t.split()))
+        rates = dict(zip(pu_classifier.NAMES, pu_classifier.features(t).tolist(), strict=True))
+        if t:
+            want = {"words": math.log1p(len(words)), "adjacent": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, "odd_word": sum(not w[-1:].isalnum() and w[-1] < 128 and w[-1:] not in b".,;:!?'\")" for w in words) / n, "bangs": sum(t.count(c) for c in (b"!", b"?")) / n, "longest": math.log1p(max(map(len, words), default=0)), "short_words": sum(len(w) < 4 for w in words) / n, "ends": sum(w.endswith(b".") for w in words) / n}
+            assert {k: rates[k] for k in want} == pytest.approx(want, rel=1e-5)
+
+
+def test_the_fit_does_not_depend_on_how_rows_are_dealt(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(("tan", "res", "lora")) for _ in range(20)) if i % 5 else " | ".join(["BUY!!"] * 9)) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1) for i in range(200) if i % 5], "doc_id long, label int")
+    a, b = (pu_classifier.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels, 5, shard_rows=60) for n in (1, 7))
+    assert np.allclose(a.weights, b.weights) and np.allclose(a.cuts, b.cuts)
 
 
 def test_warc_round_trip_and_order(spark):
