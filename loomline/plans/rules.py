@@ -250,13 +250,35 @@ def schedule_comparison(spark, sf_dir):
 
 
 # ---- review ----
-_PREDICTED = "SELECT * EXCLUDE (task), energy_kwh / good_qty AS predicted, least(1.0, support / 200.0) AS confidence FROM (SELECT * FROM ready WHERE eligible = 1 QUALIFY row_number() OVER (PARTITION BY machine ORDER BY hour_us DESC) = 1) JOIN (SELECT machine, count(*) AS support FROM ready WHERE eligible = 1 GROUP BY machine) USING (machine)"
+#: Energy per piece above which a row is not learned from, and the least energy and pieces of one that is.
+MOST_KPU, LEAST_KWH, LEAST_GOOD = 20.0, 0.25, 1.0
+_LEARN = f"eligible = 1 AND good_qty >= {LEAST_GOOD} AND energy_kwh >= {LEAST_KWH} AND energy_kwh / good_qty <= {MOST_KPU}"
+FITTED_SQL = f"""SELECT r.* EXCLUDE (task), coalesce(base + slope * good_qty, mean) AS p FROM ready r LEFT JOIN (SELECT family, CASE WHEN var_pop(x) > 1e-9 THEN regr_slope(y, x) END AS slope, CASE WHEN var_pop(x) > 1e-9 THEN regr_intercept(y, x) END AS base, avg(y) AS mean
+FROM (SELECT family, energy_kwh / good_qty AS y, good_qty AS x FROM ready WHERE {_LEARN} AND hour_us <= (SELECT min(hour_us) + (max(hour_us) - min(hour_us)) * 4 // 5 FROM ready WHERE {_LEARN})) GROUP BY family) f ON f.family = r.family WHERE eligible = 1"""
+
+
+def with_family_fit(rows: DataFrame) -> DataFrame:
+    """Eligible rows with ``fit``: energy per piece by a line over the pieces, fitted for each machine family on the earlier four fifths of the time.
+
+    Families without two different amounts of pieces there get their mean, those without a row no prediction.
+    """
+    y, x = F.col("energy_kwh") / F.col("good_qty"), F.col("good_qty")
+    learn = rows.filter((F.col("eligible") == 1) & (x >= LEAST_GOOD) & (F.col("energy_kwh") >= LEAST_KWH) & (y <= MOST_KPU))
+    cut = learn.agg((F.min("hour_us") + F.expr("(max(hour_us) - min(hour_us)) * 4 div 5")).alias("_cut"))
+    varied = F.var_pop(x) > 1e-9
+    lines = one_row(learn, cut).filter("hour_us <= _cut").groupBy("family").agg(F.when(varied, F.regr_slope(y, x)).alias("_slope"), F.when(varied, F.regr_intercept(y, x)).alias("_base"), F.avg(y).alias("_mean"))
+    out = rows.filter("eligible = 1").join(lines, "family", "left").withColumn("fit", F.coalesce(F.col("_base") + F.col("_slope") * x, "_mean"))
+    return out.select(*rows.columns, "fit")
+
+
+_PREDICTED = f"SELECT * EXCLUDE (p), p AS predicted, least(1.0, support / 200.0) AS confidence FROM (SELECT * FROM ({FITTED_SQL}) QUALIFY row_number() OVER (PARTITION BY machine ORDER BY hour_us DESC) = 1) JOIN (SELECT machine, count(*) AS support FROM ready WHERE eligible = 1 GROUP BY machine) USING (machine)"
 
 
 def predictions(rows: DataFrame) -> DataFrame:
-    """A prediction table for the queries below: energy per piece of each machine's latest row, trusted by the machine's row count."""
+    """A prediction table for the queries below: what the family's line gives for each machine's latest row, trusted by the machine's row count."""
     support = rows.filter("eligible = 1").groupBy("machine").agg(F.count("*").alias("support"))
-    return R.latest_per_machine(rows).join(support, "machine").select("machine", "hour_us", (F.col("energy_kwh") / F.col("good_qty")).alias("predicted"), F.least(F.lit(1.0), F.col("support") / 200.0).alias("confidence"))
+    fitted = R.latest_per_machine(with_family_fit(rows))
+    return fitted.join(support, "machine").select("machine", "hour_us", F.col("fit").alias("predicted"), F.least(F.lit(1.0), F.col("support") / 200.0).alias("confidence"))
 
 
 def review(candidates: DataFrame, predicted: DataFrame) -> DataFrame:

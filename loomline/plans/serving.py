@@ -12,16 +12,13 @@ from ..functions.scalars import safe_divide
 from ..scratch import once
 from . import models
 from .catalog import READY, inputs, query
-from .rules import DAY, UNIFIED, one_row, unified
+from .rules import DAY, FITTED_SQL, UNIFIED, one_row, unified, with_family_fit
 
 #: Predictions above this many kWh per piece are not believed.
 MOST = 20.0
 #: Currency units an hour of machine, of oil and of both; hours of work a month; price of the introduction.
 MACHINE_HOUR, OIL_HOUR, BOTH_HOUR, MONTH_HOURS, INVESTMENT = 663.0, 704.0, 1367.0, 16000.0, 500000.0
 
-#: Weights of the linear prediction that the SQL checks; a fitted model takes the same way.
-WEIGHTS = {"hours_since": 0.02, "team_size": -0.4, "works_30d": 0.05, "good_qty": -0.002}
-
 
 # ---- prediction ----
 def guarded(rows: DataFrame, prediction: Column, most: float = MOST) -> DataFrame:
@@ -30,13 +27,6 @@ def guarded(rows: DataFrame, prediction: Column, most: float = MOST) -> DataFram
     return rows.withColumn("predicted", F.when(fit, prediction)).withColumn("blocked_reason", F.when(~fit, "predictor_returned_non_model_source"))
 
 
-def linear(weights: Mapping[str, float], base: float) -> Column:
-    out = F.lit(base)
-    for name, weight in weights.items():
-        out = out + F.lit(weight) * F.col(name)
-    return out
-
-
 def predict_rows(model: PipelineModel | None, rows: DataFrame, most: float = MOST) -> DataFrame:
     """Eligible rows through a fitted model; without one all are blocked."""
     if model is None:
@@ -44,18 +34,18 @@ def predict_rows(model: PipelineModel | None, rows: DataFrame, most: float = MOS
     return guarded(model.transform(rows), F.col("prediction"), most).drop("raw_features", "features", "prediction")
 
 
-_LINEAR = "1.0 + " + " + ".join(f"({w} * {c})" for c, w in WEIGHTS.items())
-_BATCH = f"SELECT machine, hour_us, p, CASE WHEN p BETWEEN 0 AND {MOST} THEN p END AS predicted, CASE WHEN p BETWEEN 0 AND {MOST} THEN NULL ELSE 'predictor_returned_non_model_source' END AS blocked_reason FROM (SELECT *, {_LINEAR} AS p FROM ready WHERE eligible = 1)"
+_BATCH = f"SELECT machine, hour_us, p, CASE WHEN p BETWEEN 0 AND {MOST} THEN p END AS predicted, CASE WHEN p BETWEEN 0 AND {MOST} THEN NULL ELSE 'predictor_returned_non_model_source' END AS blocked_reason FROM ({FITTED_SQL})"
 
 
 def _batch(rows: DataFrame) -> DataFrame:
-    return guarded(rows.filter("eligible = 1"), linear(WEIGHTS, 1.0))
+    """Eligible rows with the guarded prediction of their family's line, fitted on the earlier four fifths of the time."""
+    return guarded(with_family_fit(rows), F.col("fit")).drop("fit")
 
 
 @query(f"SELECT * EXCLUDE (p) FROM ({_BATCH})", READY, "predicted")
 def batch_predictions(spark, sf_dir):
     """Each eligible row with a prediction or the reason that blocks it."""
-    return _batch(inputs(spark, sf_dir)).select("machine", "hour_us", "predicted", "blocked_reason")
+    return _batch(once(inputs(spark, sf_dir), "inputs")).select("machine", "hour_us", "predicted", "blocked_reason")
 
 
 @query(f"SELECT DISTINCT machine, hour_us, blocked_reason FROM (SELECT machine, hour_us, blocked_reason FROM ready WHERE eligible = 0 UNION ALL SELECT machine, hour_us, blocked_reason FROM ({_BATCH}) WHERE predicted IS NULL)", READY)
@@ -173,7 +163,7 @@ _COMPARED = f"SELECT machine, (k - p) / k AS b FROM (SELECT r.machine, avg(r.ene
 @query(f"SELECT machine, t AS total_month, 500000 / t AS payback_months, t * 12 / 500000 * 100 AS roi_percent FROM (SELECT machine, abs(b) * 16000 * (663 + 704 + 136.7 + 100) + 24 * 1367 AS t FROM ({_COMPARED}))", READY, "total_month payback_months roi_percent")
 def expected_savings(spark, sf_dir):
     """What each machine would save if it ran as predicted, and when that pays for the introduction."""
-    out = _batch(inputs(spark, sf_dir)).groupBy("machine").agg(F.avg(F.col("energy_kwh") / F.col("good_qty")).alias("k"), F.avg("predicted").alias("p")).filter("k > 0 and p is not null")
+    out = _batch(once(inputs(spark, sf_dir), "inputs")).groupBy("machine").agg(F.avg(F.col("energy_kwh") / F.col("good_qty")).alias("k"), F.avg("predicted").alias("p")).filter("k > 0 and p is not null")
     parts = savings((F.col("k") - F.col("p")) / F.col("k"))
     return out.select("machine", *[parts[c].alias(c) for c in ("total_month", "payback_months", "roi_percent")])
 
@@ -185,7 +175,7 @@ PLANT_GAINS = {"idle_reduction": MONTH_HOURS * 0.10 * MACHINE_HOUR, "failure_pre
 @query(f"SELECT part, value FROM (UNPIVOT (SELECT e AS energy_efficiency, 1060800.0::double AS idle_reduction, 32808.0::double AS failure_prevention, 1093600.0::double AS production_optimization, 337920.0::double AS oil_optimization, e + 2525128.0 AS total_month, (e + 2525128.0) * 12 AS total_year, 500000 / (e + 2525128.0) AS payback_months FROM (SELECT 16000 * 663 * abs((k - p) / k) AS e FROM (SELECT avg(r.energy_kwh / r.good_qty) AS k, avg(p.predicted) AS p FROM ready r JOIN ({_BATCH}) p ON p.machine = r.machine AND p.hour_us = r.hour_us WHERE r.eligible = 1))) ON COLUMNS(*) INTO NAME part VALUE value)", READY, "value")
 def plant_savings(spark, sf_dir):
     """Parts of the plant's monthly gain, their sum, the year's and the months until it pays; a row for each."""
-    rows = _batch(inputs(spark, sf_dir)).agg(F.avg(F.col("energy_kwh") / F.col("good_qty")).alias("k"), F.avg("predicted").alias("p"))
+    rows = _batch(once(inputs(spark, sf_dir), "inputs")).agg(F.avg(F.col("energy_kwh") / F.col("good_qty")).alias("k"), F.avg("predicted").alias("p"))
     parts = {"energy_efficiency": F.abs((F.col("k") - F.col("p")) / F.col("k")) * (MONTH_HOURS * MACHINE_HOUR)} | {k: F.lit(v) for k, v in PLANT_GAINS.items()}
     total = parts["energy_efficiency"] + F.lit(sum(PLANT_GAINS.values()))
     parts |= {"total_month": total, "total_year": total * 12, "payback_months": safe_divide(F.lit(INVESTMENT), total)}
