@@ -7,8 +7,8 @@ rows, and on the other half the least ratio of unlabelled to positive texts abov
 bounds the share of positives among the unlabelled (too large a prior costs more than too small a one). Features are hashed words and hashed runs of
 four bytes, as square roots of their shares, and shares and rates of the text's characters, words and lines, each cut into bins at quantiles.
 
-All rows of the training fold are used. They are dealt to shards of about ``SHARD_ROWS`` by a hash of the id and kept as packed
-features, a row of the shared table for each shard. In each of ``ROUNDS`` every shard goes ``STEPS`` steps from the common weights,
+All rows of the training fold are used. Rows are dealt to shards of about ``SHARD_ROWS`` by a hash of the id and kept as packed
+features, a row of the shared table for each shard, so a text is read once, to learn from and to be scored. In each of ``ROUNDS`` every shard goes ``STEPS`` steps from the common weights,
 and the shards' weights are averaged by rows. The driver holds weights, quantiles and a histogram of fixed size, no rows.
 """
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, id_and_text, rebatched, spread, written
 
-#: Rows of a shard, about, and shards that are dealt to tasks of their own at most.
-SHARD_ROWS, MOST_TASKS = 2048, 4096
+#: Rows of a shard, about (four in five are learned from), and tasks that shards are dealt to at most.
+SHARD_ROWS, MOST_TASKS = 2560, 4096
 BINS = 12
 #: Slots of the hashed words, and of the hashed runs of bytes.
 SLOTS = 1 << 12
@@ -104,13 +104,11 @@ def packed_counts(counts: np.ndarray, squeeze: Callable[[bytes], bytes]) -> byte
 
 
 def unpacked_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Used slots and their values of packed counts."""
+    """Used slots and their counts."""
     used = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, 2 * SLOTS // 8)))
     own = np.frombuffer(data, np.uint8, len(used), 2 * SLOTS // 8).astype(np.int64)
     own[own == 255] = np.frombuffer(data, "<u4", -1, 2 * SLOTS // 8 + len(used))
-    split = np.searchsorted(used, SLOTS)
-    total = np.repeat([max(1, own[:split].sum()), max(1, own[split:].sum())], [split, len(used) - split])
-    return used, np.sqrt(own / total)
+    return used, own
 
 
 @dataclass(frozen=True)
@@ -161,9 +159,6 @@ class Model:
         first = len(NAMES) * BINS
         return self.weights[self.places(x.rates)].sum(1) + np.bincount(rows, self.weights[first + x.slots] * x.values, len(x)) + self.weights[-1]
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(Sample.of_texts(texts)), -700, 700)))
-
 
 def risk(f: np.ndarray, g: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
     """Non-negative unbiased risk of logistic loss for logits of positives and unlabelled, and its slopes along them.
@@ -261,13 +256,14 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-_PACKED = "shard int, n bigint, positive binary, rates binary, grams array<binary>, cuts binary"
+_PACKED = "shard int, n bigint, ids array<bigint>, held binary, positive binary, rates binary, sizes binary, slots binary, counts binary, cuts binary"
 
 
 def packed_shards(texts: DataFrame, known: DataFrame, shards: int) -> DataFrame:
-    """A row for each shard with the packed features of its texts and whether each is positive. ``known`` has doc_id of the positives.
+    """A row for each shard with the packed features of its texts, whether each is held out and whether it is positive.
 
-    Rows of a shard are ordered by id and content, so it does not matter in which order they came.
+    ``texts`` has (doc_id, text, held_out), ``known`` doc_id of the positives. Rows of a shard are ordered by id and content, so it does not matter
+    in which order they came. Bins are of the rows that are not held out.
     """
     shard = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(shards)).cast("int").alias("shard")
 
@@ -277,42 +273,65 @@ def packed_shards(texts: DataFrame, known: DataFrame, shards: int) -> DataFrame:
             own = byte_texts(batch, "text")
             rates = pa.array([features(t).tobytes() for t in own], pa.binary())
             grams = pa.array([packed_counts(gram_counts(t), squeeze) for t in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), rates, grams], names=["shard", "doc_id", "rates", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), batch.column("held_out"), rates, grams], names=["shard", "doc_id", "held_out", "rates", "grams"])
 
     def pack(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(left.column(c).to_pylist() for c in ("doc_id", "rates", "grams")), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
-        ids, rates, grams = zip(*rows, strict=True) if rows else ((), (), ())
-        trusted = set(right.column("doc_id").to_pylist())
-        positive = np.array([i in trusted for i in ids], np.uint8)
-        matrix = np.frombuffer(b"".join(rates), np.float32).reshape(-1, len(NAMES))
-        cuts = quantiles(matrix) if len(matrix) else np.empty((0, 0))
-        out = [[left.column("shard")[0].as_py()] if rows else [], [len(rows)] if rows else [], [positive.tobytes()] if rows else [], [matrix.tobytes()] if rows else [], [list(grams)] if rows else [], [cuts.tobytes()] if rows else []]
-        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
-        return pa.table([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["shard", "n", "positive", "rates", "grams", "cuts"])
-
-    extracted = texts.select("doc_id", "text", shard).mapInArrow(extract, "shard int, doc_id bigint, rates binary, grams binary")
+        rows = sorted(zip(*(left.column(c).to_pylist() for c in ("doc_id", "held_out", "rates", "grams")), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[3]))
+        one: list[object] = []
+        if rows:
+            ids, held, rates, grams = zip(*rows, strict=True)
+            trusted, undo, squeeze = set(right.column("doc_id").to_pylist()), zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+            held_out = np.array(held)
+            matrix = np.frombuffer(b"".join(rates), np.float32).reshape(-1, len(NAMES))
+            parts = [unpacked_counts(undo(g)) for g in grams]
+            slots = np.concatenate([np.diff(u, prepend=0) for u, _ in parts]).astype("<u2")
+            counts = np.concatenate([c for _, c in parts]).astype("<u4")
+            sizes = np.array([len(u) for u, _ in parts], "<u4")
+            cuts = quantiles(matrix[~held_out]) if not held_out.all() else np.empty((0, 0))
+            positive = np.array([i in trusted for i in ids])
+            one = [left.column("shard")[0].as_py(), len(rows), list(ids), held_out.tobytes(), positive.tobytes(), matrix.tobytes(), sizes.tobytes(), squeeze(slots.tobytes()), squeeze(counts.view(np.uint8).reshape(-1, 4).T.tobytes()), cuts.tobytes()]
+        kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 7]
+        return pa.table([pa.array([v] if rows else [], t) for v, t in zip(one or [None] * len(kinds), kinds, strict=True)], names=[c.split()[0] for c in _PACKED.split(", ")])
+
+    extracted = texts.select("doc_id", "text", "held_out", shard).mapInArrow(extract, "shard int, doc_id bigint, held_out boolean, rates binary, grams binary").repartition(min(shards, MOST_TASKS), "shard")
     packed = extracted.groupBy("shard").cogroup(known.select("doc_id", shard).groupBy("shard")).applyInArrow(pack, _PACKED)
     return written(packed, "shards")
 
 
-def _sums(shards: DataFrame, work: Callable[[int, Sample, Sample, np.ndarray], np.ndarray]) -> tuple[np.ndarray, float]:
-    """The sum over shards of ``work(shard, positives, unlabelled, cuts)``, by rows, and the rows; shards without two of each kind are left out.
+def _sample_of(row: dict) -> Sample:
+    """The features of a packed shard."""
+    undo = zstandard.ZstdDecompressor().decompress
+    sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    steps = np.frombuffer(undo(row["slots"]), "<u2").astype(np.int64)
+    planes = np.frombuffer(undo(row["counts"]), np.uint8).reshape(4, -1)
+    counts = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    run = np.cumsum(steps)
+    slots = run - np.repeat(np.where(sizes > 0, np.append(run, 0)[starts[:-1] - 1] * (starts[:-1] > 0), 0), sizes)
+    part = 2 * np.repeat(np.arange(len(sizes)), sizes) + (slots >= SLOTS)
+    totals = np.bincount(part, counts, 2 * len(sizes))
+    return Sample(np.frombuffer(row["rates"], np.float32).reshape(-1, len(NAMES)), starts, slots, np.sqrt(counts / totals[part]))
+
+
+def _sums(shards: DataFrame, work: Callable[[int, Sample | None, Sample | None, np.ndarray], np.ndarray]) -> tuple[np.ndarray, float]:
+    """The sum over shards of ``work(shard, positives, unlabelled, cuts)``, by rows, and the rows; shards without two positives are left out.
+
+    Without the columns of the features ``work`` gets no samples.
 
     Tasks add up their own shards, and a few tasks add up theirs, so the driver gets sixteen vectors at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        undo = zstandard.ZstdDecompressor().decompress
         total, rows, last = None, 0, 0
         for batch in batches:
-            for k in range(batch.num_rows):
-                one = {c: batch.column(c)[k].as_py() for c in ("shard", "n", "positive", "rates", "grams", "cuts")}
-                rates = np.frombuffer(one["rates"], np.float32).reshape(-1, len(NAMES))
-                every = Sample.of(rates, [unpacked_counts(undo(g)) for g in one["grams"]])
-                positive = every.take(np.flatnonzero(np.frombuffer(one["positive"], np.uint8)))
-                if len(positive) > 1 and len(every) > 1:
-                    vector = work(one["shard"], positive, every, np.frombuffer(one["cuts"], np.float64)) * one["n"]
-                    total, rows, last = vector if total is None else total + vector, rows + one["n"], one["shard"]
+            for one in batch.to_pylist():
+                learn = ~np.frombuffer(one["held"], bool)
+                trusted = learn & np.frombuffer(one["positive"], bool)
+                if trusted.sum() > 1:
+                    every = _sample_of(one) if "slots" in one else None
+                    kinds = [every and every.take(np.flatnonzero(x)) for x in (trusted, learn)]
+                    vector = work(one["shard"], *kinds, np.frombuffer(one["cuts"], np.float64)) * learn.sum()
+                    total, rows, last = vector if total is None else total + vector, rows + int(learn.sum()), one["shard"]
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([last % 16], pa.int32()), pa.array([rows], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "n", "vector"])
 
@@ -321,21 +340,15 @@ def _sums(shards: DataFrame, work: Callable[[int, Sample, Sample, np.ndarray], n
         total = np.sum([np.frombuffer(v) for v in vectors], axis=0)
         return pa.table([pa.array([sum(table.column("n").to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "vector"])
 
-    rows = shards.select("shard", "n", "positive", "rates", "grams", "cuts").mapInArrow(run, "part int, n bigint, vector binary").groupBy("part").applyInArrow(add, "n bigint, vector binary").collect()
+    rows = shards.drop("ids", "n").mapInArrow(run, "part int, n bigint, vector binary").groupBy("part").applyInArrow(add, "n bigint, vector binary").collect()
     if not rows:
         return np.empty(0), 0.0
     return np.sum([np.frombuffer(v) for v in sorted(bytes(r["vector"]) for r in rows)], axis=0), float(sum(r["n"] for r in rows))
 
 
-def train(texts: DataFrame, labels: DataFrame, parts: int, shard_rows: int = SHARD_ROWS) -> Model | None:
-    """The model of the training fold; none without two positives in any shard. ``labels`` has (doc_id, label)."""
-    known = labels.filter((fold(F.col("doc_id"), parts) != 0) & F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label")).filter("label = 1")
-    learning = texts.filter(fold(F.col("doc_id"), parts) != 0)
-    wanted = max(1, round(learning.select("doc_id").count() / shard_rows))
-    table = packed_shards(learning, known, wanted)
-    spread = min(wanted, MOST_TASKS)
-    shards = written(table.repartition(spread, "shard"), "dealt") if spread > 1 else table
-    cuts, rows = _sums(shards, lambda shard, p, u, cuts: cuts)
+def train(shards: DataFrame) -> Model | None:
+    """The model of the rows of packed shards that are not held out; none without two positives in any shard."""
+    cuts, rows = _sums(shards.select("shard", "held", "positive", "cuts"), lambda shard, p, u, cuts: cuts)
     if not rows:
         return None
     cuts = (cuts / rows).reshape(len(NAMES), BINS - 1).astype(np.float32)
@@ -358,7 +371,7 @@ def train(texts: DataFrame, labels: DataFrame, parts: int, shard_rows: int = SHA
     return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", parts: int = 5, threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", parts: int = 5, threshold: float = 0.3, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of each row.
 
     Labels are learned only from ids whose crc32 as text is not 0 modulo ``parts``; an id with both
@@ -366,14 +379,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     no length. Without two positives every score is 0.5. Repeated rows are scored one by one; an
     empty table gives no rows. Other columns are not read.
     """
-    texts = spread(id_and_text(docs, id_col, text_col))
-    model = train(texts, labels.select(F.col(f"`{label_id}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")), parts)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    texts = spread(id_and_text(docs, id_col, text_col)).withColumn("held_out", fold(F.col("doc_id"), parts) == 0)
+    own = labels.select(F.col(f"`{label_id}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
+    known = own.filter((fold(F.col("doc_id"), parts) != 0) & F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label")).filter("label = 1")
+    shards = packed_shards(texts, known, max(1, round(docs.select(F.lit(1)).count() / shard_rows)))
+    shared = docs.sparkSession.sparkContext.broadcast(train(shards))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(batches, "text"):
-            own = byte_texts(batch, "text")
-            score = shared.value.score(own) if shared.value else np.full(len(own), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+        for batch in batches:
+            for one in batch.to_pylist():
+                score = 1 / (1 + np.exp(-np.clip(shared.value.logits(_sample_of(one)), -700, 700))) if shared.value else np.full(one["n"], 0.5)
+                yield pa.RecordBatch.from_arrays([pa.array(one["ids"], pa.int64()), pa.array(np.frombuffer(one["held"], bool)), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return texts.withColumn("held_out", fold(F.col("doc_id"), parts) == 0).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return shards.drop("positive", "cuts").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")

@@ -482,8 +482,8 @@ def test_packed_counts_and_vectorised_features():
     texts_ = [plain(t) for _, t in DOCS] + [b"a " * 5000, b"", b"\xff| x#", " ".join(rng.choice(("Aa", "b.", "c!", "é")) for _ in range(300)).encode()]
     for t in texts_:
         counts = pu_classifier.gram_counts(t)
-        for got, want in zip(pu_classifier.unpacked_counts(pu_classifier.packed_counts(counts, bytes)), pu_classifier.used_slots(counts), strict=True):
-            assert np.allclose(got, want)
+        used, own = pu_classifier.unpacked_counts(pu_classifier.packed_counts(counts, bytes))
+        assert (used == np.flatnonzero(counts)).all() and (own == counts[used]).all()
         words, n = t.split(), max(1, len(t.split()))
         rates = dict(zip(pu_classifier.NAMES, pu_classifier.features(t).tolist(), strict=True))
         if t:
@@ -493,10 +493,25 @@ def test_packed_counts_and_vectorised_features():
 
 def test_the_fit_does_not_depend_on_how_rows_are_dealt(spark):
     rng = random.Random(3)
-    rows = [(i, " ".join(rng.choice(("tan", "res", "lora")) for _ in range(20)) if i % 5 else " | ".join(["BUY!!"] * 9)) for i in range(200)]
-    labels = spark.createDataFrame([(i, 1) for i in range(200) if i % 5], "doc_id long, label int")
-    a, b = (pu_classifier.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels, 5, shard_rows=60) for n in (1, 7))
+    rows = [(i, " ".join(rng.choice(("tan", "res", "lora")) for _ in range(rng.randrange(30))) if i % 5 else " | ".join(["BUY!!"] * 300)) for i in range(200)] + [(None, "tan"), (7, "tan"), (8, None)]
+    known = spark.createDataFrame([(i,) for i in range(200) if i % 5], "doc_id long")
+    held = pu_classifier.fold(F.col("doc_id"), 5) == 0
+    tables = [pu_classifier.packed_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(n).withColumn("held_out", held), known, 3) for n in (1, 7)]
+    a, b = map(pu_classifier.train, tables)
     assert np.allclose(a.weights, b.weights) and np.allclose(a.cuts, b.cuts)
+    of = {}
+    for i, t in rows:
+        of.setdefault((i, plain(t)), pu_classifier.Sample.of_texts([plain(t)]))
+    seen = 0
+    for r in tables[0].collect():
+        every = pu_classifier._sample_of(r.asDict())
+        assert len(r.ids) == r.n == len(every)
+        for k, i in enumerate(r.ids):
+            one = every.take(np.array([k]))
+            same = [x for (j, _), x in of.items() if j == i and len(x.slots) == len(one.slots) and np.array_equal(x.rates, one.rates)]
+            assert any(np.array_equal(x.slots, one.slots) and np.allclose(x.values, one.values) for x in same)
+            seen += 1
+    assert seen == len(rows)
 
 
 def test_warc_round_trip_and_order(spark):
