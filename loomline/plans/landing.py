@@ -15,8 +15,9 @@ from ..sources.versions import Versions, persist_run, replacement_report
 from . import gold_sql as S
 from .bindings import _MACHINE, bound
 from .catalog import _SHADOW, _quantity, query
-from .gold import quantity_shadow
+from .gold import backbone, quantity_shadow, with_jobs, with_quantity
 from .periods import UNDATED, PeriodStore, Sweep, border_hours, land, period_of
+from .staged import Stage, run_stages
 
 _WEEK = "strftime(make_timestamp({}), '%G-W%V')"
 
@@ -209,6 +210,17 @@ def queue_rejects(spark, sf_dir):
     return reject_counts(queue_reasons(read.rows))
 
 
+# ---- a run in stages ----
+@query("SELECT 'backbone' AS stage, 'done' AS state, count(*) AS n_rows, count(energy_kwh) AS energy, NULL::bigint AS jobs, NULL::bigint AS pieces FROM backbone UNION ALL SELECT 'jobs', 'done', count(*), count(energy_kwh), count(job_hash), NULL FROM fj UNION ALL SELECT 'quantity', 'done', count(*), count(energy_kwh), count(job_hash), count(good_qty) FROM fq", S.QUANTITY)
+def staged_rows(spark, sf_dir):
+    """Rows and values that each stage of the fact wrote, counted while it was written; an hour is more than any stage takes here."""
+    b = bound(spark, sf_dir)
+    stages = [Stage("backbone", backbone, ["energy_kwh"]), Stage("jobs", lambda rows: with_jobs(rows, b["jobs"]), ["energy_kwh", "job_hash"]), Stage("quantity", with_quantity, ["energy_kwh", "job_hash", "good_qty"])]
+    report = run_stages(spark, b["meters"], stages, limit=3600).report
+    filled = lambda c: F.try_element_at("filled", F.lit(c))
+    return report.select("stage", "state", "n_rows", filled("energy_kwh").alias("energy"), filled("job_hash").alias("jobs"), filled("good_qty").alias("pieces"))
+
+
 # ---- replacement and runs ----
 _SHADOWED = ["machine", "hour_us", "job_hash", "good_qty", "scrap_qty", "production_minutes", "machine_state", "shadow_eligible", "shadow_good", "shadow_scrap"]
 
@@ -281,6 +293,26 @@ def run_inventory(spark, sf_dir):
     return store.read("inventory").select("machine_id", "system", "first_seen", "last_seen", "active").join(presence, ["machine_id", "system"])
 
 
+_BY_WEEK = "SELECT month, machine AS pattern, " + ", ".join(f"max(CASE WHEN system = '{s}' THEN machine_id END) AS {s[0]}" for s in ("energy", "jobs", "reports")) + " FROM named GROUP BY ALL"
+
+
+@query(f"SELECT month, pattern, e || ' 主機' AS energy_id, j AS job_id, r AS report_id, CASE WHEN e IS NOT NULL AND j IS NOT NULL AND r IS NOT NULL THEN 'three_way' ELSE concat_ws('_', CASE WHEN e IS NOT NULL THEN 'energy' END, CASE WHEN j IS NOT NULL THEN 'jobs' END, CASE WHEN r IS NOT NULL THEN 'reports' END) || '_only' END AS kind FROM ({_BY_WEEK})", S.DUCK + ",\n" + _PRESENT)
+def system_matches(spark, sf_dir):
+    """Machines of each week by the systems that know them, with the first id that each system gives them; matched by the machine number in the ids."""
+    return matches_by_kind(_seen(spark, sf_dir), ["month"])
+
+
+def matches_by_kind(seen: DataFrame, keys: list[str]) -> DataFrame:
+    """Patterns with the first raw id of each system and ``three_way``, ``energy_jobs_only`` and so on, for each of ``keys``; ids without a pattern are left out."""
+    systems = {"energy": "energy_id", "jobs": "job_id", "reports": "report_id"}
+    by = seen.filter("pattern is not null").groupBy(*keys, "pattern").agg(*[F.min(F.when(F.col("system") == s, F.col("raw"))).alias(c) for s, c in systems.items()])
+    known = F.concat_ws("_", *[F.when(F.col(c).isNotNull(), s) for s, c in systems.items()])
+    every = F.lit(True)
+    for c in systems.values():
+        every = every & F.col(c).isNotNull()
+    return by.withColumn("kind", F.when(every, "three_way").otherwise(F.concat(known, F.lit("_only"))))
+
+
 # ---- months of sources ----
 @query("SELECT source, CASE WHEN status = 'resolved' THEN month END AS month, status, confidence, n, total FROM (SELECT *, CASE WHEN months = 1 OR (n >= 3 AND n / total >= 0.8) THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN months = 1 THEN CASE WHEN n >= 3 THEN 'high' ELSE 'medium' END WHEN n >= 3 AND n / total >= 0.8 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT source, month, n, cast(sum(n) OVER (PARTITION BY source) AS bigint) AS total, count(*) OVER (PARTITION BY source) AS months FROM (SELECT o_custkey AS source, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, month) = 1))")
 def source_months(spark, sf_dir):

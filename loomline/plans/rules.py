@@ -460,10 +460,16 @@ def threshold_recommendations(spark, sf_dir):
     return figures.unpivot([], ["idle", "transitions", "teams", "weekend"], "rule", "value").filter(F.col("value") > limit)
 
 
-@query("SELECT machine, count(DISTINCT hour_us) AS hours, sum(good_qty) AS good, sum(energy_kwh) AS kwh, avg(kpu) AS mean_kpu, CASE WHEN count(DISTINCT hour_us) >= 100 THEN 'Active' ELSE 'Idle' END AS status, round(count(DISTINCT hour_us) / 720 * 100, 1) AS utilization FROM uv GROUP BY machine", UNIFIED, "good kwh mean_kpu utilization")
+@query("SELECT machine, strftime(hour_ts, '%Y-%m') AS month_key, count(DISTINCT hour_us) AS hours, sum(good_qty) AS good, sum(energy_kwh) AS kwh, avg(kpu) AS mean_kpu, CASE WHEN count(DISTINCT hour_us) >= 100 THEN 'Active' ELSE 'Idle' END AS status, round(count(DISTINCT hour_us) / 720 * 100, 1) AS utilization FROM uv GROUP BY ALL", UNIFIED, "good kwh mean_kpu utilization")
 def machine_activity(spark, sf_dir):
+    """Hours, pieces and energy of each machine in each month; a month counts as 720 hours."""
+    return activity(unified(spark, sf_dir))
+
+
+def activity(rows: DataFrame) -> DataFrame:
     hours = F.countDistinct("hour_us")
-    return unified(spark, sf_dir).groupBy("machine").agg(hours.alias("hours"), F.sum("good_qty").alias("good"), F.sum("energy_kwh").alias("kwh"), F.avg("kpu").alias("mean_kpu"), F.when(hours >= 100, "Active").otherwise("Idle").alias("status"), F.round(hours / 720 * 100, 1).alias("utilization"))
+    month = F.date_format(F.timestamp_micros("hour_us"), "yyyy-MM").alias("month_key")
+    return rows.groupBy("machine", month).agg(hours.alias("hours"), F.sum("good_qty").alias("good"), F.sum("energy_kwh").alias("kwh"), F.avg("kpu").alias("mean_kpu"), F.when(hours >= 100, "Active").otherwise("Idle").alias("status"), F.round(hours / 720 * 100, 1).alias("utilization"))
 
 
 @query("SELECT machine, hour_us, kpu, dense_rank() OVER (PARTITION BY hour_us ORDER BY kpu) AS place, avg(energy_kwh) OVER (PARTITION BY machine ORDER BY hour_us ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS mean_8 FROM uv QUALIFY kpu IS NOT NULL", UNIFIED, "kpu mean_8")

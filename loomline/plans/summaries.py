@@ -21,13 +21,22 @@ def _inner(name: str) -> str:
     return f"({ORACLES[name]})"
 
 
-# ---- one row of figures ----
-@query("SELECT count(*) AS n_rows, count(DISTINCT machine) AS machines, count(*) FILTER (machine_state IS NULL) AS without_state, sum(energy_kwh) AS kwh, sum(good_qty) AS good, sum(scrap_qty) AS scrap, sum(energy_kwh) FILTER (good_qty > 0) AS used_kwh, sum(good_qty) FILTER (energy_kwh IS NOT NULL AND good_qty > 0) AS used_good, sum(energy_kwh) FILTER (good_qty > 0) / sum(good_qty) FILTER (energy_kwh IS NOT NULL AND good_qty > 0) AS kwh_per_good FROM fact", S.FACT, "kwh good scrap used_kwh used_good kwh_per_good")
+def month_of(us: Column) -> Column:
+    return F.date_format(F.timestamp_micros(us), "yyyy-MM")
+
+
+# ---- figures of a month, of the whole ----
+@query("SELECT strftime(hour_ts, '%Y-%m') AS month_key, count(*) AS n_rows, count(DISTINCT machine) AS machines, count(*) FILTER (machine_state IS NULL) AS without_state, sum(energy_kwh) AS kwh, sum(good_qty) AS good, sum(scrap_qty) AS scrap, sum(energy_kwh) FILTER (good_qty > 0) AS used_kwh, sum(good_qty) FILTER (energy_kwh IS NOT NULL AND good_qty > 0) AS used_good, sum(energy_kwh) FILTER (good_qty > 0) / sum(good_qty) FILTER (energy_kwh IS NOT NULL AND good_qty > 0) AS kwh_per_good FROM fact GROUP BY 1", S.FACT, "kwh good scrap used_kwh used_good kwh_per_good")
 def fact_month_metrics(spark, sf_dir):
-    rows = fact(spark, sf_dir)
+    """Figures of the fact, a row for each month."""
+    return month_metrics(fact(spark, sf_dir))
+
+
+def month_metrics(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("month_key", month_of(F.col("hour_us")))
     ok = R.qualifying(rows)
     used = lambda c: F.sum(F.when(ok, F.col(c)))
-    return rows.agg(F.count("*").alias("n_rows"), F.countDistinct("machine").alias("machines"), F.count_if(F.col("machine_state").isNull()).alias("without_state"), *[F.sum(a).alias(b) for a, b in (("energy_kwh", "kwh"), ("good_qty", "good"), ("scrap_qty", "scrap"))], used("energy_kwh").alias("used_kwh"), used("good_qty").alias("used_good"), safe_divide(used("energy_kwh"), used("good_qty")).alias("kwh_per_good"))
+    return rows.groupBy("month_key").agg(F.count("*").alias("n_rows"), F.countDistinct("machine").alias("machines"), F.count_if(F.col("machine_state").isNull()).alias("without_state"), *[F.sum(a).alias(b) for a, b in (("energy_kwh", "kwh"), ("good_qty", "good"), ("scrap_qty", "scrap"))], used("energy_kwh").alias("used_kwh"), used("good_qty").alias("used_good"), safe_divide(used("energy_kwh"), used("good_qty")).alias("kwh_per_good"))
 
 
 @query(f"SELECT count(DISTINCT machine) AS machines, sum(all_kwh) AS kwh, sum(all_good) AS good, count(score) AS with_score, avg(utilization) AS utilization FROM {_inner('machine_opportunity')}", "", "kwh good utilization")
@@ -35,10 +44,15 @@ def opportunity_month_metrics(spark, sf_dir):
     return QUERIES["machine_opportunity"](spark, sf_dir).agg(F.countDistinct("machine").alias("machines"), F.sum("all_kwh").alias("kwh"), F.sum("all_good").alias("good"), F.count("score").alias("with_score"), F.avg("utilization").alias("utilization"))
 
 
-@query("SELECT count(*) AS n_rows, count(DISTINCT machine) AS machines, count(*) FILTER (eligible = 1) AS eligible_rows, count(*) FILTER (eligible = 0) AS blocked_rows, count(DISTINCT machine) FILTER (eligible = 1) AS eligible_machines FROM ready", READY)
+@query("SELECT strftime(make_timestamp(hour_us), '%Y-%m') AS month_key, count(*) AS n_rows, count(DISTINCT machine) AS machines, count(*) FILTER (eligible = 1) AS eligible_rows, count(*) FILTER (eligible = 0) AS blocked_rows, count(DISTINCT machine) FILTER (eligible = 1) AS eligible_machines FROM ready GROUP BY 1", READY)
 def readiness_month_metrics(spark, sf_dir):
+    """Eligible and blocked rows, a row for each month."""
+    return readiness_metrics(inputs(spark, sf_dir))
+
+
+def readiness_metrics(rows: DataFrame) -> DataFrame:
     ok = F.col("eligible") == 1
-    return inputs(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.countDistinct("machine").alias("machines"), F.count_if(ok).alias("eligible_rows"), F.count_if(~ok).alias("blocked_rows"), F.countDistinct(F.when(ok, F.col("machine"))).alias("eligible_machines"))
+    return rows.groupBy(month_of(F.col("hour_us")).alias("month_key")).agg(F.count("*").alias("n_rows"), F.countDistinct("machine").alias("machines"), F.count_if(ok).alias("eligible_rows"), F.count_if(~ok).alias("blocked_rows"), F.countDistinct(F.when(ok, F.col("machine"))).alias("eligible_machines"))
 
 
 @query("SELECT count(*) AS n_rows, count(*) FILTER (work_type = 'PM') AS preventive, count(DISTINCT machine) AS machines, count(DISTINCT CASE WHEN work_order IS NOT NULL THEN machine END) AS machines_with_order, count(DISTINCT work_order) AS orders, min(txn_us) AS first_us, max(txn_us) AS last_us FROM works", S.DUCK)

@@ -100,3 +100,17 @@ def test_share_of_an_order_over_months(spark):
 
 def test_promotion_needs_no_worse_a_score():
     assert models.promotes(0.80, None) and models.promotes(0.80, 0.80) and not models.promotes(0.5, 0.9)
+
+
+def test_figures_are_of_a_month(spark):
+    from loomline.plans import summaries
+
+    hour = 3_600_000_000
+    january, february = 1_704_067_200_000_000, 1_706_745_600_000_000
+    rows = spark.createDataFrame([("a", january + h * hour, 1.0, 2.0, None, "production", 0.5) for h in range(120)] + [("a", february + h * hour, 1.0, None, None, None, None) for h in range(3)] + [("b", february, 2.0, 4.0, 1.0, None, 0.5)], "machine string, hour_us long, energy_kwh double, good_qty double, scrap_qty double, machine_state string, kpu double")
+    got = {(r.machine, r.month_key): (r.hours, r.status, r.utilization) for r in rules.activity(rows).collect()}
+    assert got == {("a", "2024-01"): (120, "Active", 16.7), ("a", "2024-02"): (3, "Idle", 0.4), ("b", "2024-02"): (1, "Idle", 0.1)}
+    got = {r.month_key: (r.n_rows, r.machines, r.without_state, r.good) for r in summaries.month_metrics(rows).collect()}
+    assert got == {"2024-01": (120, 1, 0, 240.0), "2024-02": (4, 2, 4, 4.0)}
+    ready = spark.createDataFrame([("a", january, 1), ("a", february, 0), ("b", february, 1)], "machine string, hour_us long, eligible int")
+    assert {r.month_key: (r.n_rows, r.eligible_rows, r.blocked_rows) for r in summaries.readiness_metrics(ready).collect()} == {"2024-01": (1, 1, 0), "2024-02": (2, 1, 1)}
