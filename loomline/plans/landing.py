@@ -135,27 +135,27 @@ def _layer(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     return clean_family(typed_raw_rows(source, family, ("canonical_machine_id",)), family, registry(spark, sf_dir), exceptions(spark, sf_dir))
 
 
-_HOW = ["canonical_machine_id", "resolution.method", "resolution.step", "resolution.matched_on", "resolution.exception_applied", "resolution.preferred_report_id", "resolution.reason"]
+_HOW = ["canonical_machine_id", "resolution.method", "coalesce(resolution.step, -1) as step", "resolution.matched_on", "resolution.exception_applied", "resolution.preferred_report_id", "resolution.reason"]
 _CLEAN = "e AS MATERIALIZED (SELECT *, event_id % 5 AS k, event_id % 7 = 0 AS g, substr(machine, 1, 3) AS fam, substr(machine, 5) AS num FROM bound)"
-_HOWS = "CASE WHEN g OR {known} THEN machine END AS canonical_machine_id, CASE WHEN g THEN 'given' WHEN {known} THEN 'registry' ELSE 'unresolved' END AS method, CASE WHEN g THEN 0 WHEN {known} THEN {step} END AS step, CASE WHEN NOT g AND {known} THEN {on} END AS matched_on, CASE WHEN NOT g AND {known} AND {exc} THEN 1 ELSE 0 END AS exception_applied, CASE WHEN NOT g AND {known} THEN '1' || fam || '-00' || num || CASE WHEN {exc} THEN 'N' ELSE '' END END AS preferred_report_id, CASE WHEN g OR {known} THEN NULL WHEN {blank} THEN 'no_identifier' ELSE 'not_found' END AS reason"
+_HOWS = "CASE WHEN g OR {known} THEN machine END AS canonical_machine_id, CASE WHEN g THEN 'given' WHEN {known} THEN 'registry' ELSE 'unresolved' END AS method, CASE WHEN g THEN 0 WHEN {known} THEN {step} ELSE -1 END AS step, CASE WHEN NOT g AND {known} THEN {on} END AS matched_on, CASE WHEN NOT g AND {known} AND {exc} THEN 1 ELSE 0 END AS exception_applied, CASE WHEN NOT g AND {known} THEN '1' || fam || '-00' || num || CASE WHEN {exc} THEN 'N' ELSE '' END END AS preferred_report_id, CASE WHEN g OR {known} THEN NULL WHEN {blank} THEN 'no_identifier' ELSE 'not_found' END AS reason"
 
 
-@query("SELECT cast(event_id AS varchar) AS order_id, " + _HOWS.format(known="k < 3", step="1", on="['canonical_machine_id', 'csi_machine_id', 'mes_primary_resource'][k + 1]", exc="false", blank="k = 3") + ", CASE WHEN event_id % 13 <> 0 THEN us END AS start_us, CASE WHEN event_id % 13 = 0 THEN 'n/a 7' END AS bad_start, value AS good_qty, 'L' || (user_id % 4) AS team_leader, concat_ws(',', CASE WHEN user_id % 2 = 0 THEN 'M1' END, CASE WHEN user_id % 3 = 0 THEN 'M3' END) AS members FROM e WHERE event_type = 'purchase'", S.DUCK + ",\n" + _CLEAN, "good_qty")
+@query("SELECT cast(event_id AS varchar) AS order_id, " + _HOWS.format(known="k < 3", step="1", on="['canonical_machine_id', 'csi_machine_id', 'mes_primary_resource'][k + 1]", exc="false", blank="k = 3") + ", CASE WHEN event_id % 13 <> 0 THEN us ELSE 0 END AS start_us, CASE WHEN event_id % 13 = 0 THEN 'n/a 7' END AS bad_start, value AS good_qty, 'L' || (user_id % 4) AS team_leader, concat_ws(',', CASE WHEN user_id % 2 = 0 THEN 'M1' END, CASE WHEN user_id % 3 = 0 THEN 'M3' END) AS members FROM e WHERE event_type = 'purchase'", S.DUCK + ",\n" + _CLEAN, "good_qty")
 def cleaned_jobs(spark, sf_dir):
     """The job layer read back from payloads: machine and how it was found, stamps, pieces, crew."""
-    return _layer(spark, sf_dir, "jobs").select("order_id", *_HOW, F.unix_micros("prod_start_ts").alias("start_us"), F.try_element_at("bad_stamps", F.lit("prod_start_ts")).alias("bad_start"), "good_qty", "team_leader", F.array_join("team_members", ",").alias("members"))
+    return _layer(spark, sf_dir, "jobs").select("order_id", *map(F.expr, _HOW), F.coalesce(F.unix_micros("prod_start_ts"), F.lit(0)).alias("start_us"), F.try_element_at("bad_stamps", F.lit("prod_start_ts")).alias("bad_start"), "good_qty", "team_leader", F.array_join("team_members", ",").alias("members"))
 
 
 @query("SELECT cast(event_id AS varchar) AS order_id, " + _HOWS.format(known="k < 3", step="1", on="['mes_primary_resource', 'mes_secondary_alias', 'canonical_machine_id'][k + 1]", exc="(k = 1 AND fam = '024')", blank="k = 3") + ", us AS report_us, value AS reported_qty, cast(user_id % 5 AS double) AS manpower FROM e WHERE event_type = 'signup'", S.DUCK + ",\n" + _CLEAN, "reported_qty manpower")
 def cleaned_reports(spark, sf_dir):
     """The report layer; a second number of the report system is read as the one that its exception names."""
-    return _layer(spark, sf_dir, "reports").select("order_id", *_HOW, F.unix_micros("report_ts").alias("report_us"), "reported_qty", "manpower")
+    return _layer(spark, sf_dir, "reports").select("order_id", *map(F.expr, _HOW), F.unix_micros("report_ts").alias("report_us"), "reported_qty", "manpower")
 
 
 @query("SELECT cast(event_id AS varchar) AS work_order_id, " + _HOWS.format(known="k <> 3", step="CASE WHEN k IN (0, 4) THEN 1 ELSE 2 END", on="CASE WHEN k IN (0, 4) THEN 'maintenance_asset_id' ELSE 'maintenance_legacy_id' END", exc="false", blank="k = 3") + ", us AS txn_us, value AS quantity FROM e WHERE event_type = 'error'", S.DUCK + ",\n" + _CLEAN, "quantity")
 def cleaned_works(spark, sf_dir):
     """The maintenance layer: the asset's number first, then its old one."""
-    return _layer(spark, sf_dir, "works").select("work_order_id", *_HOW, F.unix_micros("txn_ts").alias("txn_us"), "quantity")
+    return _layer(spark, sf_dir, "works").select("work_order_id", *map(F.expr, _HOW), F.unix_micros("txn_ts").alias("txn_us"), "quantity")
 
 
 @query("SELECT cast(event_id AS double) AS cost, CASE WHEN k < 3 THEN machine END AS canonical_machine_id, CASE WHEN k < 3 THEN 'registry' ELSE 'unresolved' END AS method, CASE WHEN k < 3 THEN ['energy_alias_example', 'energy_extracted_id', 'energy_alias_example'][k + 1] END AS matched_on, CASE WHEN k < 3 THEN NULL ELSE 'not_found' END AS reason, ['aggregate_total', 'main', 'aggregate_total', 'uv'][k + 1] AS meter_component, CASE WHEN k IN (0, 2) THEN 1 ELSE 0 END AS meter_is_aggregate, ['medium', 'high', 'medium', 'low'][k + 1] AS parse_confidence, us - us % 3600000000 AS hour_us, value AS kwh, 'ok' AS quality_status FROM e WHERE event_type = 'view' AND k < 4", S.DUCK + ",\n" + _CLEAN, "kwh cost")
@@ -211,13 +211,13 @@ def queue_rejects(spark, sf_dir):
 
 
 # ---- a run in stages ----
-@query("SELECT 'backbone' AS stage, 'done' AS state, count(*) AS n_rows, count(energy_kwh) AS energy, NULL::bigint AS jobs, NULL::bigint AS pieces FROM backbone UNION ALL SELECT 'jobs', 'done', count(*), count(energy_kwh), count(job_hash), NULL FROM fj UNION ALL SELECT 'quantity', 'done', count(*), count(energy_kwh), count(job_hash), count(good_qty) FROM fq", S.QUANTITY)
+@query("SELECT 'backbone' AS stage, 'done' AS state, count(*) AS n_rows, count(energy_kwh) AS energy, 0::bigint AS jobs, 0::bigint AS pieces FROM backbone UNION ALL SELECT 'jobs', 'done', count(*), count(energy_kwh), count(job_hash), 0 FROM fj UNION ALL SELECT 'quantity', 'done', count(*), count(energy_kwh), count(job_hash), count(good_qty) FROM fq", S.QUANTITY)
 def staged_rows(spark, sf_dir):
     """Rows and values that each stage of the fact wrote, counted while it was written; an hour is more than any stage takes here."""
     b = bound(spark, sf_dir)
     stages = [Stage("backbone", backbone, ["energy_kwh"]), Stage("jobs", lambda rows: with_jobs(rows, b["jobs"]), ["energy_kwh", "job_hash"]), Stage("quantity", with_quantity, ["energy_kwh", "job_hash", "good_qty"])]
     report = run_stages(spark, b["meters"], stages, limit=3600).report
-    filled = lambda c: F.try_element_at("filled", F.lit(c))
+    filled = lambda c: F.coalesce(F.try_element_at("filled", F.lit(c)), F.lit(0))
     return report.select("stage", "state", "n_rows", filled("energy_kwh").alias("energy"), filled("job_hash").alias("jobs"), filled("good_qty").alias("pieces"))
 
 
