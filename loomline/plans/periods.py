@@ -34,7 +34,7 @@ def period_of(us: Column, unit: str) -> Column:
     if unit == "month":
         return F.coalesce(F.date_format(ts, "yyyy-MM"), F.lit(UNDATED))
     if unit == "week":
-        return F.coalesce(F.concat_ws("-W", F.extract(F.lit("YEAROFWEEK"), ts).cast("string"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0")), F.lit(UNDATED))
+        return F.coalesce(F.concat(F.extract(F.lit("YEAROFWEEK"), ts).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0")), F.lit(UNDATED))
     raise ValueError(f"unknown period {unit}")
 
 
