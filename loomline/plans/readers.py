@@ -192,12 +192,27 @@ def latest_per_machine(inputs: DataFrame) -> DataFrame:
     return inputs.filter("eligible = 1").withColumn("_r", rank).filter("_r = 1").drop("_r")
 
 
-def peer_baseline(inputs: DataFrame, value: str = "kwh_per_good", least_family: int = 3, least_difficulty: int = 5) -> DataFrame:
-    """Median of the peers' values without the row itself: same family and difficulty, else same difficulty, else all."""
-    me = inputs.select("machine", "family", "difficulty", value)
-    peer = me.select(F.col("machine").alias("p_machine"), F.col("family").alias("p_family"), F.col("difficulty").alias("p_difficulty"), F.col(value).alias("p"))
-    pairs = me.join(F.broadcast(peer), F.col("machine") != F.col("p_machine"))  # one row per machine
-    same, near = F.col("difficulty") == F.col("p_difficulty"), F.col("family") == F.col("p_family")
-    out = pairs.groupBy("machine").agg(F.count_if(same & near).alias("n1"), F.count_if(same).alias("n2"), F.median(F.when(same & near, F.col("p"))).alias("m1"), F.median(F.when(same, F.col("p"))).alias("m2"), F.median("p").alias("m3"))
-    return out.select("machine", F.when(F.col("n1") >= least_family, F.col("m1")).when(F.col("n2") >= least_difficulty, F.col("m2")).otherwise(F.col("m3")).alias("baseline"), F.when(F.col("n1") >= least_family, "family").when(F.col("n2") >= least_difficulty, "difficulty").otherwise("all").alias("level"))
+def _median_of_others(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``<name>`` and ``<name>_n``: the median of the other rows of the group and how many there are.
+
+    From the rank of a row in its group and the three values around the middle, so rows do not meet each other in pairs; NULL values count as rows only.
+    """
+    group = Window.partitionBy(*keys)
+    out = rows.withColumns({"_r": F.row_number().over(group.orderBy(F.col(value).asc_nulls_last(), "machine")), "_n": F.count(value).over(group), f"{name}_n": F.count("*").over(group) - 1}).withColumn("_h", F.expr("_n div 2"))
+    out = out.withColumns({f"_{k}": F.max(F.when(F.col("_r") == F.col("_h") + k, F.col(value))).over(group) for k in range(3)})
+    low, mid, high = (F.col(f"_{k}") for k in range(3))
+    left = F.when(F.col("_h") < F.col("_r"), low).otherwise(mid)
+    right = F.when(F.col("_h") + 1 < F.col("_r"), mid).otherwise(high)
+    even = F.col("_n") % 2 == 0
+    median = F.when(F.col("_r") > F.col("_n"), F.when(even, (low + mid) / 2).otherwise(mid)).when(even, left).otherwise((left + right) / 2)
+    return out.withColumn(name, median).drop("_r", "_n", "_h", "_0", "_1", "_2")
+
 
+def peer_baseline(inputs: DataFrame, value: str = "kwh_per_good", least_family: int = 3, least_difficulty: int = 5) -> DataFrame:
+    """Median of the peers' values without the row itself: same family and difficulty, else same difficulty, else all. A row for each machine."""
+    rows = inputs.select("machine", "family", "difficulty", value)
+    for name, keys in (("m1", ["family", "difficulty"]), ("m2", ["difficulty"]), ("m3", [])):
+        rows = _median_of_others(rows, keys, value, name)
+    known = F.col("difficulty").isNotNull()  # rows without one have no peers by it
+    near, same = known & (F.col("m1_n") >= least_family), known & (F.col("m2_n") >= least_difficulty)
+    return rows.filter("m3_n > 0").select("machine", F.when(near, F.col("m1")).when(same, F.col("m2")).otherwise(F.col("m3")).alias("baseline"), F.when(near, "family").when(same, "difficulty").otherwise("all").alias("level"))

@@ -89,8 +89,23 @@ def intervention_preview(spark, sf_dir):
     train, _ = models.time_split(models.training_rows(rows))
     latest = seeds(models.with_features(rows.filter("eligible = 1")), _batch(rows))
     cases = guarded(models.what_if(models.fit_linear(train), latest.drop("predicted", "prediction_us")), F.col("prediction"))
-    as_is = F.max(F.when(F.col("case") == "as_is", F.col("predicted"))).over(Window.partitionBy("machine"))
-    return cases.select("machine", "case", "predicted", (F.col("predicted") - as_is).alias("change"), "blocked_reason")
+    return preview(cases)
+
+
+def preview(cases: DataFrame, neutral: float = 0.05) -> DataFrame:
+    """What each case changes beside ``as_is`` of its machine: per piece, for the row's pieces, in a word, and whether it is the best that has a prediction.
+
+    ``limited`` is a change of at most ``neutral`` of the prediction as it is (and of 0.001); the best case has the least change, then the
+    least prediction, then the first name. ``cases`` has machine, case, predicted, good_qty and blocked_reason.
+    """
+    machine = Window.partitionBy("machine")
+    base = F.max(F.when(F.col("case") == "as_is", F.col("predicted"))).over(machine)
+    rows = cases.withColumn("base", base).withColumn("change", F.col("predicted") - F.col("base"))
+    counts = (F.col("case") != "as_is") & F.col("change").isNotNull()
+    small = F.abs("change") <= F.greatest(F.lit(0.001), F.abs("base") * neutral)
+    reading = F.when(counts, F.when(small, "limited").when(F.col("change") < 0, "lowers").otherwise("raises"))
+    best = F.min(F.when(counts, F.struct("change", "predicted", "case"))).over(machine)
+    return rows.select("machine", "case", "predicted", "change", (F.col("change") * F.col("good_qty")).alias("change_kwh"), reading.alias("reading"), F.coalesce(best["case"] == F.col("case"), F.lit(False)).alias("best"), "blocked_reason")
 
 
 _HELD = "(cast('0x' || substr(md5('42/' || machine || '/' || cast(hour_us AS varchar)), 1, 8) AS bigint) % 100 >= 80)"

@@ -113,3 +113,28 @@ def test_sequence_goes_to_the_cheapest_change(spark):
     got = {(r.family, r.place): r.job for r in schedule.sequenced(queue, costs).collect()}
     assert got == {("f", 1): "1", ("f", 2): "4", ("f", 3): "3", ("f", 4): "2", ("g", 1): "5"}
     assert schedule.sequenced(queue, costs.limit(0)).count() == 5
+
+
+def test_preview_reads_changes(spark):
+    rows = [("a", "as_is", 2.0, 10.0, None), ("a", "maintenance", 1.95, 10.0, None), ("a", "crew", 1.5, 10.0, None), ("a", "both", 2.4, 10.0, None), ("b", "as_is", None, 1.0, "x"), ("b", "crew", 1.0, 1.0, None)]
+    cases = spark.createDataFrame(rows, "machine string, case string, predicted double, good_qty double, blocked_reason string")
+    got = {(r.machine, r.case): (None if r.change_kwh is None else round(r.change_kwh, 6), r.reading, r.best) for r in serving.preview(cases).collect()}
+    assert got == {("a", "as_is"): (0.0, None, False), ("a", "maintenance"): (-0.5, "limited", False), ("a", "crew"): (-5.0, "lowers", True), ("a", "both"): (4.0, "raises", False), ("b", "as_is"): (None, None, False), ("b", "crew"): (None, None, False)}
+
+
+def test_median_of_the_others(spark):
+    import statistics
+
+    from loomline.plans import readers
+
+    data = [(f"m{i}", "f" if i < 5 else "g", "Hard" if i % 4 else None, v) for i, v in enumerate([5.0, 1.0, 1.0, 7.0, None, 2.0, 9.0, 4.0, 4.0, None])]
+    df = spark.createDataFrame(data, "machine string, family string, difficulty string, v double")
+    got = {r.machine: (r.baseline, r.level) for r in readers.peer_baseline(df, "v", 3, 5).collect()}
+    for m, family, difficulty, _ in data:
+        others = [x for x in data if x[0] != m]
+        same = [x for x in others if difficulty and x[2] == difficulty]
+        near = [x for x in same if x[1] == family]
+        level, peers = ("family", near) if len(near) >= 3 else ("difficulty", same) if len(same) >= 5 else ("all", others)
+        known = [x[3] for x in peers if x[3] is not None]
+        assert got[m] == (statistics.median(known), level)
+    assert readers.peer_baseline(df.limit(1), "v").collect() == []
