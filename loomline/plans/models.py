@@ -7,9 +7,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_path
+
 NUMBERS = ["good_qty", "team_size", "hours_since", "works_30d", "works_ever", "hour", "is_weekend", "is_night", "overdue", "urgency"]
 TEXTS = ["family", "material", "leader", "difficulty", "last_work_type"]
 
@@ -79,6 +81,17 @@ def what_if(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(every)
 
 
+def without_summary(model: PipelineModel) -> PipelineModel:
+    """The model as it loads from the shared folder.
+
+    The training summary of a fitted logistic regression holds the session and goes to the tasks with the model, which fails once
+    the session has been used for observations or tags; a loaded model has none.
+    """
+    path = scratch_path(SparkSession.active(), "model")
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
 def weak_label_model(days: DataFrame, share: float = 0.8) -> tuple[PipelineModel, DataFrame]:
     """Logistic regression of the label, where one is known, weighted by class, cut by date; its area under the curve."""
     days = days.filter("label is not null")
@@ -89,7 +102,7 @@ def weak_label_model(days: DataFrame, share: float = 0.8) -> tuple[PipelineModel
     train = train.withColumn("weight", F.when(F.col("label") == 1, 0.5 / max(positive, 1e-3)).otherwise(0.5 / max(1 - positive, 1e-3)))
     inputs = ["kwh_30d", "prod_30d", "past_30d", "days_30d", "works"]
     stages = [Imputer(inputCols=inputs, outputCols=[f"{c}_full" for c in inputs], strategy="median"), VectorAssembler(inputCols=[f"{c}_full" for c in inputs], outputCol="raw_features"), StandardScaler(inputCol="raw_features", outputCol="features", withMean=True), LogisticRegression(weightCol="weight")]
-    model = Pipeline(stages=stages).fit(train.withColumns({c: F.col(c).cast("double") for c in inputs}))
+    model = without_summary(Pipeline(stages=stages).fit(train.withColumns({c: F.col(c).cast("double") for c in inputs})))
     scored = model.transform(held_out.withColumns({c: F.col(c).cast("double") for c in inputs}))
     auc = BinaryClassificationEvaluator(labelCol="label").evaluate(scored)
     return model, days.sparkSession.createDataFrame([(train.count(), held_out.count(), auc)], "train_rows long, held_out_rows long, auc double")

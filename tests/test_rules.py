@@ -6,6 +6,7 @@ import datetime as dt
 
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from loomline.functions import scalars
@@ -102,6 +103,14 @@ def test_promotion_needs_no_worse_a_score():
     assert models.promotes(0.80, None) and models.promotes(0.80, 0.80) and not models.promotes(0.5, 0.9)
 
 
+def test_weak_label_model_after_an_observation(spark):
+    days = spark.range(100).select(F.col("id").alias("d"), (F.col("id") % 3 > 0).cast("int").alias("label"), *[(F.col("id") % n).alias(c) for c, n in (("kwh_30d", 7), ("prod_30d", 5), ("past_30d", 4), ("days_30d", 3), ("works", 2))])
+    seen = Observation("rows")
+    assert days.observe(seen, F.count("*").alias("n")).count() == 100 and seen.get == {"n": 100}
+    model, result = models.weak_label_model(days)
+    assert [r[:2] for r in result.collect()] == [(80, 20)] and model.transform(days.limit(3)).count() == 3
+
+
 def test_figures_are_of_a_month(spark):
     from loomline.plans import summaries
 
