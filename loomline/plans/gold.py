@@ -80,17 +80,21 @@ def dominant_job(overlaps: DataFrame) -> DataFrame:
 
 
 def job_blend(overlaps: DataFrame) -> DataFrame:
-    """Sums over the jobs of an hour, scaled down to the covered minutes where they exceed them."""
+    """Sums over the jobs of an hour, scaled down to the covered minutes where they exceed them.
+
+    The share of the sum is taken first: it is at most 1, so noise of summation lifts no minutes above those covered.
+    """
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     sums = overlaps.groupBy(*KEY).agg(zero("setup_overlap").alias("s"), zero("production").alias("p"), zero("planned").alias("l"), zero("unplanned").alias("u"), F.count("*").alias("n_jobs"), F.min("fractional").alias("all_fractional"))
     raw = F.col("s") + F.col("p") + F.col("l") + F.col("u")
     out = sums.join(job_coverage(overlaps), KEY).withColumn("raw_minutes", raw)
     over = (F.col("raw_minutes") > F.col("coverage") + 1e-9) & (F.col("raw_minutes") > 0)
     scale = F.when(over, F.col("coverage") / F.col("raw_minutes")).otherwise(1.0)
+    fitted = lambda c: F.when(F.col("raw_minutes") > F.col("coverage"), F.col("coverage") * (F.col(c) / F.col("raw_minutes"))).otherwise(F.col(c))
     return out.select(
         *KEY, "n_jobs", "all_fractional", "coverage", "raw_minutes", scale.alias("scale"),
         F.when(over, V.CAPPED).when(F.col("n_jobs") > 1, V.WITHIN).otherwise(V.PASSTHROUGH).alias("contract"),
-        *[(F.col(c) * scale).alias(name) for c, name in zip("splu", OPERATIONAL, strict=True)],
+        *[fitted(c).alias(name) for c, name in zip("splu", OPERATIONAL, strict=True)],
     )
 
 

@@ -30,7 +30,7 @@ cov AS MATERIALIZED (SELECT machine, hour_us, least(60.0, sum(q - p) / 6e7) AS c
 blend0 AS (SELECT machine, hour_us, sum(setup_overlap) AS s, sum(production) AS p, coalesce(sum(planned), 0) AS l, coalesce(sum(unplanned), 0) AS u, count(*) AS n_jobs, bool_and(fractional) AS all_fractional FROM om GROUP BY ALL),
 blend AS MATERIALIZED (SELECT machine, hour_us, n_jobs, all_fractional, coverage, s + p + l + u AS raw_minutes, CASE WHEN s + p + l + u > coverage + 1e-9 THEN coverage / (s + p + l + u) ELSE 1.0 END AS scale,
   CASE WHEN s + p + l + u > coverage + 1e-9 THEN 'multi_event_sum_capped_to_coverage_budget' WHEN n_jobs > 1 THEN 'multi_event_sum_within_coverage_budget' ELSE 'dominant_event_passthrough' END AS contract,
-  s * scale AS setup_minutes, p * scale AS production_minutes, l * scale AS planned_stop_minutes, u * scale AS unplanned_stop_minutes FROM blend0 JOIN cov USING (machine, hour_us)),
+  CASE WHEN s + p + l + u > coverage THEN coverage * (s / (s + p + l + u)) ELSE s END AS setup_minutes, CASE WHEN s + p + l + u > coverage THEN coverage * (p / (s + p + l + u)) ELSE p END AS production_minutes, CASE WHEN s + p + l + u > coverage THEN coverage * (l / (s + p + l + u)) ELSE l END AS planned_stop_minutes, CASE WHEN s + p + l + u > coverage THEN coverage * (u / (s + p + l + u)) ELSE u END AS unplanned_stop_minutes FROM blend0 JOIN cov USING (machine, hour_us)),
 dom AS MATERIALIZED (SELECT * FROM om QUALIFY row_number() OVER (PARTITION BY machine, hour_us ORDER BY total_overlap DESC, production_overlap DESC, hash) = 1),
 fj0 AS (SELECT b.*, d.hash AS job_hash, d.order_id, d.suffix AS order_suffix, d.material, d.task, d.leader, d.production AS lead_production, d.fractional AS lead_fractional, d.job_good, d.job_scrap,
   n_jobs, all_fractional, coverage, raw_minutes, scale, contract, CASE WHEN abs(setup_minutes) >= 1e-9 THEN setup_minutes END AS setup_minutes, CASE WHEN abs(production_minutes) >= 1e-9 THEN production_minutes END AS production_minutes,

@@ -337,10 +337,10 @@ def support_paths(spark, sf_dir):
 
 @query("SELECT 'no_job' AS flag, count(*) AS n_rows FROM fact WHERE job_hash IS NULL UNION ALL SELECT qty_warning, count(*) FROM fact WHERE qty_warning IS NOT NULL AND job_hash IS NOT NULL GROUP BY 1 UNION ALL SELECT budget_anomaly, count(*) FROM fact WHERE budget_anomaly IS NOT NULL GROUP BY 1", S.FACT)
 def quality_flags(spark, sf_dir):
-    """Rows without a job, and rows by each quality flag that they carry."""
+    """Rows without a job, also if there are none, and rows by each quality flag that they carry."""
     flags = F.array_compact(F.array(F.when(F.col("job_hash").isNull(), "no_job"), F.when(F.col("job_hash").isNotNull(), F.col("qty_warning")), F.col("budget_anomaly")))
-    counts = fact(spark, sf_dir).select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count("*").alias("n_rows"))
-    return counts.select("flag", "n_rows")
+    carried = fact(spark, sf_dir).select(F.explode(flags).alias("flag"), F.lit(1).alias("n"))
+    return carried.union(spark.range(1).select(F.lit("no_job"), F.lit(0))).groupBy("flag").agg(F.sum("n").alias("n_rows"))
 
 
 # ---- months of orders, one at a time ----

@@ -32,3 +32,11 @@ def test_query_equals_its_sql(spark, name):
     got = catalog.QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     assert cells([tuple(r) for r in got.collect()], got.columns) == cells(want.fetchall(), columns)
+
+
+def test_quality_flags_count_no_job_where_every_hour_has_one(spark, tmp_path):
+    db = duckdb.connect()
+    db.execute("CREATE TABLE events AS SELECT * FROM (VALUES (15, TIMESTAMP '2024-01-01 01:10:00', 0, 'purchase', 20.0), (16, TIMESTAMP '2024-01-01 01:20:00', 0, 'view', 5.0)) v(event_id, ts, user_id, event_type, value)")
+    db.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    got = [tuple(r) for r in catalog.QUERIES["quality_flags"](spark, str(tmp_path)).collect()]
+    assert got == db.execute(catalog.ORACLES["quality_flags"]).fetchall() == [("no_job", 0)]

@@ -34,6 +34,12 @@ def test_a_total_meter_is_preferred_and_a_combo_is_left_out(spark):
     assert (got["c"].energy_kwh, got["c"].energy_method) == (None, "combo_present_no_safe_total")
 
 
+def test_noise_of_summation_is_no_budget_anomaly(spark):
+    got = make(spark, HOURS, [job("x", 0, HOUR_US, prod=None), job("y", 0, 2_030_000_000, prod=None)])
+    row = got["024-001", 0]
+    assert (row.n_jobs, row.coverage, row.production_minutes, row.budget_anomaly) == (2, 60.0, 60.0, None)
+
+
 def test_two_competing_jobs_share_the_hour(spark):
     got = make(spark, HOURS, [job("x", 0, HOUR_US), job("b", 0, HOUR_US)])
     row = got["024-001", 0]
