@@ -44,6 +44,10 @@ MOST_LIGHT = 14
 #: Rows next to each other that go to the same bucket, and dealt sets that one comparing task takes, about.
 LOT_ROWS = 512
 UNIT_ROWS = 8192
+#: Bits of the filter for asked texts: for each of them, and at most (8 MB).
+BITS_EACH = 16
+MOST_BITS = 1 << 26
+_BITMAP = 1 << 15
 _ONE, _MANY, _SHARED, _SIZE, _ID, _FIRST_HALF, _SECOND_HALF = range(7)
 _LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
 
@@ -324,7 +328,9 @@ def _refuted(links: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     """Links whose texts, shingle by shingle in words, do not reach ``percent``; equal texts are not looked at."""
     pairs = links.filter("da <> db").select(F.least("da", "db").alias("da"), F.greatest("da", "db").alias("db")).distinct()
     asked = pairs.select(F.col("da").alias("d")).union(pairs.select("db")).distinct()
-    held = texts.select(F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("d"), "text").join(asked, "d", "left_semi").groupBy("d").agg(F.any_value("text").alias("text"))
+    asked = written(asked, "asked")  # distinct: an inner join will do, and unlike a semi join it is not pushed below the filter
+    digested = texts.select(F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("d"), "text")
+    held = maybe_asked(digested, asked).join(asked, "d").groupBy("d").agg(F.any_value("text").alias("text"))
     both = pairs.join(held.select(F.col("d").alias("da"), F.col("text").alias("ta")), "da").join(held.select(F.col("d").alias("db"), F.col("text").alias("text")), "db")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,6 +344,20 @@ def _refuted(links: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.select("da", "db", "ta", "text").mapInArrow(run, "da binary, db binary")
 
 
+def maybe_asked(rows: DataFrame, asked: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """All ``rows`` whose digest ``d`` is asked and few others: a bitmap of hashed digests keeps the rest out of the shuffle behind it.
+
+    The bitmap stops growing at ``most_bits``; beyond that more of the others pass, and never is an asked row lost.
+    """
+    bits = max(_BITMAP, min(most_bits, BITS_EACH * asked.count()))
+    place = F.pmod(F.xxhash64("d"), F.lit(bits))
+    part, at = F.floor(place / _BITMAP).alias("part"), F.pmod(place, F.lit(_BITMAP)).cast("int").alias("at")
+    maps = asked.select(part, at).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bitmap"))
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(F.col("at"), F.lit(8)))), F.lit(2)) == 1
+    return rows.select("*", part, at).join(F.broadcast(maps), "part").filter(is_set).select(*rows.columns)
+
+
 def exact_shingles(text: bytes, width: int) -> set[bytes]:
     """The text's distinct shingles as words joined by spaces."""
     words = text.translate(_LOWER).split()

@@ -313,6 +313,17 @@ def test_jaccard_of_many_near_copies_in_small_tiles(spark, monkeypatch):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), of[i]) for i in sets}
 
 
+def test_asked_texts_come_with_few_others(spark):
+    rows = spark.range(20_000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("d"), F.col("id").cast("string").alias("text"))
+    asked = rows.filter("text % 50 = 7").select("d")
+    passed = jaccard_join.maybe_asked(rows, asked)
+    want = set(range(7, 20_000, 50))
+    got = [int(r.text) for r in passed.collect()]
+    assert len(got) == len(set(got)) < 2500 and want <= set(got) and passed.columns == ["d", "text"]
+    assert want <= {int(r.text) for r in jaccard_join.maybe_asked(rows.union(rows.limit(0)), asked, most_bits=1).collect()}
+    assert jaccard_join.maybe_asked(rows, asked.limit(0)).isEmpty()
+
+
 def test_light_links_are_whole(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(5, 16)))) for i in range(150)]
