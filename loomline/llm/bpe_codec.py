@@ -1,9 +1,10 @@
 """BPE encoding by a pair occurrence index, and decoding.
 
 The different pre-tokens of a lot (all of a partition's texts, or ``LOT_BYTES`` of them if it is larger)
-are laid end to end in one array of symbols. An index maps each adjacent pair, named by its rank, to all its
-positions there; the active ranks are applied in ascending order, each to its whole list at once, and the
-lists of the pairs next to a merge are updated. Long lists are worked on as arrays, short ones place by place.
+are laid end to end in an array of symbols, ``INDEX_BYTES`` of them at a time. An index maps each adjacent
+pair, named by its rank, to all its positions there; the active ranks are applied in ascending order, each to
+its whole list at once, and the lists of the pairs next to a merge are updated. Long lists are worked on as
+arrays, short ones place by place.
 The identifiers of a text are then gathered by position. Nothing is kept from one lot to the next, so
 memory is bounded by the lot (or by one text, if that is longer). Encoding, decoding, and the one after the
 other are one pass each, without a shuffle.
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from .byte_bpe import Vocabulary, pieces, vocabulary
 from .common import give_back, id_and_text, rebatched
 
-#: Bytes of text whose pre-tokens share one index, and bytes of text for which results are made at once.
-LOT_BYTES = 16 << 20
+#: Bytes of text whose pre-tokens are told apart together, bytes of different pre-tokens that share one index, and bytes of text for which results are made at once.
+LOT_BYTES = 8 << 20
+INDEX_BYTES = 1 << 20
 CHUNK_BYTES = 1 << 20
 #: A rank with fewer positions is applied place by place.
 _FEW = 24
@@ -150,13 +152,25 @@ class PairIndex:
 
 
 def encode_pretokens(tokens: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """The identifiers of all pre-tokens end to end, and where those of each end."""
-    if not tokens:
-        return _NO_IDS, np.empty(0, np.int64)
-    index = PairIndex(tokens, vocab)
-    if len(index.sym):
-        index.run()
-    return index.ids()
+    """The identifiers of all pre-tokens end to end, and where those of each end.
+
+    No merge goes from one pre-token to the next, so stretches of ``INDEX_BYTES`` (or of one longer pre-token) have an index each.
+    """
+    total = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+    ids, ends, at, n = [_NO_IDS], [np.empty(0, np.int64)], 0, 0
+    while at < len(tokens):
+        before = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, before + INDEX_BYTES, side="right")))
+        index = PairIndex(tokens[at:to], vocab)
+        if len(index.sym):
+            index.run()
+        own, own_ends = index.ids()
+        del index  # before the next one is made
+        ids.append(own)
+        ends.append(own_ends + n)
+        n += len(own)
+        at = to
+    return np.concatenate(ids), np.concatenate(ends)
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -260,7 +274,7 @@ class Encoder:
     def lot(self, batches: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """The batches, perhaps in other parts, with all identifiers and how many each row has.
 
-        All pre-tokens of the batches share one index.
+        Each different pre-token of the batches is encoded once.
         """
         found, odd_ones, plain_ones = _Pieces(self.vocab), [], []
         for batch in batches:

@@ -130,6 +130,26 @@ def test_tokens_of_odd_characters():
     assert encoder(many) == [b"".join(x.to_bytes(4, "little") for x in ids) for ids in want]
 
 
+def test_pair_index_is_bounded(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(PATH)
+    rng, sizes = random.Random(5), []
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(20_000)) for _ in range(12)] + ["", "x" * 5000]
+
+    class Seen(bpe_codec.PairIndex):
+        def __init__(self, tokens, vocab):
+            sizes.append(sum(map(len, tokens)))
+            super().__init__(tokens, vocab)
+
+    monkeypatch.setattr(bpe_codec, "PairIndex", Seen)
+    want = [b"".join(x.to_bytes(4, "little") for x in library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert bpe_codec.Encoder(PATH)(texts) == want
+    assert sum(sizes) > 2 << 20 and max(sizes) <= 1 << 20
+    monkeypatch.setattr(bpe_codec, "INDEX_BYTES", 64)
+    small = [t[:3000] for t in texts]
+    assert bpe_codec.Encoder(PATH)(small) == [b"".join(x.to_bytes(4, "little") for x in library.encode(t, add_special_tokens=False).ids) for t in small]
+
+
 def test_pair_index_of_long_and_repeated_pieces(monkeypatch):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(PATH)
